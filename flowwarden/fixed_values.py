@@ -67,15 +67,15 @@ SEVERITY_LEVELS = [
     (3, "HIGH RISK", "High", "Confirmed intrusion, immediate action needed"),
 ]
 
-# feature, points, above (exclusive), up to (inclusive, None = no upper bound)
+# feature, (above (exclusive), points), highest first; a value takes the first that fits
 SEVERITY_BANDS = [
-    ("src_bytes", 3, 100000, None), ("src_bytes", 2, 50000, 100000), ("src_bytes", 1, 10000, 50000),
-    ("count", 3, 300, None), ("count", 2, 100, 300), ("count", 1, 20, 100),
-    ("num_failed_logins", 3, 5, None), ("num_failed_logins", 2, 3, 5), ("num_failed_logins", 1, 1, 3),
-    ("serror_rate", 3, 0.5, None), ("serror_rate", 2, 0.3, 0.5), ("serror_rate", 1, 0.1, 0.3),
-    ("dst_host_count", 3, 100, None), ("dst_host_count", 2, 50, 100),
-    ("srv_count", 2, 20, None),
-    ("duration", 1, 1000, None),
+    ("src_bytes", [(100000, 3), (50000, 2), (10000, 1)]),
+    ("count", [(300, 3), (100, 2), (20, 1)]),
+    ("num_failed_logins", [(5, 3), (3, 2), (1, 1)]),
+    ("serror_rate", [(0.5, 3), (0.3, 2), (0.1, 1)]),
+    ("dst_host_count", [(100, 3), (50, 2)]),
+    ("srv_count", [(20, 2)]),
+    ("duration", [(1000, 1)]),
 ]
 
 # probability at or above -> points, highest first

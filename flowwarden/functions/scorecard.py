@@ -7,7 +7,6 @@ stump's value minus its expectation; base value + attributions = margin.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,12 +14,13 @@ from ..fixed_values import SCORECARD_BIAS, SCORECARD_STUMPS
 from ..schema import CATEGORICAL_FEATURES
 
 
-def encoded_value(name: str) -> Column:
+def encoded_sql(name: str) -> str:
     """Numeric value of a model feature: the column, or 1/0 for ``{column}_{value}``."""
     for c in CATEGORICAL_FEATURES:
         if name.startswith(c + "_"):
-            return F.when(F.col(c) == name[len(c) + 1:], 1.0).otherwise(0.0)
-    return F.col(f"`{name}`").cast("double")
+            value = name[len(c) + 1:].replace("\\", "\\\\").replace("'", "\\'")
+            return f"CASE WHEN `{c}` = '{value}' THEN 1D ELSE 0D END"
+    return f"CAST(`{name}` AS DOUBLE)"
 
 
 @dataclass(frozen=True)
@@ -37,18 +37,19 @@ class Scorecard:
         return self.bias + sum(c * lo + (1 - c) * hi for _, _, lo, hi, c in self.stumps)
 
     def margin(self) -> Column:
-        steps = [F.when(encoded_value(f) <= b, lo).otherwise(hi) for f, b, lo, hi, _ in self.stumps]
-        return reduce(lambda a, b: a + b, steps, F.lit(self.bias))
+        steps = [f"CASE WHEN {encoded_sql(f)} <= {b}D THEN {lo}D ELSE {hi}D END" for f, b, lo, hi, _ in self.stumps]
+        return F.expr(" + ".join([f"{self.bias}D", *steps]))
 
     def probability(self) -> Column:
         return F.round(1.0 / (1.0 + F.exp(-self.margin())), 6)
 
-    def attribution(self, feature: str) -> Column:
-        parts = [
-            F.when(encoded_value(f) <= b, lo - (c * lo + (1 - c) * hi)).otherwise(hi - (c * lo + (1 - c) * hi))
-            for f, b, lo, hi, c in self.stumps if f == feature
-        ]
-        return reduce(lambda a, b: a + b, parts)
+    def attribution_sql(self, feature: str) -> str:
+        parts = []
+        for f, b, lo, hi, c in self.stumps:
+            if f == feature:
+                mean = c * lo + (1 - c) * hi
+                parts.append(f"CASE WHEN {encoded_sql(f)} <= {b}D THEN {lo - mean!r}D ELSE {hi - mean!r}D END")
+        return " + ".join(parts)
 
     def native_importance(self) -> dict[str, float]:
         """Share of the variance the stumps of a feature explain."""
@@ -64,8 +65,8 @@ class Scorecard:
     def explain(self, df: DataFrame) -> DataFrame:
         """Add ``x`` (feature values) and ``shap`` (attributions), ordered like ``features``."""
         return df.withColumns({
-            "x": F.array(*[encoded_value(f) for f in self.features]),
-            "shap": F.array(*[self.attribution(f) for f in self.features]),
+            "x": F.expr("array(" + ", ".join(encoded_sql(f) for f in self.features) + ")"),
+            "shap": F.expr("array(" + ", ".join(self.attribution_sql(f) for f in self.features) + ")"),
         })
 
 

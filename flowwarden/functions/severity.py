@@ -2,50 +2,34 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import PROBABILITY_POINTS, SCORE_LEVELS, SEVERITY_BANDS, SEVERITY_LEVELS
-from .values import feature
+from .values import case_sql, feature_sql, lookup
 
 
-def severity_score(df: DataFrame, probability: Column) -> Column:
+def severity_score(df: DataFrame, probability: str) -> Column:
     """Sum of the band points of every input plus the points for the probability."""
-    points = []
-    for name, pts, above, upto in SEVERITY_BANDS:
-        hit = feature(df, name) > above
-        if upto is not None:
-            hit = hit & (feature(df, name) <= upto)
-        points.append(F.when(hit, pts).otherwise(0))
-    by_probability = F.lit(0)
-    for at_least, pts in reversed(PROBABILITY_POINTS):
-        by_probability = F.when(probability >= at_least, pts).otherwise(by_probability)
-    return reduce(lambda a, b: a + b, points) + by_probability
-
-
-def severity_level(is_intrusion: Column, score: Column) -> Column:
-    level = F.lit(1)
-    for at_least, lvl in reversed(SCORE_LEVELS):
-        level = F.when(score >= at_least, lvl).otherwise(level)
-    return F.when(is_intrusion, level).otherwise(0)
-
-
-def by_level(level: Column, values: dict, default: Column | None = None) -> Column:
-    """Pick the entry of a per-level table; a four-row lookup needs no join."""
-    out = default
-    for lvl in sorted(values, reverse=True):
-        v = values[lvl] if isinstance(values[lvl], Column) else F.lit(values[lvl])
-        out = F.when(level == lvl, v) if out is None else F.when(level == lvl, v).otherwise(out)
-    return out
+    terms = [
+        case_sql([(f"{feature_sql(df, name)} > {above}", pts) for above, pts in bands], 0)
+        for name, bands in SEVERITY_BANDS
+    ]
+    terms.append(case_sql([(f"nanvl({probability}, NULL) >= {p}D", pts) for p, pts in PROBABILITY_POINTS], 0))
+    return F.expr(" + ".join(terms))
+
+
+def severity_level(is_intrusion: str, score: str) -> Column:
+    """Level 1 at least for a flagged flow, 0 for any other."""
+    level = case_sql([(f"{score} >= {at_least}", lvl) for at_least, lvl in SCORE_LEVELS], 1)
+    return F.expr(f"CASE WHEN {is_intrusion} THEN {level} ELSE 0 END")
 
 
 def severity_name(level: Column) -> Column:
-    return by_level(level, {lvl: name for lvl, name, _, _ in SEVERITY_LEVELS})
+    return lookup([name for _, name, _, _ in SEVERITY_LEVELS], level)
 
 
 def severity_priority(level: Column) -> Column:
-    return by_level(level, {lvl: prio for lvl, _, prio, _ in SEVERITY_LEVELS})
+    return lookup([priority for _, _, priority, _ in SEVERITY_LEVELS], level)
 
 
 def severity_table(spark) -> DataFrame:

@@ -15,9 +15,22 @@ def not_nan(c: Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
-def feature(df: DataFrame, name: str) -> Column:
-    """A numeric rule input: absent column -> 0, null or NaN -> null."""
-    return not_nan(F.col(f"`{name}`")) if name in df.columns else F.lit(0.0)
+def feature_sql(df: DataFrame, name: str) -> str:
+    """SQL text of a numeric rule input: absent column -> 0, null or NaN -> null."""
+    if name not in df.columns:
+        return "0"
+    kind = df.schema[name].dataType.typeName()
+    return f"nanvl(`{name}`, NULL)" if kind in ("double", "float") else f"`{name}`"
+
+
+def case_sql(whens: list[tuple], otherwise) -> str:
+    """``CASE`` text from (condition, value) pairs in order."""
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in whens) + f" ELSE {otherwise} END"
+
+
+def lookup(values: list, position: Column) -> Column:
+    """Entry of a constant list: folded to one literal, so it costs an array access per row."""
+    return F.get(F.lit(values), position)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

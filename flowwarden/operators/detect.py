@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import (
     DEFAULT_THRESHOLD, DETAIL_FEATURES, DETAIL_LIMIT, HIGH_CONFIDENCE, KEY_FEATURES,
-    LOGGED_MONITORING_ACTIONS, NORMAL_SUMMARY, SHOWN_INDICATORS,
+    NORMAL_SUMMARY, SHOWN_INDICATORS,
 )
 from ..functions import playbook as P
 from ..functions import severity as S
@@ -44,17 +44,18 @@ def prediction_correctness(df: DataFrame) -> DataFrame:
 
 def grade(df: DataFrame) -> DataFrame:
     """Add severity score, level, name and priority to classified flows."""
-    flagged = F.col("predicted_class") == INTRUSION
+    flagged = f"predicted_class = '{INTRUSION}'"
     return (
-        df.withColumn("severity_score", F.when(flagged, S.severity_score(df, F.col(PROB))).otherwise(0))
-        .withColumn("severity_level", S.severity_level(flagged, F.col("severity_score")))
-        .withColumn("severity_name", S.severity_name(F.col("severity_level")))
-        .withColumn("priority", S.severity_priority(F.col("severity_level")))
+        df.withColumn("severity_score", F.when(F.expr(flagged), S.severity_score(df, PROB)).otherwise(0))
+        .withColumn("severity_level", S.severity_level(flagged, "severity_score"))
+        .withColumns({"severity_name": S.severity_name(F.col("severity_level")),
+                      "priority": S.severity_priority(F.col("severity_level")),
+                      "response": P.response_number(df)})
     )
 
 
 def summarise_action(df: DataFrame) -> DataFrame:
-    text = P.action_summary(df, F.col("severity_level"), F.col(PROB))
+    text = P.action_summary(F.col("response"), F.col(PROB))
     return df.withColumn(
         "action_summary",
         F.when(F.col("predicted_class") == INTRUSION, text).otherwise(NORMAL_SUMMARY))
@@ -68,17 +69,17 @@ def detect(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, scorer=DEFAULT_S
 
 def scored_output(df: DataFrame) -> DataFrame:
     """The columns of the published result file: the input plus five."""
-    return df.drop("severity_score", "priority")
+    return df.drop("severity_score", "priority", "response")
 
 
 def respond(df: DataFrame) -> DataFrame:
     """Add the full response record of every flow."""
-    level, p = F.col("severity_level"), F.col(PROB)
+    number, level = F.col("response"), F.col("severity_level")
     return df.withColumns({
-        "immediate_actions": P.immediate_actions(df, level),
-        "monitoring_actions": P.monitoring_actions(df, level),
+        "immediate_actions": P.immediate_actions(number),
+        "monitoring_actions": P.monitoring_actions(number),
         "logging_actions": P.logging_actions(level),
-        "explanation": P.explanation(level, p),
+        "explanation": P.explanation(level, F.col(PROB)),
     })
 
 
@@ -102,12 +103,12 @@ def network_features(df: DataFrame) -> Column:
 def alerts(graded: DataFrame) -> DataFrame:
     """One log entry per flagged flow; all immediate but only the first monitoring actions."""
     found = only(graded, INTRUSION).where(F.col("severity_level") > 0)
-    level = F.col("severity_level")
+    number = F.col("response")
     return found.select(
         F.col("flow_id").alias("sample_index"), PROB, "severity_level", "severity_name", "priority",
         "action_summary",
-        P.immediate_actions(found, level).alias("immediate_actions"),
-        F.slice(P.monitoring_actions(found, level), 1, LOGGED_MONITORING_ACTIONS).alias("monitoring_actions"),
+        P.immediate_actions(number).alias("immediate_actions"),
+        P.logged_monitoring_actions(number).alias("monitoring_actions"),
         network_features(found).alias("network_features"),
     )
 

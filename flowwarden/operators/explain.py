@@ -20,7 +20,7 @@ from ..functions.values import not_nan, ratio
 from .detect import INTRUSION, NORMAL, PROB, confidence_band
 from .ranking import exact_quantiles
 
-FLAGGED = F.col("predicted_class") == INTRUSION
+FLAGGED = f"predicted_class = '{INTRUSION}'"
 
 
 def _shap(i: int) -> Column:
@@ -78,7 +78,7 @@ def explain_header(df: DataFrame, features: list[str], base_value: float, thresh
         F.round(total + base_value, 6).alias("margin"),
         F.round(1.0 / (1.0 + F.exp(-(total + base_value))), 6).alias("after_sigmoid"),
         *([F.when(F.col("y") == 1, INTRUSION).otherwise(NORMAL).alias("actual_class"),
-           (FLAGGED.cast("int") == F.col("y")).alias("correct")] if "y" in df.columns else []))
+           (F.expr(FLAGGED).cast("int") == F.col("y")).alias("correct")] if "y" in df.columns else []))
     return out
 
 

@@ -565,4 +565,8 @@ SQL = {
           '[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+', '', 'g')
           AS text FROM documents)
         SELECT doc_id, text, CAST(length(raw) - length(text) AS INTEGER) AS removed FROM c""",
+    "stream_alerts": f"""{_BASE} SELECT flow_id AS sample_index, intrusion_probability, severity_level, severity_name, action_summary,
+        array_to_string(immediate, ' ; ') AS immediate_actions FROM responded WHERE predicted_class = 'intrusion'""",
+    "stream_severity": f"""{_BASE} SELECT strftime(ts, '%Y-%m-%d') AS day, severity_level, count(*) AS n FROM levelled GROUP BY 1, 2""",
 }
+SQL["stream_chain"] = SQL["chain_append"]

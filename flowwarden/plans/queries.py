@@ -8,17 +8,19 @@ from ..fixed_values import DEFAULT_THRESHOLD
 from ..functions.category import feature_category
 from ..functions.scorecard import DEFAULT_SCORECARD as CARD
 from ..functions.severity import severity_table
-from ..functions.text import strip_emoji
+from ..functions.text import safe_name, strip_emoji
 from ..functions.values import rounded
 from ..operators import chain as C
 from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import explain as X
+from ..operators import model as M
 from ..operators import prepare as P
 from ..session import shared_folder
 from ..sources import artifacts as A
 from ..sources import flows as S
 from ..sources import log_io as L
+from ..streaming import jobs as T
 
 THR = DEFAULT_THRESHOLD
 FEATURES = CARD.features
@@ -74,6 +76,17 @@ def alert_log(spark, sf) -> DataFrame:
     return C.append_entries(D.alerts(graded(spark, sf)))
 
 
+_LOGS: dict = {}
+
+
+def stored_log(spark, sf) -> DataFrame:
+    """The alert log as a stored table, as its readers meet it; written once per session and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LOGS:
+        _LOGS[key] = A.write_table(alert_log(spark, sf), shared_folder(spark))
+    return spark.read.parquet(_LOGS[key])
+
+
 # --- sources and sinks ------------------------------------------------------
 
 @query
@@ -103,13 +116,13 @@ def scored_flows(spark, sf):
 
 @query
 def log_export_info(spark, sf):
-    return L.export_info(alert_log(spark, sf))
+    return L.export_info(stored_log(spark, sf))
 
 
 @query
 def log_read(spark, sf):
     """The log exported as JSON documents, read back and flattened."""
-    path = L.export_log(alert_log(spark, sf), shared_folder(spark), RUN, EXPORTED_AT)
+    path = L.export_log(stored_log(spark, sf), shared_folder(spark), RUN, EXPORTED_AT)
     return L.read_log(spark, path).select(
         "segment", "block_index", "sample_index", "severity_level", "severity_name", "action_summary",
         joined("immediate_actions").alias("immediate_actions"),
@@ -119,7 +132,7 @@ def log_read(spark, sf):
 @query
 def log_documents_info(spark, sf):
     """Header of every exported log document."""
-    path = L.export_log(alert_log(spark, sf), shared_folder(spark), RUN, EXPORTED_AT)
+    path = L.export_log(stored_log(spark, sf), shared_folder(spark), RUN, EXPORTED_AT)
     return L.read_log_documents(spark, path).select("segment", "blockchain_info.*")
 
 
@@ -129,7 +142,7 @@ def _two_runs(spark, sf) -> str:
     for stamp in ("20240131_235959", RUN):
         A.write_table(out.where(F.col("predicted_class") == D.INTRUSION),
                       f"{folder}/predictions_with_actions_{stamp}", fmt="csv")
-    L.export_log(alert_log(spark, sf), folder, RUN, EXPORTED_AT)
+    L.export_log(stored_log(spark, sf), folder, RUN, EXPORTED_AT)
     return folder
 
 
@@ -356,18 +369,18 @@ def chain_append(spark, sf):
 
 @query
 def chain_heads(spark, sf):
-    return C.chain_heads(alert_log(spark, sf))
+    return C.chain_heads(stored_log(spark, sf))
 
 
 @query
 def chain_verify(spark, sf):
-    return C.verify_chain(alert_log(spark, sf))
+    return C.verify_chain(stored_log(spark, sf))
 
 
 @query
 def chain_verify_tampered(spark, sf):
     """Verification of a log in which one amount per segment was altered after hashing."""
-    log = alert_log(spark, sf)
+    log = stored_log(spark, sf)
     hit = (F.col("block_index") == 3)
     forged = log.withColumn("network_features", F.when(hit, F.col("network_features").withField(
         "src_bytes", F.col("network_features.src_bytes") + 1.0)).otherwise(F.col("network_features")))
@@ -376,34 +389,35 @@ def chain_verify_tampered(spark, sf):
 
 @query
 def log_severity(spark, sf):
-    return C.log_severity(alert_log(spark, sf))
+    return C.log_severity(stored_log(spark, sf))
 
 
 @query
 def log_view(spark, sf):
-    return C.log_view(alert_log(spark, sf)).withColumn("immediate_actions", joined("immediate_actions"))
+    return C.log_view(stored_log(spark, sf)).withColumn("immediate_actions", joined("immediate_actions"))
 
 
 @query
 def log_search(spark, sf):
-    return C.log_search(C.log_view(alert_log(spark, sf)), "12").select(
+    return C.log_search(C.log_view(stored_log(spark, sf)), "12").select(
         "segment", "id", "source_ip", "dest_ip", "type", "hash")
 
 
 @query
 def log_page(spark, sf):
-    return C.log_page(C.log_view(alert_log(spark, sf)), page=120).select(
+    return C.log_page(C.log_view(stored_log(spark, sf)), page=120).select(
         "position", "segment", "id", "sample_index", "type", "hash", "total_entries", "total_pages")
 
 
 @query
 def log_page_after(spark, sf):
-    return C.log_page_after(C.log_view(alert_log(spark, sf)), 2, 100).select("segment", "id", "sample_index", "hash")
+    return C.log_page_after(C.log_view(stored_log(spark, sf)), 2, 100).select("segment", "id", "sample_index", "hash")
 
 
 # --- explanation ------------------------------------------------------------
 
-RAW = {f: F.col(f"`{f}`") for f in NUMERIC}
+def raw_values() -> dict:
+    return {f: F.col(f"`{f}`") for f in NUMERIC}
 
 
 @query
@@ -420,12 +434,12 @@ def beeswarm_data(spark, sf):
 
 @query
 def explain_flow(spark, sf):
-    return rounded(X.explain_flow(explained(spark, sf), FEATURES, 15, RAW))
+    return rounded(X.explain_flow(explained(spark, sf), FEATURES, 15, raw_values()))
 
 
 @query
 def explain_flow_top3(spark, sf):
-    return rounded(X.explain_flow(explained(spark, sf), FEATURES, 3, RAW))
+    return rounded(X.explain_flow(explained(spark, sf), FEATURES, 3, raw_values()))
 
 
 @query
@@ -573,3 +587,109 @@ def strip_emoji_text(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     clean = strip_emoji(F.col("text"))
     return docs.select("doc_id", clean.alias("text"), (F.length("text") - F.length(clean)).alias("removed"))
+
+
+# --- learning (no SQL: fitted models) ---------------------------------------
+
+_PACKAGES: dict = {}
+
+
+def package(spark, sf):
+    """A small model fitted on the whole table, saved, loaded again; once per session and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PACKAGES:
+        path = shared_folder(spark)
+        M.train_package(labelled(spark, sf), NUMERIC, trees=5, depth=4).save(spark, path)
+        _PACKAGES[key] = (M.load_package(spark, path), path)
+    return _PACKAGES[key]
+
+
+@query
+def gbt_scores(spark, sf):
+    m, _ = package(spark, sf)
+    return m.score(labelled(spark, sf)).select("flow_id", "y", D.PROB)
+
+
+@query
+def gbt_detection(spark, sf):
+    """Severity counts under the fitted model and its own threshold."""
+    m, _ = package(spark, sf)
+    return D.severity_breakdown(D.detect(labelled(spark, sf), m.threshold, m))
+
+
+@query
+def gbt_loss_curve(spark, sf):
+    m, _ = package(spark, sf)
+    return M.loss_curve(m, P.stratified_split(labelled(spark, sf)).where("is_test"))
+
+
+@query
+def top_features(spark, sf):
+    return M.native_importance(package(spark, sf)[0], spark, 15)
+
+
+@query
+def model_metadata(spark, sf):
+    return spark.read.parquet(f"{package(spark, sf)[1]}/metadata").select(
+        joined("feature_names", ",").alias("feature_names"), "threshold", F.size("feature_names").alias("n_features"),
+        F.explode("performance").alias("metric", "value"))
+
+
+@query
+def model_status(spark, sf):
+    return M.model_status(spark.read.parquet(f"{package(spark, sf)[1]}/metadata"))
+
+
+@query
+def model_trees(spark, sf):
+    return M.model_trees(spark, package(spark, sf)[1])
+
+
+@query
+def shap_trees(spark, sf):
+    """Attributions of the fitted trees and the margin they add up to."""
+    m, _ = package(spark, sf)
+    out = m.explain(m.score(labelled(spark, sf)))
+    total = F.aggregate("shap", F.lit(0.0), lambda a, v: a + v)
+    return out.select("flow_id", D.PROB, F.lit(m.base_value).alias("base_value"), total.alias("total_shap"),
+                      *[F.col("shap")[i].alias(f"shap_{safe_name(f)}") for i, f in enumerate(m.features)])
+
+
+@query
+def shap_trees_importance(spark, sf):
+    m, _ = package(spark, sf)
+    return X.feature_importance(m.explain(labelled(spark, sf)), m.features, m.native_importance())
+
+
+# --- streaming --------------------------------------------------------------
+
+def _finished(run):
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
+
+
+@query
+def stream_alerts(spark, sf):
+    out = shared_folder(spark)
+    _finished(T.run_append(T.stream_alerts(T.read_event_stream(spark, sf)), f"{out}/alerts", f"{out}/state"))
+    return spark.read.parquet(f"{out}/alerts").select(
+        "sample_index", D.PROB, "severity_level", "severity_name", "action_summary",
+        joined("immediate_actions").alias("immediate_actions"))
+
+
+@query
+def stream_chain(spark, sf):
+    out = shared_folder(spark)
+    chained = T.stream_chain(T.stream_alerts(T.read_event_stream(spark, sf)))
+    _finished(T.run_append(chained, f"{out}/log", f"{out}/state"))
+    return spark.read.parquet(f"{out}/log").select(
+        "segment", "block_index", "sample_index", "severity_level", "action_summary", "previous_hash", "hash")
+
+
+@query
+def stream_severity(spark, sf):
+    out = shared_folder(spark)
+    _finished(T.run_complete(T.stream_severity(T.read_event_stream(spark, sf)), f"{out}/counts", f"{out}/state"))
+    return T.newest_result(spark, f"{out}/counts").select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "severity_level", "n")

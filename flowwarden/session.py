@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -17,6 +19,8 @@ def local_session(cores: int | str = 8, app: str = "flowwarden") -> SparkSession
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # the JVM never compiles a method above 8000 bytes; let Spark split such stages instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("FLOWWARDEN_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
@@ -35,3 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="flowwarden-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/flowwarden-{uuid.uuid4().hex}"
+
+
+def ship_functions(module_name: str) -> None:
+    """Send a module's functions to the Python workers by value: executors need no installed copy."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])

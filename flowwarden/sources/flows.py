@@ -61,13 +61,23 @@ def with_row_position(df: DataFrame) -> DataFrame:
 
 def load_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``flows`` view over the events table."""
-    return flows_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return flows_from_events(spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores (a single small file).
+
+    An input that already has enough splits, as any large one does, is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def flows_from_events(events: DataFrame) -> DataFrame:
     """Derive flow records from events; eleven features, a label and a difficulty."""
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    eid = F.col("event_id")
+    # json_tuple parses each text once; an expression would be copied into pushed filters
+    events = events.select("*", F.json_tuple("props", "k").alias("_k"))
+    k, eid = F.col("_k").cast("bigint"), F.col("event_id")
 
     def squared(step: int, size: int, div: float):
         a = ((eid * step) % size).cast("double")

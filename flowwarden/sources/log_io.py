@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from ..fixed_values import GENESIS_MESSAGE, GENESIS_SYSTEM, LOG_PREFIX
 from ..operators.chain import log_summary
 from ..schema import LOG_BLOCK_SCHEMA, LOG_DATA_SCHEMA, LOG_DOCUMENT_SCHEMA
+from ..session import ship_functions
+
+ship_functions(__name__)
 
 
 def log_documents(log: DataFrame, stamp: str) -> DataFrame:
@@ -81,7 +84,7 @@ def read_log(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
         "b.data.network_features", "b.previous_hash", "b.hash")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _document_hash(blocks: pd.Series) -> pd.Series:
     """SHA-256 over the sorted-key JSON text of a block's four hashed fields."""
     def one(text):
