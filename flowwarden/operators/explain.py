@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..fixed_values import ANOMALY_FEATURES, COMPARE_FEATURES, PROFILE_FEATURES
 from ..functions.category import category_of
 from ..functions.text import safe_name
-from ..functions.values import not_nan, ratio
+from ..functions.values import lookup, not_nan, ratio
 from .detect import INTRUSION, NORMAL, PROB, confidence_band
 from .ranking import exact_quantiles
 
@@ -27,20 +27,24 @@ def _shap(i: int) -> Column:
     return F.col("shap")[i]
 
 
-def _entries(features: list[str], raw: dict[str, Column] | None = None) -> Column:
-    """Array of (position, feature, category, value, shap) of a row."""
+def _entry(i: int, value: str) -> str:
+    """Sort key (|shap| in 1e-9 steps, earlier feature first on ties), position, value, shap."""
+    return (f"named_struct('k', CAST(abs(shap[{i}]) * 1e9 + 0.5D AS BIGINT), 'back', {-i}, 'i', {i}, "
+            f"'v', CAST({value} AS DOUBLE), 's', shap[{i}])")
+
+
+def _by_size(features: list[str], keep: str = "", raw: dict[str, str] | None = None) -> Column:
+    """Entries of a row, largest |shap| first; ``keep`` (e.g. '> 0') leaves the others null, at the end."""
     raw = raw or {}
-    return F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), F.lit(category_of(f)).alias("category"),
-                 raw.get(f, F.col("x")[i]).cast("double").alias("feature_value"), _shap(i).alias("shap_value"))
-        for i, f in enumerate(features)])
+    rows = [_entry(i, raw.get(f, f"x[{i}]")) for i, f in enumerate(features)]
+    if keep:
+        rows = [f"CASE WHEN shap[{i}] {keep} THEN {r} END" for i, r in enumerate(rows)]
+    return F.expr("sort_array(array(" + ", ".join(rows) + "), false)")
 
 
-def _by_size(entries: Column) -> Column:
-    """Largest |shap| first, earlier feature first on ties."""
-    keyed = F.transform(entries, lambda e: F.struct(
-        (-F.round(F.abs(e["shap_value"]), 12)).alias("k"), e["i"].alias("i"), e.alias("e")))
-    return F.transform(F.sort_array(keyed), lambda k: k["e"])
+def _named(features: list[str], entry: str) -> list[Column]:
+    at = F.col(f"{entry}.i")
+    return [lookup(features, at).alias("feature"), lookup([category_of(f) for f in features], at).alias("category")]
 
 
 def total_shap(features: list[str]) -> Column:
@@ -49,23 +53,20 @@ def total_shap(features: list[str]) -> Column:
 
 # --- one flow at a time, for all flows --------------------------------------
 
-def explain_flow(df: DataFrame, features: list[str], top: int = 15, raw: dict[str, Column] | None = None) -> DataFrame:
+def explain_flow(df: DataFrame, features: list[str], top: int = 15, raw: dict[str, str] | None = None) -> DataFrame:
     """Per flow: the ``top`` features toward an intrusion and the ``top`` toward normal.
 
+    ``raw`` names the column to show as a feature's value instead of the model input.
     For a single flow put ``where(flow_id = k)`` in front; it reaches the scan.
     """
-    ordered = df.select("flow_id", _by_size(_entries(features, raw)).alias("e"))
-    toward = {
-        INTRUSION: F.slice(F.filter("e", lambda e: e["shap_value"] > 0), 1, top),
-        NORMAL: F.slice(F.filter("e", lambda e: e["shap_value"] < 0), 1, top),
-    }
-    both = F.concat(*[
-        F.transform(rows, lambda e, i: F.struct(
-            F.lit(side).alias("direction"), (i + 1).alias("rank"), e["feature"].alias("feature"),
-            e["category"].alias("category"), e["shap_value"].alias("shap_value"),
-            e["feature_value"].alias("feature_value")))
-        for side, rows in toward.items()])
-    return ordered.select("flow_id", F.inline(both))
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("direction"), F.slice(_by_size(features, keep, raw), 1, top).alias("entries"))
+        for side, keep in ((INTRUSION, "> 0"), (NORMAL, "< 0"))])
+    rows = df.select("flow_id", F.inline(sides)).select(
+        "flow_id", "direction", F.posexplode("entries").alias("at", "e")).where("e IS NOT NULL")
+    return rows.select(
+        "flow_id", "direction", (F.col("at") + 1).alias("rank"), *_named(features, "e"),
+        F.col("e.s").alias("shap_value"), F.col("e.v").alias("feature_value"))
 
 
 def explain_header(df: DataFrame, features: list[str], base_value: float, threshold: float) -> DataFrame:
@@ -121,24 +122,21 @@ def waterfall_data(df: DataFrame, features: list[str], base_value: float, max_di
     """
     n = len(features)
     shown = n if n <= max_display else max_display - 1
-    ordered = df.select("flow_id", _by_size(_entries(features)).alias("e"),
-                        (F.lit(base_value) + total_shap(features)).alias("margin"))
-
-    def summed(items):
-        return F.aggregate(items, F.lit(0.0), lambda acc, e: acc + e["shap_value"])
-
-    bars = F.transform(F.slice("e", 1, shown), lambda e, i: F.struct(
-        (i + 1).alias("bar"), e["feature"].alias("feature"), e["shap_value"].alias("value"),
-        summed(F.slice("e", F.lit(1), i)).alias("before")))
-    if shown < n:
-        head = summed(F.slice("e", 1, shown))
-        rest = F.struct(F.lit(shown + 1).alias("bar"), F.lit(f"{n - shown} other features").alias("feature"),
-                        summed(F.slice("e", shown + 1, n)).alias("value"), head.alias("before"))
-        bars = F.concat(bars, F.array(rest))
-    return ordered.select("flow_id", "margin", F.inline(bars)).select(
-        "flow_id", "bar", "feature", F.round("value", 6).alias("shap_value"),
-        F.round(F.col("margin") - F.col("before") - F.col("value"), 6).alias("bar_from"),
-        F.round(F.col("margin") - F.col("before"), 6).alias("bar_to"))
+    rest = "" if shown == n else (
+        f", named_struct('i', {n}, 's', total - t, 'before', t)")
+    walk = f"""aggregate(slice(e, 1, {shown}),
+        named_struct('t', 0D, 'b', CAST(array() AS ARRAY<STRUCT<i: INT, s: DOUBLE, before: DOUBLE>>)),
+        (a, x) -> named_struct('t', a.t + x.s, 'b', concat(a.b, array(named_struct('i', x.i, 's', x.s, 'before', a.t)))))"""
+    walked = df.select("flow_id", _by_size(features).alias("e"), total_shap(features).alias("total")).select(
+        "flow_id", "total", F.expr(walk).alias("w")).select("flow_id", "total", "w.t", "w.b")
+    bars = walked.select("flow_id", "total", F.posexplode(
+        F.expr(f"concat(b, array({rest[2:]}))") if rest else F.col("b")).alias("at", "bar_entry"))
+    end = F.lit(base_value) + F.col("total") - F.col("bar_entry.before")
+    names = features + [f"{n - shown} other features"]
+    return bars.select(
+        "flow_id", (F.col("at") + 1).alias("bar"), lookup(names, F.col("bar_entry.i")).alias("feature"),
+        F.round("bar_entry.s", 6).alias("shap_value"),
+        F.round(end - F.col("bar_entry.s"), 6).alias("bar_from"), F.round(end, 6).alias("bar_to"))
 
 
 def beeswarm_data(df: DataFrame, features: list[str], top: list[str] | None = None) -> DataFrame:
@@ -214,14 +212,19 @@ def intrusion_category(df: DataFrame, features: list[str]) -> DataFrame:
         F.sum("mean_abs_shap").alias("total_impact"), F.count("feature").alias("feature_count"))
 
 
-def _stats(df: DataFrame, names: list[str]) -> DataFrame:
-    """mean, sample deviation, min and max per class and column, then one row per pair."""
-    vals = {c: not_nan(F.col(f"`{c}`")) for c in names}
-    wide = df.groupBy("predicted_class").agg(*[
-        f(v).alias(f"{n}_{i}") for i, v in enumerate(vals.values())
-        for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+def _stats(df: DataFrame, names: list[str], features: list[str]) -> DataFrame:
+    """mean, sample deviation, min, max and mean attribution per class and column: one wide
+    aggregate, then one row per pair."""
+    aggs = []
+    for i, c in enumerate(names):
+        v = not_nan(F.col(f"`{c}`"))
+        mean_shap = F.avg(_shap(features.index(c))) if c in features else F.lit(None).cast("double")
+        aggs += [F.avg(v).alias(f"mean_{i}"), F.stddev_samp(v).alias(f"std_{i}"), F.min(v).alias(f"min_{i}"),
+                 F.max(v).alias(f"max_{i}"), mean_shap.alias(f"mean_shap_{i}")]
+    wide = df.groupBy("predicted_class").agg(*aggs)
     return wide.select("predicted_class", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}_{i}").alias(n) for n in ("mean", "std", "min", "max")])
+        F.struct(F.lit(c).alias("feature"),
+                 *[F.col(f"{n}_{i}").alias(n) for n in ("mean", "std", "min", "max", "mean_shap")])
         for i, c in enumerate(names)])))
 
 
@@ -231,8 +234,8 @@ def _medians(df: DataFrame, names: list[str], accuracy: int) -> DataFrame:
     return exact_quantiles(long, ["predicted_class", "feature"], "value", {"median": 0.5}, accuracy)
 
 
-def _class_stats(df: DataFrame, names: list[str], accuracy: int) -> DataFrame:
-    return _stats(df, names).join(
+def _class_stats(df: DataFrame, names: list[str], features: list[str], accuracy: int) -> DataFrame:
+    return _stats(df, names, features).join(
         F.broadcast(_medians(df, names, accuracy)), ["predicted_class", "feature"], "left")
 
 
@@ -251,8 +254,7 @@ def intrusion_feature_stats(
 ) -> DataFrame:
     """Value statistics and mean attribution of the key features over flagged flows."""
     hits = df.where(FLAGGED)
-    return _class_stats(hits, present(df, names), accuracy).join(
-        F.broadcast(_mean_shap(hits, features)), ["predicted_class", "feature"], "left").select(
+    return _class_stats(hits, present(df, names), features, accuracy).select(
         "feature", "mean", "median", "std", "min", "max", "mean_shap")
 
 
@@ -281,8 +283,7 @@ def class_compare_raw(
     df: DataFrame, features: list[str], names: list[str] = COMPARE_FEATURES, accuracy: int = 10000,
 ) -> DataFrame:
     """Mean, median and mean attribution of the raw key features, flagged against normal."""
-    stats = _class_stats(df, present(df, names), accuracy).join(
-        F.broadcast(_mean_shap(df, features)), ["predicted_class", "feature"], "left")
+    stats = _class_stats(df, present(df, names), features, accuracy)
     both = _side_by_side(stats, ["mean", "median", "mean_shap"])
     return both.select(
         *both.columns,
@@ -292,7 +293,7 @@ def class_compare_raw(
 
 def network_feature_analysis(df: DataFrame, names: list[str], accuracy: int = 10000) -> DataFrame:
     """Mean, median and deviation of every numeric column by class."""
-    both = _side_by_side(_class_stats(df, names, accuracy), ["mean", "median", "std"])
+    both = _side_by_side(_class_stats(df, names, [], accuracy), ["mean", "median", "std"])
     cats = df.sparkSession.createDataFrame([(f, category_of(f)) for f in names], "feature string, category string")
     return both.join(F.broadcast(cats), "feature").select(
         *both.columns, "category",
@@ -304,9 +305,9 @@ def network_feature_analysis(df: DataFrame, names: list[str], accuracy: int = 10
 def top_alerts(df: DataFrame, features: list[str], n: int = 10) -> DataFrame:
     """Highest-probability intrusions with the feature that contributes most."""
     best = df.where(FLAGGED).orderBy(F.desc(PROB), "flow_id").limit(n)
-    first = _by_size(_entries(features))[0]
-    return best.select("flow_id", PROB, first.alias("e")).select(
-        "flow_id", PROB, F.col("e.feature").alias("top_feature"), F.round("e.shap_value", 6).alias("top_shap"))
+    first = best.select("flow_id", PROB, _by_size(features)[0].alias("e"))
+    return first.select(
+        "flow_id", PROB, lookup(features, F.col("e.i")).alias("top_feature"), F.round("e.s", 6).alias("top_shap"))
 
 
 def top_by_feature(df: DataFrame, features: list[str], name: str, n: int = 10) -> DataFrame:

@@ -153,7 +153,7 @@ def train_package(
 def loss_curve(package: ModelPackage, labelled: DataFrame) -> DataFrame:
     """Log loss on a labelled table after each boosting round."""
     ready = package.with_features(labelled).select(
-        F.col("y").cast("double").alias("y"), array_to_vector("x").alias("features"))
+        F.col("y").cast("double").alias("y"), F.lit(1.0).alias("w"), array_to_vector("x").alias("features"))
     losses = package.model.evaluateEachIteration(ready)
     return labelled.sparkSession.createDataFrame(
         [(i + 1, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")

@@ -135,16 +135,15 @@ def stratified_split(
     keyed = df.withColumn("_h", split_hash(seed, key)).withColumn(
         "_b", F.conv(F.substring("_h", 1, 5), 16, 10).cast("bigint"))
     counts = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("n"))
-    # per-class quotas: floors first, the left-over seats to the largest remainders
-    sizes = counts.groupBy(label).agg(F.sum("n").alias("n_class"))
-    n_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    share = F.ceil(F.lit(fraction) * n_all) * F.col("n_class") / n_all.cast("double")
-    by_rest = W.orderBy(F.desc("_rest"), label)
+    # per-class quotas: floors first, the left-over seats to the largest remainders; one row per class
     everyone = W.partitionBy()
+    sizes = counts.groupBy(label).agg(F.sum("n").alias("n_class")).withColumn("n_all", F.sum("n_class").over(everyone))
+    seats = F.ceil(F.lit(fraction) * F.col("n_all"))
+    share = seats * F.col("n_class") / F.col("n_all").cast("double")
     quotas = (
         sizes.withColumn("_floor", F.floor(share)).withColumn("_rest", share - F.col("_floor"))
-        .withColumn("_seat", F.row_number().over(by_rest))
-        .withColumn("_open", F.ceil(F.lit(fraction) * n_all) - F.sum("_floor").over(everyone))
+        .withColumn("_seat", F.row_number().over(W.orderBy(F.desc("_rest"), label)))
+        .withColumn("_open", seats - F.sum("_floor").over(everyone))
         .select(label, (F.col("_floor") + (F.col("_seat") <= F.col("_open")).cast("bigint")).alias("quota"))
     )
     totals = running_totals(counts, "_b", ["n"], by=[label])

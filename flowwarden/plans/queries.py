@@ -417,7 +417,7 @@ def log_page_after(spark, sf):
 # --- explanation ------------------------------------------------------------
 
 def raw_values() -> dict:
-    return {f: F.col(f"`{f}`") for f in NUMERIC}
+    return {f: f"`{f}`" for f in NUMERIC}
 
 
 @query

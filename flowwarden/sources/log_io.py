@@ -101,7 +101,7 @@ def verify_documents(spark: SparkSession, path: str) -> DataFrame:
     parallel; the link to the predecessor is a window inside the file. The genesis block
     is not rehashed, as those files define it.
     """
-    docs = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     raw = docs.select("file", F.explode(F.from_json("value", "blocks array<string>")["blocks"]).alias("raw"))
     keyed = raw.withColumn("b", F.from_json("raw", LOG_BLOCK_SCHEMA)).select(
         "file", "b.index", "b.hash", "b.previous_hash", _document_hash("raw").alias("own"))
