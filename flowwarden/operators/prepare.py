@@ -14,9 +14,16 @@ from .ranking import running_totals
 HASH_BUCKETS = 1 << 20
 
 
-def clean_flows(df: DataFrame) -> DataFrame:
-    """Drop equal rows (difficulty included), then the difficulty, then rows with nulls."""
-    return df.dropDuplicates().drop(DIFFICULTY_COLUMN).na.drop("any")
+def clean_flows(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Drop equal rows (difficulty included), then the difficulty, then rows with nulls.
+
+    With a ``key`` column, rows are equal when all others are, and the smallest key stays.
+    """
+    if key is None:
+        unique = df.dropDuplicates()
+    else:
+        unique = df.groupBy(*[f"`{c}`" for c in df.columns if c != key]).agg(F.min(key).alias(key))
+    return unique.drop(DIFFICULTY_COLUMN).na.drop("any")
 
 
 def label_flows(df: DataFrame) -> DataFrame:
