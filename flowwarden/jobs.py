@@ -50,7 +50,7 @@ def detect(spark, source: str, model_path: str, out: str, run_stamp: str, export
     A.write_table(D.detect(flows, package.threshold, package), scored_path)
     scored = spark.read.parquet(scored_path)
     log_path = f"{out}/threat_log/run={run_stamp}"
-    A.write_table(C.append_entries(D.alerts(scored)), log_path)
+    A.write_table(C.append_flows(scored), log_path)
     log = spark.read.parquet(log_path)
     L.export_log(log, out, run_stamp, exported_at)
     A.write_table(C.chain_heads(log), f"{out}/threat_log_heads/run={run_stamp}")

@@ -11,8 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..fixed_values import GENESIS_MESSAGE, GENESIS_PREVIOUS_HASH, LOG_PAGE_SIZE, LOG_VIEW_DEFAULTS, SEVERITY_LEVELS
+from ..fixed_values import (
+    GENESIS_MESSAGE, GENESIS_PREVIOUS_HASH, KEY_FEATURES, LOG_PAGE_SIZE, LOG_VIEW_DEFAULTS, SEVERITY_LEVELS,
+)
 from ..schema import CATEGORICAL_FEATURES, NETWORK_FEATURES_SCHEMA
+from .detect import INTRUSION, PROB, only, summarise_action
+from .detect import alerts as make_alerts
 from .ranking import running_totals
 
 SEGMENT_SPAN = 1000
@@ -24,7 +28,7 @@ DATA_COLUMNS = [
 
 
 def segment_of(flow_id: Column, span: int = SEGMENT_SPAN) -> Column:
-    return F.floor(flow_id / F.lit(span)).cast("bigint")
+    return F.call_function("div", flow_id, F.lit(span)).cast("bigint")
 
 
 def _plain(c: Column) -> Column:
@@ -79,13 +83,14 @@ def append_entries(alerts: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
     One shuffle on the segment; hashing stays in the JVM and a task holds at most ``span``
     entries of a segment at a time.
     """
-    segment = segment_of(F.col("sample_index"), span)
+    segment = F.col("segment") if "segment" in alerts.columns else segment_of(F.col("sample_index"), span)
     entry = F.struct("sample_index", payload().alias("payload"), F.struct(*DATA_COLUMNS).alias("data"))
     grouped = alerts.select(segment.alias("segment"), entry.alias("e")).groupBy("segment").agg(
         F.sort_array(F.collect_list("e")).alias("entries"))
     hashed = grouped.withColumn(
         "hashes", _linked(F.col("entries"), lambda x: x["payload"], genesis_hash(F.col("segment"))))
-    blocks = hashed.select("segment", F.posexplode("hashes").alias("block_index", "hash"), "entries", "hashes")
+    # the outer form: a plain explode would filter on the array's size and so hash the chain twice
+    blocks = hashed.select("segment", F.posexplode_outer("hashes").alias("block_index", "hash"), "entries", "hashes")
     # element_at is null past the array, which is what the genesis block needs
     mine = F.when(F.col("block_index") > 0, F.get("entries", F.col("block_index") - 1))
     return blocks.select(
@@ -98,6 +103,20 @@ def append_entries(alerts: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
     )
 
 
+def append_flows(graded: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
+    """Chain the flagged flows of a graded table.
+
+    Texts and lists are many times larger than the numbers they follow from, so the flows
+    move to their segment first and are worded there; grouping then needs no further shuffle.
+    """
+    needed = ["flow_id", "src_id", *KEY_FEATURES, PROB, "predicted_class", "severity_level", "severity_name",
+              "priority", "response"]
+    slim = only(graded, INTRUSION).where("severity_level > 0").select(
+        *[f"`{c}`" for c in needed if c in graded.columns], segment_of(F.col("flow_id"), span).alias("segment"))
+    placed = slim.repartition("segment")
+    return append_entries(make_alerts(summarise_action(placed), keep=("segment",)), span)
+
+
 def segment_heads(log: DataFrame) -> DataFrame:
     """Last block of every segment."""
     return log.groupBy("segment").agg(
@@ -105,13 +124,22 @@ def segment_heads(log: DataFrame) -> DataFrame:
         F.max_by("hash", "block_index").alias("head"))
 
 
-def chain_heads(log: DataFrame, levels: int = 2, span: int = SEGMENT_SPAN) -> DataFrame:
+def head_levels(log: DataFrame, span: int = SEGMENT_SPAN) -> int:
+    """Levels needed so that no chain of heads, the root included, is longer than ``span``."""
+    top = log.agg(F.max(F.abs("segment"))).first()[0] or 0
+    levels = 0
+    while top >= span:
+        top, levels = top // span, levels + 1
+    return levels
+
+
+def chain_heads(log: DataFrame, levels: int | None = None, span: int = SEGMENT_SPAN) -> DataFrame:
     """Chain segment heads level by level up to one root.
 
-    Level k groups ``span`` neighbours of level k-1. Two levels and the root cover a
-    thousand million flow ids with at most ``span`` heads in a chain; give one level more
-    per further factor of ``span``.
+    Level k groups ``span`` neighbours of level k-1; the last level is the root. The number
+    of levels follows from the largest segment unless given.
     """
+    levels = head_levels(log, span) if levels is None else levels
     below = segment_heads(log).select(F.col("segment").alias("id"), "head")
     out = None
     for level in range(1, levels + 2):
@@ -153,11 +181,12 @@ def verify_chain(log: DataFrame) -> DataFrame:
         (~F.bool_or(bad)).alias("is_valid"))
 
 
-def verify_sealed(log: DataFrame, heads: DataFrame, levels: int = 2, span: int = SEGMENT_SPAN) -> DataFrame:
+def verify_sealed(log: DataFrame, heads: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
     """Levels and groups whose stored head hash no longer follows from the log.
 
     Catches what a chain cannot see by itself: blocks cut off its end, or a whole segment.
     """
+    levels = heads.agg(F.max("level")).first()[0] - 1
     now = chain_heads(log, levels, span).withColumnRenamed("hash", "hash_now").drop("n_heads")
     return heads.join(now, ["level", "group"], "full_outer").where(
         ~F.col("hash").eqNullSafe(F.col("hash_now"))).select("level", "group", "hash", "hash_now")

@@ -100,7 +100,7 @@ def network_features(df: DataFrame) -> Column:
     return F.struct(*fields)
 
 
-def alerts(graded: DataFrame) -> DataFrame:
+def alerts(graded: DataFrame, keep: tuple = ()) -> DataFrame:
     """One log entry per flagged flow; all immediate but only the first monitoring actions."""
     found = only(graded, INTRUSION).where(F.col("severity_level") > 0)
     number = F.col("response")
@@ -109,7 +109,7 @@ def alerts(graded: DataFrame) -> DataFrame:
         "action_summary",
         P.immediate_actions(number).alias("immediate_actions"),
         P.logged_monitoring_actions(number).alias("monitoring_actions"),
-        network_features(found).alias("network_features"),
+        network_features(found).alias("network_features"), *keep,
     )
 
 

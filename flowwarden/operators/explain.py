@@ -4,7 +4,9 @@ Input: scored flows with two arrays per row, ``x`` (feature values) and ``shap``
 (attributions), both ordered like a list of feature names known when the plan is built.
 Reports per flow are computed inside the row, without a shuffle; reports over flows
 are one wide aggregate whose result is turned into rows afterwards. The long
-(flow, feature) table is only built where rows are the output.
+(flow, feature) table is only built where rows are the output. Computed arrays are turned
+into rows by the outer generators: the plain ones add a filter on the array's size, which
+would compute the array a second time.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ def explain_flow(df: DataFrame, features: list[str], top: int = 15, raw: dict[st
         F.struct(F.lit(side).alias("direction"), F.slice(_by_size(features, keep, raw), 1, top).alias("entries"))
         for side, keep in ((INTRUSION, "> 0"), (NORMAL, "< 0"))])
     rows = df.select("flow_id", F.inline(sides)).select(
-        "flow_id", "direction", F.posexplode("entries").alias("at", "e")).where("e IS NOT NULL")
+        "flow_id", "direction", F.posexplode_outer("entries").alias("at", "e")).where("e IS NOT NULL")
     return rows.select(
         "flow_id", "direction", (F.col("at") + 1).alias("rank"), *_named(features, "e"),
         F.col("e.s").alias("shap_value"), F.col("e.v").alias("feature_value"))
@@ -109,7 +111,8 @@ def contrib_share(df: DataFrame, features: list[str]) -> DataFrame:
         return F.aggregate("s", F.lit(0.0), lambda acc, s: acc + F.when(
             s["contribution"] * sign > 0, F.abs(s["contribution"])).otherwise(0.0))
 
-    return kept.select("flow_id", part(1).alias("_pos"), part(-1).alias("_neg"), F.inline("s")).select(
+    return kept.select("flow_id", part(1).alias("_pos"), part(-1).alias("_neg"), F.inline_outer("s")).where(
+        "contribution IS NOT NULL").select(
         "flow_id", F.when(F.col("contribution") > 0, INTRUSION).otherwise(NORMAL).alias("direction"),
         "category", F.round(ratio(F.abs("contribution"), F.when(
             F.col("contribution") > 0, F.col("_pos")).otherwise(F.col("_neg"))), 6).alias("share"))
@@ -129,7 +132,7 @@ def waterfall_data(df: DataFrame, features: list[str], base_value: float, max_di
         (a, x) -> named_struct('t', a.t + x.s, 'b', concat(a.b, array(named_struct('i', x.i, 's', x.s, 'before', a.t)))))"""
     walked = df.select("flow_id", _by_size(features).alias("e"), total_shap(features).alias("total")).select(
         "flow_id", "total", F.expr(walk).alias("w")).select("flow_id", "total", "w.t", "w.b")
-    bars = walked.select("flow_id", "total", F.posexplode(
+    bars = walked.select("flow_id", "total", F.posexplode_outer(
         F.expr(f"concat(b, array({rest[2:]}))") if rest else F.col("b")).alias("at", "bar_entry"))
     end = F.lit(base_value) + F.col("total") - F.col("bar_entry.before")
     names = features + [f"{n - shown} other features"]

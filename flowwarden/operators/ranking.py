@@ -18,7 +18,7 @@ def running_totals(
     """
     by = by or []
     block = f"_blk{levels}"
-    cut = df.withColumn(block, F.floor(F.col(key) / F.lit(fanout)).cast("bigint"))
+    cut = df.withColumn(block, F.call_function("div", F.col(key).cast("bigint"), F.lit(fanout)).cast("bigint"))
     totals = cut.groupBy(*by, block).agg(*[F.sum(s).alias(s) for s in sums])
     if levels > 1:
         offsets = running_totals(totals, block, sums, by, fanout, levels - 1)

@@ -73,7 +73,7 @@ def importance(spark, sf) -> DataFrame:
 
 
 def alert_log(spark, sf) -> DataFrame:
-    return C.append_entries(D.alerts(graded(spark, sf)))
+    return C.append_flows(graded(spark, sf))
 
 
 _LOGS: dict = {}
@@ -369,7 +369,7 @@ def chain_append(spark, sf):
 
 @query
 def chain_heads(spark, sf):
-    return C.chain_heads(stored_log(spark, sf))
+    return C.chain_heads(stored_log(spark, sf), levels=2)
 
 
 @query

@@ -62,7 +62,7 @@ def test_rewritten_hash_breaks_the_successor(log):
 
 
 def test_cut_tail_is_seen_by_the_heads(log):
-    heads = C.chain_heads(log)
+    heads = C.chain_heads(log, levels=2)
     last = log.where("segment = 5").agg(F.max("block_index")).first()[0]
     cut = log.where(~((F.col("segment") == 5) & (F.col("block_index") == last)))
     assert bad_segments(cut) == {}
@@ -132,3 +132,19 @@ def test_single_document_logs(spark, tmp_path):
     assert got == {"good.json": (5, 4, True), "bad.json": (5, 4, False), "cut.json": (5, 4, False)}
     view = C.log_view(L.read_log(spark, str(tmp_path / "blockchain_threat_log_good.json"), multi_line=True))
     assert view.count() == 4 and {r["source_ip"] for r in view.collect()} == {"N/A"}
+
+
+def test_head_levels_follow_the_ids(spark):
+    ids = [0, 5, 999_999, 2**62, 2**62 + 1]
+    log = spark.createDataFrame([(i // 1000, 0, f"h{i}") for i in ids], "segment long, block_index int, hash string")
+    assert C.head_levels(log) == 5 and C.head_levels(log.where("segment < 1000")) == 0
+    heads = C.chain_heads(log)
+    assert heads.agg(F.max("n_heads")).first()[0] <= C.SEGMENT_SPAN
+    assert heads.where("level = 6").count() == 1
+    assert C.verify_sealed(log, heads).count() == 0
+
+
+def test_large_ids_keep_their_segment(spark):
+    ids = [2**60 + 1, 2**60 + 2, -1, 1999]
+    got = spark.createDataFrame([(i,) for i in ids], "i long").select(C.segment_of(F.col("i")).alias("s")).collect()
+    assert [r["s"] for r in got] == [(2**60 + 1) // 1000, (2**60 + 2) // 1000, 0, 1]
