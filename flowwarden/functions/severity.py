@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import PROBABILITY_POINTS, SCORE_LEVELS, SEVERITY_BANDS, SEVERITY_LEVELS
-from .values import case_sql, feature_sql, lookup
+from .values import case_sql, constant_table, feature_sql, lookup
 
 
 def severity_score(df: DataFrame, probability: str) -> Column:
@@ -34,7 +34,4 @@ def severity_priority(level: Column) -> Column:
 
 def severity_table(spark) -> DataFrame:
     """The four severity levels as a relation."""
-    return spark.createDataFrame(
-        SEVERITY_LEVELS,
-        "severity_level int, severity_name string, priority string, description string",
-    )
+    return constant_table(spark, SEVERITY_LEVELS, ["severity_level", "severity_name", "priority", "description"])

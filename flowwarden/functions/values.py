@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def ratio(num: Column, den: Column, default: float = 0.0) -> Column:
@@ -37,3 +37,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All double columns rounded, for output."""
     return df.select(*[
         F.round(f"`{c}`", digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def constant_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few fixed rows as a local relation: no job and no Python worker to read them."""
+    def literal(v) -> str:
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{v!r}D" if isinstance(v, float) else str(v)
+
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")

@@ -19,6 +19,7 @@ from .operators import evaluate as E
 from .operators import explain as X
 from .operators import model as M
 from .operators import prepare as P
+from .session import shared_folder
 from .sources import artifacts as A
 from .sources import flows as S
 from .sources import log_io as L
@@ -33,7 +34,8 @@ def read_input(spark: SparkSession, path: str) -> DataFrame:
 def train(spark, source: str, model_path: str, trees=BOOSTING["n_estimators"], depth=BOOSTING["max_depth"],
           policy="first") -> M.ModelPackage:
     """Clean, label, split, fit, choose the threshold, save."""
-    flows = P.label_flows(P.clean_flows(read_input(spark, source), key="flow_id"))
+    staged = A.write_table(P.label_flows(P.clean_flows(read_input(spark, source), key="flow_id")), shared_folder(spark))
+    flows = spark.read.parquet(staged)
     numeric, categorical = P.split_by_type(flows, (LABEL_COLUMN, "flow_id", "y"))
     package = M.train_package(flows, numeric, categorical, trees, depth, policy)
     return package.save(spark, model_path)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..fixed_values import ANOMALY_FEATURES, COMPARE_FEATURES, PROFILE_FEATURES
 from ..functions.category import category_of
 from ..functions.text import safe_name
-from ..functions.values import lookup, not_nan, ratio
+from ..functions.values import constant_table, lookup, not_nan, ratio
 from .detect import INTRUSION, NORMAL, PROB, confidence_band
 from .ranking import exact_quantiles
 
@@ -167,7 +167,7 @@ def _mean_abs(c: Column) -> Column:
 
 
 def native_table(spark, importance: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame(sorted(importance.items()), "feature string, native_importance double")
+    return constant_table(spark, sorted(importance.items()), ["feature", "native_importance"])
 
 
 def feature_importance(df: DataFrame, features: list[str], importance: dict[str, float]) -> DataFrame:
@@ -273,7 +273,7 @@ def _side_by_side(df: DataFrame, value_columns: list[str]) -> DataFrame:
 def class_compare_shap(df: DataFrame, features: list[str], top: int = 20) -> DataFrame:
     """Mean attribution of flagged against normal flows, the most different features first."""
     both = _side_by_side(_mean_shap(df, features), ["mean_shap"])
-    cats = df.sparkSession.createDataFrame([(f, category_of(f)) for f in features], "feature string, category string")
+    cats = constant_table(df.sparkSession, [(f, category_of(f)) for f in features], ["feature", "category"])
     diff = F.col("intrusion_mean_shap") - F.col("normal_mean_shap")
     rows = both.join(F.broadcast(cats), "feature").select(
         "feature", "category", F.col("intrusion_mean_shap").alias("intrusion_shap"),
@@ -297,7 +297,7 @@ def class_compare_raw(
 def network_feature_analysis(df: DataFrame, names: list[str], accuracy: int = 10000) -> DataFrame:
     """Mean, median and deviation of every numeric column by class."""
     both = _side_by_side(_class_stats(df, names, [], accuracy), ["mean", "median", "std"])
-    cats = df.sparkSession.createDataFrame([(f, category_of(f)) for f in names], "feature string, category string")
+    cats = constant_table(df.sparkSession, [(f, category_of(f)) for f in names], ["feature", "category"])
     return both.join(F.broadcast(cats), "feature").select(
         *both.columns, "category",
         (F.col("intrusion_mean") - F.col("normal_mean")).alias("mean_difference"))
@@ -369,10 +369,10 @@ def find_anomalies(
         F.struct(F.lit(c).alias("feature"), not_nan(F.col(f"`{c}`")).alias("value")) for c in cols])))
     q99 = exact_quantiles(long, ["feature"], "value", {"q99": 0.99}, accuracy)
     high = long.join(F.broadcast(q99), "feature").where(F.col("value") > F.col("q99"))
-    # smallest ids per feature by a bounded, map-side combined top-k
-    tops = [
-        high.where(F.col("feature") == c).orderBy("flow_id").limit(per_feature) for c in cols]
-    united = reduce(lambda a, b: a.unionByName(b), tops).select("flow_id", "predicted_class", PROB).distinct()
+    # Spark limits each partition to its first rows per feature before the shuffle
+    first = F.row_number().over(W.partitionBy("feature").orderBy("flow_id"))
+    tops = high.withColumn("_rank", first).where(F.col("_rank") <= per_feature)
+    united = tops.select("flow_id", "predicted_class", PROB).distinct()
     return united.orderBy("flow_id").limit(n)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..fixed_values import BOOSTING, DEFAULT_THRESHOLD, LABEL_MAPPING
 from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from ..session import shared_folder
 from . import evaluate as E
 from . import prepare as P
 from .detect import PROB
@@ -118,12 +119,18 @@ def train_package(
 ) -> ModelPackage:
     """Split, fit the encoder and scaler on the training part, boost, choose the threshold.
 
-    ``labelled`` holds ``flow_id``, ``y`` and the features. The split is cached because
-    every boosting round reads it.
+    ``labelled`` holds ``flow_id``, ``y`` and the features. The split is written once, by
+    part, so that the passes after it prune to the part they need and repeat none of the
+    work before it; the encoded rows are cached because every boosting round reads them.
     """
-    split = P.stratified_split(labelled)
+    spark = labelled.sparkSession
+    folder = shared_folder(spark)
+    P.stratified_split(labelled).select(
+        "flow_id", "y", F.col("is_test").cast("int").alias("part"), *[f"`{c}`" for c in (*numeric, *categorical)]
+    ).write.partitionBy("part").parquet(folder)
+    split = spark.read.parquet(folder).withColumn("is_test", F.col("part") == 1)
     train = split.where(~F.col("is_test"))
-    vocab = P.collect_vocab(labelled, categorical)
+    vocab = P.collect_vocab(split, categorical)
     scaler = P.collect_scaler(train, numeric)
     package = ModelPackage(None, numeric, vocab, scaler, config={
         "n_estimators": trees, "max_depth": depth, "learning_rate": BOOSTING["learning_rate"],
