@@ -103,8 +103,8 @@ def append_entries(alerts: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
     )
 
 
-def append_flows(graded: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
-    """Chain the flagged flows of a graded table.
+def placed_alerts(graded: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
+    """Log entries of the flagged flows, each on the partition of its ``segment``.
 
     Texts and lists are many times larger than the numbers they follow from, so the flows
     move to their segment first and are worded there; grouping then needs no further shuffle.
@@ -113,8 +113,12 @@ def append_flows(graded: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
               "priority", "response"]
     slim = only(graded, INTRUSION).where("severity_level > 0").select(
         *[f"`{c}`" for c in needed if c in graded.columns], segment_of(F.col("flow_id"), span).alias("segment"))
-    placed = slim.repartition("segment")
-    return append_entries(make_alerts(summarise_action(placed), keep=("segment",)), span)
+    return make_alerts(summarise_action(slim.repartition("segment")), keep=("segment",))
+
+
+def append_flows(graded: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
+    """Chain the flagged flows of a graded table."""
+    return append_entries(placed_alerts(graded, span), span)
 
 
 def segment_heads(log: DataFrame) -> DataFrame:

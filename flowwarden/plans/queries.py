@@ -681,7 +681,7 @@ def stream_alerts(spark, sf):
 @query
 def stream_chain(spark, sf):
     out = shared_folder(spark)
-    chained = T.stream_chain(T.stream_alerts(T.read_event_stream(spark, sf)))
+    chained = T.stream_chain(T.read_event_stream(spark, sf))
     _finished(T.run_append(chained, f"{out}/log", f"{out}/state"))
     return spark.read.parquet(f"{out}/log").select(
         "segment", "block_index", "sample_index", "severity_level", "action_summary", "previous_hash", "hash")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..fixed_values import DEFAULT_THRESHOLD, GENESIS_MESSAGE, GENESIS_PREVIOUS_HASH
 from ..functions.scorecard import DEFAULT_SCORECARD
-from ..operators.chain import DATA_COLUMNS, SEGMENT_SPAN, SEP, payload, segment_of
+from ..operators.chain import DATA_COLUMNS, SEGMENT_SPAN, SEP, payload, placed_alerts
 from ..operators.detect import alerts, detect
 from ..session import ship_functions
 from ..sources.flows import flows_from_events
@@ -64,19 +64,20 @@ def _extend(key, batches, state):
     yield frame.astype({"sample_index": "Int64"})
 
 
-def stream_chain(alert_stream: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
-    """Append arriving alerts to the chain of their segment.
+def stream_chain(flows: DataFrame, span: int = SEGMENT_SPAN, threshold: float = DEFAULT_THRESHOLD,
+                 scorer=DEFAULT_SCORECARD) -> DataFrame:
+    """Score arriving flows and append their alerts to the chain of their segment.
 
     The last index and hash of a segment are kept as state, so a restart continues from
     the checkpoint. Blocks follow arrival: micro-batch first, flow id inside it; for input
     in id order the result is the batch chain. For very many open segments run with the
     RocksDB state store.
     """
+    alert_stream = placed_alerts(detect(flows, threshold, scorer), span)
     data = F.struct(*DATA_COLUMNS)
     entry_type = alert_stream.select(data.alias("d")).schema["d"].dataType
     keyed = alert_stream.select(
-        segment_of(F.col("sample_index"), span).alias("segment"), "sample_index",
-        payload().alias("payload"), F.to_json(data).alias("entry"))
+        "segment", "sample_index", payload().alias("payload"), F.to_json(data).alias("entry"))
     chained = keyed.groupBy("segment").applyInPandasWithState(
         _extend, _CHAINED, _STATE, "append", GroupStateTimeout.NoTimeout)
     return chained.withColumn("d", F.from_json("entry", entry_type)).select(

@@ -79,7 +79,7 @@ def test_stream_alerts_equal_batch(spark, feed):
 def test_stream_chain_continues_over_batches_and_restarts(spark, feed):
     out = shared_folder(spark)
     span = 300                                   # segments cross micro-batches
-    chained = lambda: T.stream_chain(T.stream_alerts(stream(spark, feed)), span)
+    chained = lambda: T.stream_chain(stream(spark, feed), span)
     finish(T.run_append(chained(), f"{out}/log", f"{out}/c"))
     log = spark.read.parquet(f"{out}/log")
     want = C.append_entries(D.alerts(Q.graded(spark, SF)), span)
