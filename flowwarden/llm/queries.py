@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, packing, sharding
+from . import chat, decontam, packing, sharding, simhash
 from .common import text_or_empty
 
 N_SHARDS = 40
+SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -16,6 +17,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op2_decontamination(spark, sf_dir):
+    return decontam.matches(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op3_chat_format(spark, sf_dir):
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -28,10 +37,16 @@ def op7_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "start")
 
 
+def op9_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(documents(spark, sf_dir), SIMHASH_WORDS, SIMHASH_BITS)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_packing(spark, sf_dir):
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continued", "continues")
 
 
-REGISTRY = {f.__name__: f for f in (op3_chat_format, op7_sharding, op10_packing)}
+REGISTRY = {f.__name__: f for f in (
+    op2_decontamination, op3_chat_format, op7_sharding, op9_simhash, op10_packing)}
