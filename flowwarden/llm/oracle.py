@@ -24,3 +24,25 @@ SELECT k.conv_id, any_value(k.n) AS n_turns, any_value(k.n_copies) AS n_copies,
 FROM kept k JOIN turns t ON t.conv_id IS NOT DISTINCT FROM k.conv_id
 GROUP BY k.conv_id
 """
+
+# Of two lines of 10 or more characters one edit apart, the first or the last five agree.
+SQL["op4_line_dedup"] = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(a, 1) AS no, unnest(a) AS line FROM cut),
+firsts AS (
+  SELECT line, min((doc_id, no)) AS first FROM (SELECT line, doc_id, no FROM lines WHERE length(line) >= 10) GROUP BY line),
+near AS (
+  SELECT DISTINCT b.line FROM firsts a JOIN firsts b
+    ON left(a.line, 5) = left(b.line, 5) AND abs(length(a.line) - length(b.line)) <= 1 AND a.first < b.first
+  WHERE levenshtein(a.line, b.line) <= 1
+  UNION
+  SELECT DISTINCT b.line FROM firsts a JOIN firsts b
+    ON right(a.line, 5) = right(b.line, 5) AND abs(length(a.line) - length(b.line)) <= 1 AND a.first < b.first
+  WHERE levenshtein(a.line, b.line) <= 1),
+marked AS (
+  SELECT l.doc_id, l.no, l.line, coalesce(f.first <> (l.doc_id, l.no), false) OR n.line IS NOT NULL AS gone
+  FROM lines l LEFT JOIN firsts f ON f.line = l.line LEFT JOIN near n ON n.line = l.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, packing, sharding, simhash
+from . import chat, decontam, lines, packing, sharding, simhash
 from .common import text_or_empty
 
 N_SHARDS = 40
@@ -29,6 +29,11 @@ def op3_chat_format(spark, sf_dir):
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    kept = lines.drop_repeated_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark, sf_dir):
     text = text_or_empty("text")
     rows = sharding.byte_shards(
@@ -49,4 +54,4 @@ def op10_packing(spark, sf_dir):
 
 
 REGISTRY = {f.__name__: f for f in (
-    op2_decontamination, op3_chat_format, op7_sharding, op9_simhash, op10_packing)}
+    op2_decontamination, op3_chat_format, op4_line_dedup, op7_sharding, op9_simhash, op10_packing)}
