@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, lines, packing, sharding, simhash
+from . import chat, decontam, language, lines, packing, sharding, simhash
 from .common import text_or_empty
 
 N_SHARDS = 40
@@ -34,6 +34,25 @@ def op4_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """Documents declare a language and come from a source, which stands for the host; they have no address."""
+    none = F.lit(None).cast("string")
+    return language.identify(docs, language.train(docs), F.col("text"), F.col("lang"), F.col("source"), none)
+
+
+def op5_language_id(spark, sf_dir):
+    return identified(documents(spark, sf_dir)).select("doc_id", "lang", "language", "confidence", "text_language", "accepted")
+
+
+def page_languages(spark, sf_dir):
+    """Pages by the model of the documents: markup, host and address suffix as they are declared."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = language.identify(
+        pages, language.train(documents(spark, sf_dir)), language.markup_text("html"), language.markup_language("html"),
+        language.address_host("url"), language.address_suffix("url"))
+    return found.select("page_id", "language", "confidence", "text_language", "accepted")
+
+
 def op7_sharding(spark, sf_dir):
     text = text_or_empty("text")
     rows = sharding.byte_shards(
@@ -54,4 +73,5 @@ def op10_packing(spark, sf_dir):
 
 
 REGISTRY = {f.__name__: f for f in (
-    op2_decontamination, op3_chat_format, op4_line_dedup, op7_sharding, op9_simhash, op10_packing)}
+    op2_decontamination, op3_chat_format, op4_line_dedup, op5_language_id, op7_sharding, op9_simhash, op10_packing,
+    page_languages)}
