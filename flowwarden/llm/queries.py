@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, lines, packing, sharding, simhash
+from . import chat, decontam, language, lines, packing, quality, sharding, simhash
 from .common import text_or_empty
 
 N_SHARDS = 40
+QUALITY_THRESHOLD = 0.3
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -61,6 +62,14 @@ def op7_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "start")
 
 
+def op8_quality(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = quality.fold() == 0
+    model = quality.fit(docs, labels.where(~held_out))
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_simhash(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir), SIMHASH_WORDS, SIMHASH_BITS)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -73,5 +82,5 @@ def op10_packing(spark, sf_dir):
 
 
 REGISTRY = {f.__name__: f for f in (
-    op2_decontamination, op3_chat_format, op4_line_dedup, op5_language_id, op7_sharding, op9_simhash, op10_packing,
+    op2_decontamination, op3_chat_format, op4_line_dedup, op5_language_id, op7_sharding, op8_quality, op9_simhash, op10_packing,
     page_languages)}
