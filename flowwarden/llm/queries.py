@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, lines, packing, quality, sharding, simhash
+from . import chat, decontam, language, lines, packing, quality, sharding, simhash, winnow
 from .common import text_or_empty
 
 N_SHARDS = 40
@@ -22,6 +22,10 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def op1_fingerprints(spark, sf_dir):
+    return winnow.compared_with_edits(documents(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontam.matches(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
@@ -82,5 +86,5 @@ def op10_packing(spark, sf_dir):
 
 
 REGISTRY = {f.__name__: f for f in (
-    op2_decontamination, op3_chat_format, op4_line_dedup, op5_language_id, op7_sharding, op8_quality, op9_simhash, op10_packing,
+    op1_fingerprints, op2_decontamination, op3_chat_format, op4_line_dedup, op5_language_id, op7_sharding, op8_quality, op9_simhash, op10_packing,
     page_languages)}
