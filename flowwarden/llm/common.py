@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
 
-#: Documents handed to a Python worker at once. Long texts make the default of 10,000 rows too large.
-ARROW_ROWS = 256
+#: Bytes handed to a Python worker at once.
+ARROW_BYTES = 4 << 20
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the rows of an Arrow batch, so that a batch of long documents fits a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def arrow_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
+    """Lower the bytes of an Arrow batch, so that a batch of long documents fits a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import ship_functions
-from .common import arrow_rows, staged, text_or_empty
+from .common import arrow_batches, staged, text_or_empty
 
 ship_functions(__name__)
 
@@ -173,7 +173,7 @@ def matches(
     rows on either side gives no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     plain_items = items.select(F.col(item).cast("bigint"), text_or_empty(item_text))
     of_items = staged(plain_items.mapInArrow(lambda b: _window_rows(b, width, min_literals, None, None), _WINDOW), "item_windows")
     # a width for each length below the full one: at most ``width`` rows

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import ship_functions
-from .common import arrow_rows, staged, text_or_empty
+from .common import arrow_batches, staged, text_or_empty
 
 ship_functions(__name__)
 
@@ -70,7 +70,7 @@ def train(docs: DataFrame, text: str = "text", declared: str = "lang", smoothing
     The driver receives at most ``LANGUAGES`` x ``BUCKETS`` sums. Rows with null texts or languages
     are passed over; with no rows there are no languages.
     """
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     known = docs.select(F.col(declared).cast("string").alias("language"), F.col(text).cast("string").alias("text")).na.drop()
     sums = known.mapInArrow(_count, _COUNTS).groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     rows = {r["language"]: r["count"] for r in known.groupBy("language").count().collect()}
@@ -118,7 +118,7 @@ def identify(
     are judged one by one. Without languages in the model every language is null. Texts are
     read whole. Host counts are grouped sums; they are broadcast only if at most ``BROADCAST_HOSTS``.
     """
-    arrow_rows(rows.sparkSession)
+    arrow_batches(rows.sparkSession)
     names, log_p, k = model.languages, model.log_p, len(model.languages)
     own = ["language", "confidence", "text_language", "accepted"]
     columns = [c for c in rows.columns if c not in own]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import ship_functions
-from .common import arrow_rows, staged, text_or_empty
+from .common import arrow_batches, staged, text_or_empty
 
 ship_functions(__name__)
 
@@ -96,7 +96,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     input is equal or one character edit away, whether or not that earlier line stays.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     lines = _lines(_named(docs, key, text), min_chars)
     at = F.struct("_doc", "_no")
     hashed = lines.select("_h0", "_h1", at.alias("_at"), _halves(F.col("_line")).alias("_half"))

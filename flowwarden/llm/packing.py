@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..session import ship_functions
-from .common import arrow_rows, staged, text_or_empty
+from .common import arrow_batches, staged, text_or_empty
 
 ship_functions(__name__)
 
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = 1024, end_id: int =
     Long documents span many windows, repeated rows and null keys are packed like any
     others, no rows give no pieces, other columns are ignored.
     """
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     plain = docs.select(F.col(key).cast("bigint").alias("_key"), text_or_empty(text).alias("_text"))
     tokens = staged(plain.mapInArrow(lambda b: _tokenise(b, tokenizer_file, end_id), _TOKENS), "tokens")
     totals = tokens.groupBy("_part").agg(F.sum("_n").alias("_total"))

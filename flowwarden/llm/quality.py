@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import ship_functions
-from .common import arrow_rows, text_or_empty
+from .common import arrow_batches, text_or_empty
 
 ship_functions(__name__)
 
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Labels other than 0 and 1, null keys and null labels are passed over; a key with several labels
     takes their mean. Without labels, or with one class, the model is a constant.
     """
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.avg(label).alias("_label"))
     few = known.where("_key is not null").orderBy(F.xxhash64("_key"), "_key").limit(documents)
     mine = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).join(F.broadcast(few), "_key")
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             scores = score_bags(model, [encode(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(scores, 9))], names=_SCORE.names)
 
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     plain = docs.select(F.col(key).cast("bigint").alias("_key"), text_or_empty(text).alias("_text"))
     return plain.mapInArrow(run, _SCORE).withColumnRenamed("_key", key)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import ship_functions
-from .common import arrow_rows, staged, text_or_empty
+from .common import arrow_batches, staged, text_or_empty
 from .components import components, forest
 
 ship_functions(__name__)
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, n_words: int, key: str = "doc_id", text: str =
             prints = np.array([simhash(t, n_words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=_PRINTS.names)
 
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("bigint"), text_or_empty(text)).mapInArrow(run, _PRINTS)
 
 
