@@ -46,8 +46,9 @@ def _deletions(line: str, halves: list[int]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = len(codes)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[1], np.full(max(n - 1, 0), _BASE, np.uint64)]).astype(np.uint64))
-        sums = np.concatenate([[0], np.cumsum((codes + np.uint64(7)) * powers[:n])]).astype(np.uint64)
+        powers, sums = np.full(n, _BASE, np.uint64), np.zeros(n + 1, np.uint64)
+        powers[:1] = 1
+        np.cumsum((codes + np.uint64(7)) * np.cumprod(powers), out=sums[1:])
         gone = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(_INVERSE)          # without character i
         place = np.arange(n, dtype=np.uint64)
         mix = lambda h, half, length, side, at=np.uint64(0): (
