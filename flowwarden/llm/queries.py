@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, lines, packing, quality, sharding, simhash, winnow
+from . import chat, decontam, language, lines, packing, quality, sharding, simhash, suffix, winnow
 from .common import text_or_empty
 
 N_SHARDS = 40
@@ -49,6 +49,11 @@ def op5_language_id(spark, sf_dir):
     return identified(documents(spark, sf_dir)).select("doc_id", "lang", "language", "confidence", "text_language", "accepted")
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def page_languages(spark, sf_dir):
     """Pages by the model of the documents: markup, host and address suffix as they are declared."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -86,5 +91,5 @@ def op10_packing(spark, sf_dir):
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_fingerprints, op2_decontamination, op3_chat_format, op4_line_dedup, op5_language_id, op7_sharding, op8_quality, op9_simhash, op10_packing,
+    op1_fingerprints, op2_decontamination, op3_chat_format, op4_line_dedup, op5_language_id, op6_suffix_dedup, op7_sharding, op8_quality, op9_simhash, op10_packing,
     page_languages)}
