@@ -1,14 +1,60 @@
-"""A corpus pipeline: each stage reads what its predecessor kept, as Parquet."""
+"""A corpus pipeline: language ID, line dedup, near-duplicate documents, decontamination, packing.
+
+Each stage reads what its predecessor kept. All but the last return the columns of
+``documents``; the last returns token pieces with their ids.
+"""
 
 from __future__ import annotations
 
-from flowwarden.llm import queries
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from flowwarden.llm import decontam, lines, packing, queries, simhash
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is told with confidence. Texts without letters (null, empty) go."""
+    return queries.identified(docs).where("accepted").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the lines that came before, ``n_chars`` counted anew; those that lose all go."""
+    kept = lines.drop_repeated_lines(docs)
+    kept = kept.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the smallest id; rows that repeat an id are one document.
+
+    Rows without an id name no group: they stay, of equal texts one.
+    """
+    found = simhash.near_duplicates(docs, queries.SIMHASH_WORDS, queries.SIMHASH_BITS)
+    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(losers, "doc_id", "left_anti")
+    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return kept.withColumn("_unnamed", unnamed).dropDuplicates(["doc_id", "_unnamed"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, in its own or in other words, numbers and units."""
+    return decontam.clean(docs, queries.benchmark(spark, sf_dir)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, in windows of 1024."""
+    return packing.pack(docs, public_tokenizers.path(queries.TOKENIZER))
+
 
-STAGES = []
+STAGES = [
+    ("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination), ("packing", pack)]
+#: SQL has no tokenizer and no XXH64; tests hold the stages against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
