@@ -68,7 +68,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", gram:
     theirs. Texts are read whole; other columns are ignored, whatever their names.
     """
     marked = with_marks(docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")), F.col("_text"), gram, window, "_marks")
-    rows = marked.select("_key", F.explode("_marks").alias("_mark"))
+    # outer: else the optimiser tests the array's size below, and so builds it anew for every word
+    rows = marked.select("_key", F.explode_outer("_marks").alias("_mark")).where("_mark is not null")
     one = F.array("_mark")
     return rows.select(F.col("_key").alias(key), F.get(places(one), 0).alias("place"), F.shiftright("_mark", _PLACE_BITS).alias("hash"))
 
