@@ -31,6 +31,11 @@ def strip_emoji(text: Column) -> Column:
     return F.regexp_replace(text, f"[{ranges}]+", "")
 
 
+def short_hash(value: Column, shown: int = 40) -> Column:
+    """The beginning of a hash, as log lines show it."""
+    return F.concat(F.left(value, F.lit(shown)), F.lit("..."))
+
+
 def safe_name(name: str) -> str:
     """Column name without ``/`` or blanks."""
     return re.sub(r"[/ ]", "_", name)

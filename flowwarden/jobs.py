@@ -19,6 +19,7 @@ from .operators import evaluate as E
 from .operators import explain as X
 from .operators import model as M
 from .operators import prepare as P
+from .schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from .session import shared_folder
 from .sources import artifacts as A
 from .sources import flows as S
@@ -26,8 +27,9 @@ from .sources import log_io as L
 
 
 def read_input(spark: SparkSession, path: str) -> DataFrame:
-    """Flows from CSV or Parquet; without a ``flow_id`` the row position becomes one."""
-    df = S.read_flow_csv(spark, path) if ".csv" in path else spark.read.parquet(path)
+    """Flows from a stored Parquet table or a CSV upload; without a ``flow_id`` the row position becomes one."""
+    path = path.rstrip("/")
+    df = spark.read.parquet(path) if path.lower().endswith(".parquet") else S.read_flow_csv(spark, S.check_input(path))
     return df if "flow_id" in df.columns else S.with_row_position(df)
 
 
@@ -36,7 +38,7 @@ def train(spark, source: str, model_path: str, trees=BOOSTING["n_estimators"], d
     """Clean, label, split, fit, choose the threshold, save."""
     staged = A.write_table(P.label_flows(P.clean_flows(read_input(spark, source), key="flow_id")), shared_folder(spark))
     flows = spark.read.parquet(staged)
-    numeric, categorical = P.split_by_type(flows, (LABEL_COLUMN, "flow_id", "y"))
+    numeric, categorical = ([c for c in names if c in flows.columns] for names in (NUMERIC_FEATURES, CATEGORICAL_FEATURES))
     package = M.train_package(flows, numeric, categorical, trees, depth, policy)
     return package.save(spark, model_path)
 
@@ -46,11 +48,12 @@ def detect(spark, source: str, model_path: str, out: str, run_stamp: str, export
     package = M.load_package(spark, model_path)
     flows = read_input(spark, source)
     labelled = LABEL_COLUMN in flows.columns
+    given = flows.columns
     if labelled:
         flows = P.label_flows(flows)
-    scored_path = f"{out}/{PREDICTIONS_PREFIX}{run_stamp}"
-    A.write_table(D.detect(flows, package.threshold, package), scored_path)
-    scored = spark.read.parquet(scored_path)
+    scored = spark.read.parquet(A.write_table(D.detect(flows, package.threshold, package), shared_folder(spark)))
+    # the published result: the columns of the input and five more
+    A.write_table(D.scored_output(scored).drop(*{"y"}.difference(given)), f"{out}/{PREDICTIONS_PREFIX}{run_stamp}", fmt="csv")
     log_path = f"{out}/threat_log/run={run_stamp}"
     A.write_table(C.append_flows(scored), log_path)
     log = spark.read.parquet(log_path)

@@ -139,16 +139,13 @@ def score_totals(df: DataFrame, score: str = PROB, cut_points: list[float] | Non
     """Per distinct score: positives and negatives there (``pos``/``neg``) and above it.
 
     The window works on one slice of the score range at a time; slice totals give the
-    offsets. Without cut points the slices are 1/1024 of the range, which bounds a slice
-    for scores of six decimals. For full-precision scores of large runs pass
-    ``score_cut_points``, so that no slice holds many more scores than another.
+    offsets. Slices end at cut points that split the distinct scores evenly, so none holds
+    many more scores than another; ``score_cut_points`` finds them where none are given.
     """
+    cut_points = score_cut_points(df, score=score) if cut_points is None else cut_points
     counts = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    if cut_points:
-        part = F.size(F.filter(F.lit(cut_points), lambda c: c <= F.col("score")))
-    else:
-        part = F.floor(F.col("score") * 1024).cast("int")
+    part = F.size(F.filter(F.lit(cut_points), lambda c: c <= F.col("score"))) if cut_points else F.lit(0)
     cut = counts.withColumn("_part", part)
     sums = cut.groupBy("_part").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above = W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)   # one row per slice

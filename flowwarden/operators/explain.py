@@ -55,11 +55,16 @@ def total_shap(features: list[str]) -> Column:
 
 # --- one flow at a time, for all flows --------------------------------------
 
+def one_flow(df: DataFrame, flow_id: int) -> DataFrame:
+    """The flow of an id, ahead of an explanation; the filter reaches the scan."""
+    return df.where(F.col("flow_id") == flow_id)
+
+
 def explain_flow(df: DataFrame, features: list[str], top: int = 15, raw: dict[str, str] | None = None) -> DataFrame:
     """Per flow: the ``top`` features toward an intrusion and the ``top`` toward normal.
 
     ``raw`` names the column to show as a feature's value instead of the model input.
-    For a single flow put ``where(flow_id = k)`` in front; it reaches the scan.
+    For a single flow put ``one_flow`` in front.
     """
     sides = F.array(*[
         F.struct(F.lit(side).alias("direction"), F.slice(_by_size(features, keep, raw), 1, top).alias("entries"))

@@ -421,6 +421,9 @@ SQL = {
     "log_severity": f"""{_WITH_CHAIN} SELECT d.severity_name, count(l.sample_index) AS n
         FROM severity_dim d LEFT JOIN log l ON l.severity_name = d.severity_name WHERE d.severity_level > 0 GROUP BY 1""",
     "log_view": f"{_WITH_CHAIN} SELECT * FROM view_rows",
+    "log_hash_prefix": f"""{_WITH_CHAIN} SELECT segment, id, left(hash, 40) || '...' AS shown_hash,
+        left(previous_hash, 16) || '...' AS shown_previous FROM view_rows""",
+    "run_stamps": f"""{_BASE} SELECT strftime(max(ts), '%Y%m%d_%H%M%S') AS run_stamp, count(*) AS n FROM flows GROUP BY CAST(ts AS DATE)""",
     "log_search": f"""{_WITH_CHAIN} SELECT segment, id, source_ip, dest_ip, type, hash FROM view_rows
         WHERE contains(source_ip, '12') OR contains(dest_ip, '12')""",
     "log_page": f"""{_WITH_CHAIN} SELECT row_number() OVER (ORDER BY segment, id) AS position, segment, id, sample_index, type, hash,
@@ -570,3 +573,13 @@ SQL = {
     "stream_severity": f"""{_BASE} SELECT strftime(ts, '%Y-%m-%d') AS day, severity_level, count(*) AS n FROM levelled GROUP BY 1, 2""",
 }
 SQL["stream_chain"] = SQL["chain_append"]
+
+# the same reports for one flow, for a flow that is not there, and with limits that cut
+_ONE = SQL["explain_flow"].replace("WHERE rn <= 15", "WHERE rn <= 15 AND flow_id = 42")
+SQL |= {
+    "explain_one_flow": _ONE,
+    "explain_missing_flow": f"SELECT * FROM ({SQL['explain_header']}) WHERE flow_id = -1",
+    "global_importance_top5": SQL["global_importance"].replace("LIMIT 30", "LIMIT 5"),
+    "class_compare_shap_top5": SQL["class_compare_shap"].replace("LIMIT 20", "LIMIT 5"),
+    "beeswarm_top5": SQL["beeswarm_data"].replace("LIMIT 25", "LIMIT 5"),
+}

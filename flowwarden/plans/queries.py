@@ -8,7 +8,7 @@ from ..fixed_values import DEFAULT_THRESHOLD
 from ..functions.category import feature_category
 from ..functions.scorecard import DEFAULT_SCORECARD as CARD
 from ..functions.severity import severity_table
-from ..functions.text import safe_name, strip_emoji
+from ..functions.text import safe_name, short_hash, strip_emoji
 from ..functions.values import rounded
 from ..operators import chain as C
 from ..operators import detect as D
@@ -140,8 +140,7 @@ def _two_runs(spark, sf) -> str:
     folder = shared_folder(spark)
     out = D.scored_output(graded(spark, sf)).drop("ts", "y")
     for stamp in ("20240131_235959", RUN):
-        A.write_table(out.where(F.col("predicted_class") == D.INTRUSION),
-                      f"{folder}/predictions_with_actions_{stamp}", fmt="csv")
+        A.write_table(out, f"{folder}/predictions_with_actions_{stamp}", fmt="csv")
     L.export_log(stored_log(spark, sf), folder, RUN, EXPORTED_AT)
     return folder
 
@@ -589,6 +588,46 @@ def strip_emoji_text(spark, sf):
     return docs.select("doc_id", clean.alias("text"), (F.length("text") - F.length(clean)).alias("removed"))
 
 
+@query
+def run_stamps(spark, sf):
+    """A run for each day of flows, with its stamp as output names carry it."""
+    days = flows(spark, sf).groupBy(F.to_date("ts").alias("day")).agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
+    return days.select(A.run_stamp(F.col("ts")).alias("run_stamp"), "n")
+
+
+@query
+def log_hash_prefix(spark, sf):
+    """Blocks as they are shown: hashes cut to a prefix."""
+    return C.log_view(stored_log(spark, sf)).select(
+        "segment", "id", short_hash(F.col("hash")).alias("shown_hash"), short_hash(F.col("previous_hash"), 16).alias("shown_previous"))
+
+
+@query
+def explain_one_flow(spark, sf):
+    """One flow by its id; an id that no flow has gives no rows."""
+    return rounded(X.explain_flow(X.one_flow(explained(spark, sf), 42), FEATURES, 15, raw_values()))
+
+
+@query
+def explain_missing_flow(spark, sf):
+    return X.explain_header(X.one_flow(explained(spark, sf), -1), FEATURES, CARD.base_value, THR)
+
+
+@query
+def global_importance_top5(spark, sf):
+    return rounded(X.top_of(importance(spark, sf), "mean_abs_shap", 5))
+
+
+@query
+def class_compare_shap_top5(spark, sf):
+    return rounded(X.class_compare_shap(explained(spark, sf), FEATURES, 5))
+
+
+@query
+def beeswarm_top5(spark, sf):
+    return rounded(X.beeswarm_data(explained(spark, sf), FEATURES, X.top_features(importance(spark, sf), 5)))
+
+
 # --- learning (no SQL: fitted models) ---------------------------------------
 
 _PACKAGES: dict = {}

@@ -32,10 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
     The folder named in ``spark.checkpoint.dir`` is visible to every executor.
-    Only a session without one (a bare local test) falls back to a temporary one.
+    Without one a local session takes a temporary folder; a cluster has no folder to share and gets an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="flowwarden-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/flowwarden-{uuid.uuid4().hex}"

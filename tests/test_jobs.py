@@ -1,3 +1,5 @@
+import pytest
+
 from flowwarden import jobs
 from flowwarden.plans import queries as Q
 from flowwarden.session import shared_folder
@@ -8,13 +10,19 @@ SF = "/root/testdata/sf0.001"
 
 def test_train_detect_explain_verify(spark):
     work = shared_folder(spark)
-    flows = Q.flows(spark, SF).drop("flow_id", "ts", "src_id")
+    flows = Q.flows(spark, SF).drop("flow_id", "ts")
     source = A.write_table(flows, f"{work}/flows.csv", fmt="csv")
     package = jobs.train(spark, source, f"{work}/model", trees=3, depth=3)
-    assert "difficulty" not in package.numeric and package.threshold == 0.01
+    assert not {"difficulty", "src_id"} & set(package.numeric) and package.threshold == 0.01
     reports = jobs.detect(spark, source, f"{work}/model", f"{work}/out", "20240101_000000", "2024-01-01 00:00:00")
     total = reports["summary"].first()
     assert total["total_samples"] == 1000 and total["intrusions"] + total["normals"] == 1000
+    result = spark.read.option("header", True).csv(f"{work}/out/predictions_with_actions_20240101_000000")
+    assert result.count() == 1000
+    assert [c for c in result.columns if c != "flow_id"] == [
+        *flows.columns, "intrusion_probability", "predicted_class", "severity_level", "severity_name", "action_summary"]
+    newest = A.latest_run(A.list_artifacts(spark, f"{work}/out", "*.csv"), "predictions_with_actions_").first()
+    assert newest["run_stamp"] == "20240101_000000"
     log = reports["log"].first()
     assert log["total_intrusions"] == total["intrusions"] and log["is_valid"]
     assert 0 <= reports["metrics"].first()["accuracy"] <= 1
@@ -32,3 +40,20 @@ def test_clean_keeps_the_first_position(spark):
     rows = [(5, 1, "a"), (3, 1, "a"), (4, 2, None), (9, 2, "b")]
     out = jobs.P.clean_flows(spark.createDataFrame(rows, "flow_id long, x int, class string"), key="flow_id")
     assert sorted((r["flow_id"], r["x"]) for r in out.collect()) == [(3, 1), (9, 2)]
+
+
+def test_only_csv_uploads_are_taken(spark):
+    with pytest.raises(ValueError):
+        jobs.read_input(spark, "/tmp/flows.csv.exe")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())
