@@ -30,5 +30,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a map of hashes: 1 MB, or 131,072 rows, whatever is mapped.
+MAP_BITS = 1 << 23
+
+
+def hash_map(hashes: DataFrame) -> DataFrame:
+    """``word, bits``: a map of the bigints in the only column, with a bit set for each.
+
+    A filter ahead of an exact join: it spares the join most rows that have no partner while
+    few hashes are mapped, and nothing once the map is full.
+    """
+    (name,) = hashes.columns
+    return hashes.groupBy(F.expr(f"cast(shiftright({name} & {MAP_BITS - 1}, 6) as int)").alias("word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast({name} & 63 as int)))").alias("bits"))
+
+
+def maybe_mapped(df: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose hash may be in the map: all that are, and few others."""
+    named = words.select(F.col("word").alias("_map_word"), F.col("bits").alias("_map_bits"))
+    word, bit = (F.expr(x) for x in (f"cast(shiftright({column} & {MAP_BITS - 1}, 6) as int)", f"shiftright(_map_bits, cast({column} & 63 as int)) & 1"))
+    return df.join(F.broadcast(named), word == F.col("_map_word")).where(bit != 0).drop("_map_word", "_map_bits")
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

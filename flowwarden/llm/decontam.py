@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import ship_functions
-from .common import arrow_batches, staged, text_or_empty
+from .common import MAP_BITS, arrow_batches, hash_map, staged, text_or_empty
 
 ship_functions(__name__)
 
@@ -24,11 +24,8 @@ kw kwh watt watts volt volts amp amps joule joules kb mb gb tb percent dollar do
 
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 _LITERAL, _NUMBER, _UNIT, _SIGN, _TITLE, _STOP = range(6)
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:\n%$€£°]")
+_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_][^\W_]*(?:['’][^\W\d_]+)*|[.!?:\n%$€£°]")          # "12km" is two tokens, "B12" one
 _STOPS, _SIGNS = frozenset(".!?:\n"), frozenset("%$€£°")
-#: Bits of the map that spares the join windows of documents that no item has.
-MAP_BITS = 1 << 23
-
 _WINDOW = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("at", T.LongType()),
     T.StructField("tokens", T.LongType()), T.StructField("template", T.StringType()), T.StructField("slots", T.ArrayType(T.StringType()))])
@@ -41,7 +38,7 @@ class Vocabulary(dict):
         import xxhash
 
         self.digest = xxhash.xxh64_intdigest
-        self.kind, self.hash = [], []
+        self.kind, self.hash = np.zeros(1 << 12, np.int8), np.zeros(1 << 12, np.uint64)
         self.numbers, self.units = frozenset(NUMBER_WORDS), frozenset(UNITS)
         self.placeholder = np.array([self.digest(x) for x in (NUMBER, UNIT, NAME)], np.uint64)
 
@@ -57,9 +54,10 @@ class Vocabulary(dict):
             kind = _UNIT
         else:
             kind = _TITLE if token[0].isupper() and token[1:].islower() else _LITERAL
-        self[token] = n = len(self.kind)
-        self.kind.append(kind)
-        self.hash.append(self.digest(low))
+        self[token] = n = len(self)
+        if n == len(self.kind):
+            self.kind, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.hash))
+        self.kind[n], self.hash[n] = kind, self.digest(low)
         return n
 
 
@@ -69,7 +67,7 @@ class Template:
     def __init__(self, text: str, vocabulary: Vocabulary):
         self.raw = _TOKEN.findall(text)
         ids = np.fromiter(map(vocabulary.__getitem__, self.raw), np.int64, len(self.raw))
-        kind = np.array(vocabulary.kind, np.int8)[ids]
+        kind = vocabulary.kind[ids]
         before = np.concatenate([[_STOP], kind[:-1]]) if len(kind) else kind
         after = np.concatenate([kind[1:], [_STOP]]) if len(kind) else kind
         number = kind == _NUMBER
@@ -80,7 +78,7 @@ class Template:
         keep = np.flatnonzero((kind != _STOP) & ((kind != _SIGN) | unit) & ~goes_on)
         self.at, self.role = keep, role[keep]
         self.goes_on = goes_on
-        literal = np.array(vocabulary.hash, np.uint64)[ids][keep]
+        literal = vocabulary.hash[ids][keep]
         self.hash = np.where(self.role > 0, vocabulary.placeholder[self.role - 1], literal)
 
     def windows(self, width: int, min_literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +138,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch], width: int, min_literals: in
 
 
 def _bitmap(spark: SparkSession, windows: DataFrame):
-    """A map of ``MAP_BITS`` bits, 1 MB whatever the number of items, with a bit set for each window's hash."""
-    bit = F.col("hash").bitwiseAND(F.lit(MAP_BITS - 1))
-    words = windows.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits"))
-    found = words.collect()                                # at most MAP_BITS / 64 rows
+    """The map of the items' windows; it spares the join windows of documents that no item has."""
+    found = hash_map(windows.select("hash")).collect()                                # at most MAP_BITS / 64 rows: 1 MB
     bits = np.zeros(MAP_BITS >> 6, np.int64)
     bits[[r["word"] for r in found]] = [r["bits"] for r in found]
     return spark.sparkContext.broadcast(bits.view(np.uint64))
