@@ -35,30 +35,51 @@ def running_totals(
     )
 
 
+#: About so many rows the last window of a quantile sorts at most.
+SORTED = 1 << 16
+
+
+def _on(by: list[str]):
+    return [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by] or F.lit(True)
+
+
+def _narrowed(data: DataFrame, targets: DataFrame, by: list[str], accuracy: int, steps: int) -> DataFrame:
+    """Brackets about ``steps`` / 3 times narrower around the wanted ranks: a sketch of what lies inside each.
+
+    The sketch is off by 1 / ``accuracy`` of the ranks at most, less than a step, and a bracket
+    takes a whole step more on either side.
+    """
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    inside = (v >= lo) & (v <= hi)
+    found = data.alias("d").join(F.broadcast(targets.alias("t")), _on(by)).groupBy(
+        *[F.col(f"t.{c}").alias(c) for c in by], "_q", "_at").agg(
+        F.count_if(v < lo).alias("_under"), F.count_if(inside).alias("_within"),
+        F.percentile_approx(F.when(inside, v), [i / steps for i in range(steps + 1)], accuracy).alias("_cuts"))
+    step = F.floor((F.col("_at") - F.col("_under")) * steps / F.greatest(F.col("_within") - 1, F.lit(1))).cast("int")
+    return found.select(
+        *by, "_q", "_at", F.get("_cuts", F.greatest(step - 1, F.lit(0))).alias("_lo"), F.get("_cuts", F.least(step + 2, F.lit(steps))).alias("_hi"))
+
+
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, quantiles: dict[str, float], accuracy: int = 10000,
+    df: DataFrame, by: list[str], value: str, quantiles: dict[str, float], accuracy: int = 10000, limit: int = SORTED,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group; nulls are skipped.
 
-    ``percentile`` keeps every distinct value of a group in one task. Here a mergeable
-    sketch brackets each wanted rank first; a second pass counts what lies outside the
-    bracket and keeps only the distinct values inside it (about 6/accuracy of the
-    ranks). The groups must be few (features x classes); a rank outside its bracket
-    raises an error, so the answer is exact or there is none.
+    ``percentile`` keeps every distinct value of a group in one task. Here mergeable sketches
+    narrow each wanted rank down, as often as the number of rows needs, until a bracket
+    holds some ``limit`` rows; the last pass counts what lies outside and sorts the distinct
+    values inside. The groups must be few (features x classes).
     """
     names = list(quantiles)
-    slack = 2.0 / accuracy
     data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    cuts = F.percentile_approx("_v", [
-        min(max(q + s, 0.0), 1.0) for q in quantiles.values() for s in (-slack, slack)], accuracy)
-    brackets = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), cuts.alias("_cuts"))
-    wanted = F.array(*[
-        F.struct(F.lit(n).alias("_q"), F.lit(quantiles[n]).alias("_p"),
-                 F.col("_cuts")[2 * i].alias("_lo"), F.col("_cuts")[2 * i + 1].alias("_hi"))
-        for i, n in enumerate(names)])
-    targets = brackets.select(*by, "_n", F.inline(wanted)).withColumn("_at", F.col("_p") * (F.col("_n") - 1))
-    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
-    tagged = data.alias("d").join(F.broadcast(targets.alias("t")), on or F.lit(True)).select(
+    groups = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = F.array(*[F.struct(F.lit(n).alias("_q"), F.lit(quantiles[n]).alias("_p")) for n in names])
+    targets = groups.where("_n > 0").select(*by, "_n", "_lo", "_hi", F.inline(wanted)).select(
+        *by, "_q", (F.col("_p") * (F.col("_n") - 1)).alias("_at"), "_lo", "_hi")
+    rows, steps = data.count(), max(accuracy // 10, 8)
+    while rows > limit:
+        targets, rows = _narrowed(data, targets, by, accuracy, steps), rows * 4 // steps
+    tagged = data.alias("d").join(F.broadcast(targets.alias("t")), _on(by)).select(
         *[F.col(f"t.{c}").alias(c) for c in by], "_q", "_at", "_v",
         F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0).alias("_side"))
     inside = F.when(F.col("_side") == 0, F.col("_v"))
@@ -78,8 +99,6 @@ def exact_quantiles(
 
     low = F.floor("_at") + 1
     picked = placed.groupBy(*by, "_q", "_at").agg(at(low).alias("_a"), at(F.ceil("_at") + 1).alias("_b"))
-    checked = F.when(
-        F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("rank outside its bracket")).cast("double"))
-    value_at = checked.otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at")))
+    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
     return picked.withColumn("_x", value_at).groupBy(*by).agg(
         *[F.max(F.when(F.col("_q") == n, F.col("_x"))).alias(n) for n in names])
