@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import ship_functions
-from .common import arrow_batches, staged, text_or_empty
+from .common import arrow_batches, hash_map, maybe_mapped, staged, text_or_empty
 
 ship_functions(__name__)
 
@@ -108,8 +108,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     halves = firsts.select("_h0", "_h1", F.posexplode("_half").alias("_which", "_half"))
     shared = halves.groupBy("_half").count().where("count > 1").select("_half")
     wanted = halves.join(shared, "_half", "left_semi").groupBy("_h0", "_h1").agg(F.array_sort(F.collect_list("_which")).alias("_which"))
-    spots = firsts.select("_h0", "_h1", "_first").join(wanted, ["_h0", "_h1"])
-    texts = lines.select(at.alias("_first"), "_h0", "_h1", "_line").join(spots, ["_h0", "_h1", "_first"]).dropDuplicates(["_h0", "_h1"])
+    spots = staged(firsts.select("_h0", "_h1", "_first").join(wanted, ["_h0", "_h1"]), "line_spots")
+    there = maybe_mapped(lines.select(at.alias("_first"), "_h0", "_h1", "_line"), "_h0", hash_map(spots.select("_h0")))
+    texts = there.join(spots, ["_h0", "_h1", "_first"]).dropDuplicates(["_h0", "_h1"])
     texts = staged(texts.select("_h0", "_h1", "_line", "_which", "_first"), "near_lines")
 
     # equal variants: the earliest on either side is enough, so no pairs within a group
