@@ -66,7 +66,7 @@ def exact_quantiles(
     """Exact linear-interpolated quantiles per group; nulls are skipped.
 
     ``percentile`` keeps every distinct value of a group in one task. Here mergeable sketches
-    narrow each wanted rank down, as often as the number of rows needs, until a bracket
+    narrow each wanted rank down, as often as the largest group needs, until a bracket
     holds some ``limit`` rows; the last pass counts what lies outside and sorts the distinct
     values inside. The groups must be few (features x classes).
     """
@@ -76,7 +76,7 @@ def exact_quantiles(
     wanted = F.array(*[F.struct(F.lit(n).alias("_q"), F.lit(quantiles[n]).alias("_p")) for n in names])
     targets = groups.where("_n > 0").select(*by, "_n", "_lo", "_hi", F.inline(wanted)).select(
         *by, "_q", (F.col("_p") * (F.col("_n") - 1)).alias("_at"), "_lo", "_hi")
-    rows, steps = data.count(), max(accuracy // 10, 8)
+    rows, steps = groups.agg(F.max("_n")).first()[0] or 0, max(accuracy // 10, 8)       # of the largest group
     while rows > limit:
         targets, rows = _narrowed(data, targets, by, accuracy, steps), rows * 4 // steps
     tagged = data.alias("d").join(F.broadcast(targets.alias("t")), _on(by)).select(
