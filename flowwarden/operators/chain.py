@@ -38,12 +38,13 @@ def _plain(c: Column) -> Column:
 
 
 def payload() -> Column:
-    """Canonical text of a log entry: integers, texts and numbers with six decimals."""
+    """Canonical text of a log entry: integers, texts, numbers with nine decimals, lists with their separator escaped."""
     def number(c):
-        return c.cast("decimal(38,6)")
+        return c.cast("decimal(38,9)")
 
     def listed(c):
-        return F.array_join(F.col(c), "; ")
+        escaped = F.transform(c, lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit(";"), F.lit("\\;")))
+        return F.array_join(escaped, "; ")
 
     fields = [
         F.col("sample_index"), number(F.col("intrusion_probability")), F.col("severity_level"),

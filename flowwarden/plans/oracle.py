@@ -172,14 +172,14 @@ shap_means AS (SELECT predicted_class, feature, any_value(category) AS category,
 _CHAIN = r"""
 entries AS (
   SELECT flow_id // 1000 AS segment, r.*, row_number() OVER (PARTITION BY flow_id // 1000 ORDER BY flow_id) AS block_index,
-    concat_ws('|', CAST(flow_id AS VARCHAR), CAST(CAST(p AS DECIMAL(38,6)) AS VARCHAR), CAST(severity_level AS VARCHAR),
+    concat_ws('|', CAST(flow_id AS VARCHAR), CAST(CAST(p AS DECIMAL(38,9)) AS VARCHAR), CAST(severity_level AS VARCHAR),
       severity_name, priority, action_summary, array_to_string(immediate, '; '),
       array_to_string(monitoring[1:3], '; '),
-      CAST(CAST(duration AS DECIMAL(38,6)) AS VARCHAR), protocol_type, service, flag,
-      CAST(CAST(src_bytes AS DECIMAL(38,6)) AS VARCHAR), CAST(CAST(dst_bytes AS DECIMAL(38,6)) AS VARCHAR),
-      CAST(CAST("count" AS DECIMAL(38,6)) AS VARCHAR), CAST(CAST(srv_count AS DECIMAL(38,6)) AS VARCHAR),
-      CAST(CAST(serror_rate AS DECIMAL(38,6)) AS VARCHAR), CAST(CAST(num_failed_logins AS DECIMAL(38,6)) AS VARCHAR),
-      CAST(CAST(dst_host_count AS DECIMAL(38,6)) AS VARCHAR), CAST(src_id AS VARCHAR), '\N') AS payload
+      CAST(CAST(duration AS DECIMAL(38,9)) AS VARCHAR), protocol_type, service, flag,
+      CAST(CAST(src_bytes AS DECIMAL(38,9)) AS VARCHAR), CAST(CAST(dst_bytes AS DECIMAL(38,9)) AS VARCHAR),
+      CAST(CAST("count" AS DECIMAL(38,9)) AS VARCHAR), CAST(CAST(srv_count AS DECIMAL(38,9)) AS VARCHAR),
+      CAST(CAST(serror_rate AS DECIMAL(38,9)) AS VARCHAR), CAST(CAST(num_failed_logins AS DECIMAL(38,9)) AS VARCHAR),
+      CAST(CAST(dst_host_count AS DECIMAL(38,9)) AS VARCHAR), CAST(src_id AS VARCHAR), '\N') AS payload
   FROM responded r WHERE predicted_class = 'intrusion' AND severity_level > 0),
 linked AS (
   SELECT segment, CAST(0 AS BIGINT) AS block_index, '0' AS previous_hash,

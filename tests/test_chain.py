@@ -87,6 +87,9 @@ def test_separator_in_text_is_escaped(spark):
               "dst_host_count:double,src_ip:string,dst_ip:string>")
     df = spark.createDataFrame([row("a|b", "c"), row("a", "b|c")], schema)
     assert df.select(C.payload().alias("p")).distinct().count() == 2
+    listed = lambda now, p=0.5: (1, p, 1, "a", "b", "s", now, ["m"], None)
+    rows = [listed(["a; b"]), listed(["a", "b"]), listed(["a\\; b"]), listed(["a"], 0.5 + 1e-9), listed(["a"])]
+    assert spark.createDataFrame(rows, schema).select(C.payload().alias("p")).distinct().count() == len(rows)
 
 
 def test_pages_cover_the_log(log):
