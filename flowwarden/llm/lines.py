@@ -113,9 +113,12 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     texts = there.join(spots, ["_h0", "_h1", "_first"]).dropDuplicates(["_h0", "_h1"])
     texts = staged(texts.select("_h0", "_h1", "_line", "_which", "_first"), "near_lines")
 
-    # equal variants: the earliest on either side is enough, so no pairs within a group
-    variants = texts.select("_h0", "_h1", "_line", "_which").mapInArrow(_variant_rows, _VARIANT)
-    variants = staged(variants.join(texts.select("_h0", "_h1", "_first"), ["_h0", "_h1"]), "line_variants")
+    # variants that several lines share; all others end here, before anything else joins them
+    every = texts.select("_h0", "_h1", "_line", "_which").mapInArrow(_variant_rows, _VARIANT)
+    common = every.groupBy("_variant").count().where("count > 1").select("_variant")
+    variants = every.join(common, "_variant", "left_semi").join(texts.select("_h0", "_h1", "_first"), ["_h0", "_h1"])
+    variants = staged(variants, "line_variants")
+    # of equal variants the earliest on either side is enough, so no pairs within a group
     line = F.struct("_first", "_h0", "_h1")
     best = variants.groupBy("_variant").agg(*[F.min(F.when(F.col("_side") == s, line)).alias(f"_best{s}") for s in range(3)])
     other = F.when(F.col("_side") == 0, F.col("_best0")).when(F.col("_side") == 1, F.col("_best2")).otherwise(F.col("_best1"))
