@@ -131,7 +131,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         .join(theirs, ["_o0", "_o1"]).join(texts.select("_h0", "_h1", "_line"), ["_h0", "_h1"])
         .where(F.levenshtein("_line", "_their_line", 1) >= 0).select("_h0", "_h1", F.lit(True).alias("_near")))
 
+    # written, so that the join below shuffles both sides and Spark can split the places of a common line
     decided = firsts.select("_h0", "_h1", "_first", "_times").join(near, ["_h0", "_h1"], "left").where("_times > 1 or _near")
+    decided = staged(decided, "line_decisions")
     places = lines.select("_doc", "_no", "_h0", "_h1").join(decided, ["_h0", "_h1"])
     gone = places.where(F.col("_near") | (F.struct("_doc", "_no") != F.col("_first")))
     return gone.groupBy("_doc").agg(F.collect_set("_no").alias("_removed"))
