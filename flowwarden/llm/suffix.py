@@ -393,7 +393,10 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(plain: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Byte ranges to remove, as ``doc, tie, begin, stop`` (they may overlap), and the deflated texts."""
     found = plain.mapInArrow(_anchor_rows, _ANCHORS)
-    route = F.when(F.col("known") <= _BEACON, F.col("gram")).otherwise(F.xxhash64("gram", "strings"))
+    # rows that are known to be repeats need nobody beside them
+    route = (
+        F.when(F.col("known") <= _BEACON, F.col("gram")).when(F.col("known") == _CROWDED, F.xxhash64("gram", "strings"))
+        .otherwise(F.xxhash64("doc", "at")))
     ordered = found.repartition(route).sortWithinPartitions("gram", "strings", "doc", "at")
     marks = staged(ordered.mapInArrow(_repeats, _MARKS), "marks")
 
