@@ -97,6 +97,7 @@ def _plus(a: Column, b: Column) -> Column:
 def identify(
     rows: DataFrame, model: Model, text: Column, declared: Column, host: Column, suffix: Column,
     trust: float = 0.9, strength: float = 20.0, evidence: float = 64.0, min_confidence: float = 0.5, accept: list[str] | None = None,
+    unknown: float = 0.01,
 ) -> DataFrame:
     """Add ``language, confidence, text_language, accepted`` to ``rows`` (columns of these names are replaced).
 
@@ -109,8 +110,13 @@ def identify(
       the row itself, smoothed with ``strength`` pseudo-counts by those of the address suffix, and
       these likewise by those of all rows.
 
-    ``accepted``: the text has letters, the best language's posterior is at least ``min_confidence``
-    and, where ``accept`` lists languages, it is one of them.
+    ``accepted``: the text has letters, the best language's posterior is at least ``min_confidence``,
+    it or an even mixture of all languages (pages quote others) is at least as likely as an unknown
+    language and, where ``accept`` lists languages, it is one of them. Of an unknown language all
+    trigrams are equally likely, its prior is ``unknown``, and a known declaration speaks against it
+    as against any other language. So gibberish and languages that no row declares are rejected,
+    unless they share most trigrams with the declared ones, or rows to learn from are very few. The
+    unknown language has no part in ``confidence``, which the declared languages share.
 
     Null or empty texts and texts without letters give no text evidence: ``text_language`` is null
     and they are not accepted. Null or unknown declarations give none, null hosts and suffixes
@@ -119,7 +125,9 @@ def identify(
     read whole. Host counts are grouped sums; they are broadcast only if at most ``BROADCAST_HOSTS``.
     """
     arrow_batches(rows.sparkSession)
-    names, log_p, k = model.languages, model.log_p, len(model.languages)
+    names, k = model.languages, len(model.languages)
+    mixed = np.log(np.exp(model.log_p).mean(0, keepdims=True)) if k else model.log_p
+    over_flat = np.vstack([model.log_p, mixed]) + np.log(BUCKETS)                    # against an unknown language, which then has 0
     own = ["language", "confidence", "text_language", "accepted"]
     columns = [c for c in rows.columns if c not in own]
     if not k:
@@ -132,17 +140,19 @@ def identify(
             g = grams(t)
             if not len(g):
                 return None
-            return (log_p @ np.bincount(g, minlength=BUCKETS)) * (evidence / (len(g) + evidence))
+            return (over_flat @ np.bincount(g, minlength=BUCKETS)) * (evidence / (len(g) + evidence))
         return texts.map(one)
 
+    is_known, against = declared.cast("string").isin(names), float(np.log((1 - trust) / max(k - 1, 1)))
     given = F.array(*[
-        F.when(declared.cast("string").isin(names), F.when(declared.cast("string") == x, float(np.log(trust)))
-               .otherwise(float(np.log((1 - trust) / max(k - 1, 1))))).otherwise(0.0) for x in names])
+        F.when(is_known, F.when(declared.cast("string") == x, float(np.log(trust))).otherwise(against)).otherwise(0.0) for x in names])
+    of_unknown = F.when(is_known, against).otherwise(0.0) + float(np.log(unknown))
     flat = F.array(*[F.lit(0.0)] * k)
     base = F.array(*[F.lit(float(np.log(x))) for x in model.frequency])
     seen = rows.select(
-        F.struct(*columns).alias("_row"), likelihoods(F.coalesce(text.cast("string"), F.lit(""))).alias("_text"), given.alias("_given"),
+        F.struct(*columns).alias("_row"), likelihoods(F.coalesce(text.cast("string"), F.lit(""))).alias("_text"), given.alias("_given"), of_unknown.alias("_unknown"),
         F.coalesce(host.cast("string"), F.lit("\0")).alias("_host"), F.coalesce(suffix.cast("string"), F.lit("\0")).alias("_suffix"))
+    seen = seen.withColumns({"_mixed": F.get("_text", k), "_text": F.slice("_text", 1, k)})
     local = F.coalesce("_text", flat)
     soft = _softmax(_plus(_plus(local, F.col("_given")), base))
     seen = seen.withColumn("_soft", soft)
@@ -170,12 +180,13 @@ def identify(
     joined = joined.withColumn("_p0", smoothed(less(F.col("_of_all")), even))
     joined = joined.withColumn("_p1", smoothed(less(F.col("_of_suffix")), F.col("_p0")))
     joined = joined.withColumn("_p2", smoothed(less(F.col("_of_host")), F.col("_p1")))
-    posterior = _softmax(_plus(_plus(local, F.col("_given")), F.transform("_p2", lambda p: F.log(p))))
-    judged = joined.withColumn("_post", posterior)
+    joined = joined.withColumn("_log_post", _plus(_plus(local, F.col("_given")), F.transform("_p2", lambda p: F.log(p))))
+    judged = joined.withColumn("_post", _softmax(F.col("_log_post")))
     languages = F.array(*[F.lit(x) for x in names])
     best = lambda a: F.get(languages, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
     language, confidence = best(F.col("_post")), F.array_max("_post")
     fine = F.col("_text").isNotNull() & (confidence >= min_confidence)
+    fine &= F.greatest(F.array_max("_log_post"), F.col("_mixed") + F.array_max("_given")) >= F.col("_unknown")
     if accept is not None:
         fine &= language.isin(accept)
     return judged.select(

@@ -1,6 +1,7 @@
 """Evidence fusion against the same sums in numpy."""
 
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -95,3 +96,18 @@ def test_op5_tells_languages_apart(spark):
     assert np.mean([r["language"] == r["lang"] for r in rows]) > 0.98
     pages = queries.page_languages(spark, helpers.SF).collect()
     assert len(pages) == helpers.read(spark, "pages").count() and np.mean([p["accepted"] for p in pages]) > 0.98
+
+
+def test_gibberish_and_undeclared_languages_are_rejected(spark):
+    docs = helpers.read(spark, "documents").select("doc_id", "text", "lang", "source")
+    known = docs.where("lang <> 'es'")
+    rng = random.Random(4)
+    odd = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (5, 20, 200) for _ in range(20)]
+    odd += ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n)) for n in (8, 100) for _ in range(20)]
+    odd = spark.createDataFrame([(-1 - i, t, ("en", "xx", None)[i % 3], "s") for i, t in enumerate(odd)], "doc_id bigint, text string, lang string, source string")
+    none = F.lit(None).cast("string")
+    rows = language.identify(
+        known.unionByName(odd).unionByName(docs.where("lang = 'es'")), language.train(known), F.col("text"), F.col("lang"), F.col("source"), none).collect()
+    assert not [r for r in rows if r["accepted"] and (r["doc_id"] < 0 or r["lang"] == "es")] and any(r["lang"] == "es" for r in rows)
+    clean = [r for r in rows if r["doc_id"] >= 0 and r["lang"] != "es" and r["text_language"] is not None]
+    assert len(clean) > 100 and all(r["accepted"] == (r["confidence"] >= 0.5) for r in clean)
