@@ -26,8 +26,11 @@ NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 _LITERAL, _NUMBER, _UNIT, _SIGN, _TITLE, _STOP = range(6)
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_][^\W_]*(?:['’][^\W\d_]+)*|[.!?:\n%$€£°]")          # "12km" is two tokens, "B12" one
 _STOPS, _SIGNS = frozenset(".!?:\n"), frozenset("%$€£°")
+#: Readings of a text: words and typed slots; or plain words and numbers, where a copy is verbatim.
+TYPED, WORDS = 0, 2
+READINGS = (TYPED, WORDS)
 _WINDOW = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("at", T.LongType()),
+    T.StructField("key", T.LongType()), T.StructField("reading", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("at", T.LongType()),
     T.StructField("tokens", T.LongType()), T.StructField("template", T.StringType()), T.StructField("slots", T.ArrayType(T.StringType()))])
 
 
@@ -60,19 +63,28 @@ class Vocabulary(dict):
         self.kind[n], self.hash[n] = kind, self.digest(low)
         return n
 
+    def tokens(self, text: str) -> tuple[list[str], np.ndarray]:
+        raw = _TOKEN.findall(text)
+        return raw, np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+
 
 class Template:
-    """A text as literal words and placeholders: ``hash`` of each token, and what a slot held."""
+    """A text as literal words and placeholders: ``hash`` of each token, and what a slot held.
+
+    Read as ``WORDS``, numbers, units and names are literal too.
+    """
 
-    def __init__(self, text: str, vocabulary: Vocabulary):
-        self.raw = _TOKEN.findall(text)
-        ids = np.fromiter(map(vocabulary.__getitem__, self.raw), np.int64, len(self.raw))
+    def __init__(self, text: str, vocabulary: Vocabulary, reading: int = TYPED, tokens: tuple[list[str], np.ndarray] | None = None):
+        self.reading = reading
+        self.raw, ids = tokens or vocabulary.tokens(text)
         kind = vocabulary.kind[ids]
         before = np.concatenate([[_STOP], kind[:-1]]) if len(kind) else kind
         after = np.concatenate([kind[1:], [_STOP]]) if len(kind) else kind
         number = kind == _NUMBER
         unit = ((kind == _UNIT) & (before == _NUMBER)) | ((kind == _SIGN) & ((before == _NUMBER) | (after == _NUMBER)))
         name = (kind == _TITLE) & (before != _STOP)
+        if reading == WORDS:
+            number, unit, name = (np.zeros(len(kind), bool) for _ in range(3))
         role = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
         goes_on = name & np.concatenate([[False], name[:-1]]) if len(name) else name      # "Ada Lovelace" is one name
         keep = np.flatnonzero((kind != _STOP) & ((kind != _SIGN) | unit) & ~goes_on)
@@ -86,7 +98,7 @@ class Template:
         n = len(self.hash) - width + 1
         if n < 1:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = np.full(n, width, np.uint64)
+        h = np.full(n, width + (self.reading << 32), np.uint64)
         for j in range(width):
             h = (h ^ self.hash[j:j + n]) * np.uint64(0x9E3779B185EBCA87)
             h ^= h >> np.uint64(29)
@@ -114,26 +126,32 @@ class Template:
 REMEMBERED = 300_000
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], width: int, min_literals: int, widths: list[int] | None, bitmap) -> Iterator[pa.RecordBatch]:
-    """Windows of each text. ``widths`` None: one width, or the whole text if shorter (items); else all of them (documents)."""
+def _window_rows(
+    batches: Iterator[pa.RecordBatch], width: int, min_literals: int, widths: dict[int, list[int]] | None, bitmap,
+) -> Iterator[pa.RecordBatch]:
+    """Windows of each text in each reading. ``widths`` None: one width, or the whole text if shorter (items); else all of the reading's (documents)."""
     vocabulary = Vocabulary()
     for batch in batches:
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if len(vocabulary) > REMEMBERED:
                 vocabulary = Vocabulary()
-            t = Template(text, vocabulary)
-            for w in widths if widths is not None else [min(width, len(t.hash))]:
-                start, h = t.windows(w, min(min_literals, w)) if w else ((), ())
-                if bitmap is not None and len(h):
-                    bit = h & np.uint64(MAP_BITS - 1)
-                    hit = (bitmap.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-                    start, h = start[hit], h[hit]
-                for s, x in zip(list(start), list(h)):
-                    rows.append((key, int(x.view(np.int64)), int(s), len(t.hash), *t.shown(int(s), w)))
+            tokens = vocabulary.tokens(text)
+            for reading in READINGS if widths is None else widths:
+                t = Template(text, vocabulary, reading, tokens)
+                if widths is None and reading == WORDS and not np.isin(vocabulary.kind[tokens[1]], (_LITERAL, _TITLE)).any():
+                    continue                                                          # an item of mere numbers and units
+                for w in widths[reading] if widths is not None else [min(width, len(t.hash))]:
+                    start, h = t.windows(w, min(min_literals, w)) if w else ((), ())
+                    if bitmap is not None and len(h):
+                        bit = h & np.uint64(MAP_BITS - 1)
+                        hit = (bitmap.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+                        start, h = start[hit], h[hit]
+                    for s, x in zip(list(start), list(h)):
+                        rows.append((key, reading, int(x.view(np.int64)), int(s), len(t.hash), *t.shown(int(s), w)))
         for i in range(0, len(rows), 4096):
             yield pa.RecordBatch.from_pylist([dict(zip(_WINDOW.names, r)) for r in rows[i:i + 4096]], pa.schema([
-                ("key", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("tokens", pa.int64()), ("template", pa.string()),
+                ("key", pa.int64()), ("reading", pa.int32()), ("hash", pa.int64()), ("at", pa.int64()), ("tokens", pa.int64()), ("template", pa.string()),
                 ("slots", pa.list_(pa.string()))]))
 
 
@@ -154,16 +172,19 @@ def matches(
     Texts become templates: a number is ``<number>``, a unit beside a number ``<unit>``, a run of
     capitalised words inside a sentence ``<name>``; case, punctuation and line breaks go. Windows of
     ``width`` template tokens with at least ``min_literals`` literal words are joined by hash and
-    template. Matched windows of one document, item and shift between them must fill the
+    template. Beside that, texts are read as plain words and numbers, and all their windows of
+    ``width`` joined, so a copy of the whole item is found whatever its length, numbers and names. Matched windows of one document, item and shift between them must fill the
     item's slots consistently: the same value wherever the item repeats one, different
     values where it has different ones. What is left must cover ``min_tokens`` tokens of the
-    item, or all of a shorter item.
+    item, or all of a shorter item; as plain words it must be all of the item where slots of the pair
+did not agree, since a passage around them may.
 
     Returns ``key``, ``item``, ``n_windows``, ``covered_tokens``, ``item_tokens``, ``reparameterised`` (some slot
-    holds another value than in the item): one row for each contaminated document and item.
+    holds another value than in the item): one row for each contaminated document and item, by the
+    template where it is enough, else counted in plain words.
 
-    Items of fewer tokens than a window are one window of their own length; items without a
-    literal word match nothing. Null or empty texts match nothing. Rows without key cannot
+    Items of fewer tokens than a window are one window of their own length; items of nothing but
+    numbers and units match nothing. Null or empty texts match nothing. Rows without key cannot
     be told apart and count as one document, as do rows that repeat a key. A table of no
     rows on either side gives no rows. Other columns are ignored, whatever their names.
     """
@@ -171,29 +192,43 @@ def matches(
     arrow_batches(spark)
     plain_items = items.select(F.col(item).cast("bigint"), text_or_empty(item_text))
     of_items = staged(plain_items.mapInArrow(lambda b: _window_rows(b, width, min_literals, None, None), _WINDOW), "item_windows")
-    # a width for each length below the full one: at most ``width`` rows
-    widths = sorted({r[0] for r in of_items.select(F.least("tokens", F.lit(width))).distinct().collect()})
+    # a width for each reading and length below the full one: at most ``width`` rows for each
+    widths: dict[int, list[int]] = {}
+    for r in of_items.select("reading", F.least("tokens", F.lit(width)).alias("w")).distinct().orderBy("reading", "w").collect():
+        widths.setdefault(r["reading"], []).append(r["w"])
     bitmap = _bitmap(spark, of_items)
     plain = docs.select(F.col(key).cast("bigint"), text_or_empty(text))
     of_docs = plain.mapInArrow(lambda b: _window_rows(b, width, min_literals, widths, bitmap), _WINDOW)
 
-    left = of_docs.select(F.col("key").alias("_doc"), "hash", "template", F.col("at").alias("_at"), F.col("slots").alias("_theirs"))
-    right = of_items.select(F.col("key").alias("_item"), "hash", "template", F.col("at").alias("_from"), "tokens", F.col("slots").alias("_ours"))
-    joined = left.join(right, ["hash", "template"]).withColumns({"_shift": F.col("_at") - F.col("_from"), "_pairs": F.arrays_zip("_ours", "_theirs")})
-    shifts = joined.groupBy("_doc", "_item", "tokens", "_shift").agg(
+    left = of_docs.select(F.col("key").alias("_doc"), "reading", "hash", "template", F.col("at").alias("_at"), F.col("slots").alias("_theirs"))
+    right = of_items.select(
+        F.col("key").alias("_item"), "reading", "hash", "template", F.col("at").alias("_from"), "tokens", F.col("slots").alias("_ours"))
+    joined = left.join(right, ["reading", "hash", "template"]).withColumns(
+        {"_shift": F.col("_at") - F.col("_from"), "_pairs": F.arrays_zip("_ours", "_theirs")})
+    shifts = joined.groupBy("_doc", "_item", "reading", "tokens", "_shift").agg(
         F.collect_set("_from").alias("_starts"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_slots"))
     ours, theirs = F.transform("_slots", lambda p: p["_ours"]), F.transform("_slots", lambda p: p["_theirs"])
     one_to_one = (F.size(F.array_distinct(ours)) == F.size("_slots")) & (F.size(F.array_distinct(theirs)) == F.size("_slots"))
     other = F.exists("_slots", lambda p: p["_ours"] != p["_theirs"])
-    consistent = shifts.where(one_to_one).withColumn("_other", other)
-    whole = consistent.groupBy("_doc", "_item", "tokens").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_starts")))).alias("_starts"), F.max("_other").alias("reparameterised"))
+    shifts = shifts.withColumns({"_fits": one_to_one, "_other": other})
+    whole = shifts.groupBy("_doc", "_item", "reading", "tokens").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("_fits"), F.col("_starts")))))).alias("_starts"),
+        F.max(F.when(F.col("_fits"), F.col("_other"))).alias("reparameterised"), F.max(~F.col("_fits")).alias("_clash"))
     span = F.least(F.lit(width).cast("bigint"), F.col("tokens"))
     gaps = F.transform("_starts", lambda s, i: F.when(i == 0, span).otherwise(F.least(span, s - F.get("_starts", i - 1))))
-    covered = whole.withColumn("covered_tokens", F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, x: a + x))
-    return covered.where(F.col("covered_tokens") >= F.least(F.lit(min_tokens).cast("bigint"), F.col("tokens"))).select(
-        F.col("_doc").alias(key), F.col("_item").alias(item), F.size("_starts").alias("n_windows"), "covered_tokens",
-        F.col("tokens").alias("item_tokens"), "reparameterised")
+    covered = whole.withColumns(
+        {"covered_tokens": F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, x: a + x), "n_windows": F.size("_starts")})
+    found = covered.groupBy("_doc", "_item").agg(F.max("_clash").alias("_clash"), F.array_sort(F.collect_list(
+        F.struct("reading", "n_windows", "covered_tokens", "tokens", "reparameterised"))).alias("_found"))
+
+    def enough(f):
+        most = f["covered_tokens"] >= F.least(F.lit(min_tokens).cast("bigint"), f["tokens"])
+        return (f["covered_tokens"] == f["tokens"]) | (most & ((f["reading"] == TYPED) | ~F.col("_clash")))
+
+    first = F.get(F.filter("_found", enough), 0)
+    return found.withColumn("_first", first).where(F.col("_first").isNotNull()).select(
+        F.col("_doc").alias(key), F.col("_item").alias(item), "_first.n_windows", "_first.covered_tokens",
+        F.col("_first.tokens").alias("item_tokens"), "_first.reparameterised")
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:

@@ -69,3 +69,16 @@ def test_planted_items_in_many_documents(spark):
     item = helpers.words(rng, 30, 10_000)
     docs = [(i, f"{helpers.words(rng, 40, 10_000)} {item if i % 3 == 0 else ''} {helpers.words(rng, 10, 10_000)}") for i in range(300)]
     assert {k[0] for k in run(spark, docs, [(9, item)])} == {i for i in range(300) if i % 3 == 0}
+
+
+def test_verbatim_copies_of_number_rich_items(spark):
+    items = [
+        (1, "What is 12 plus 7?"), (2, "Peru 1821"), (3, "5 plus 6"), (4, "Compute 3 + 4 + 5 + 6 + 7 + 8 and then 9 + 10"),
+        (5, "Sum 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 of these 1 2 3 4 5"), (6, "A box of 12 eggs costs 3 dollars in 1999, 4 in 2000"),
+        (7, "How far do 3 men get in 45 minutes at 7 km")]
+    docs = [(i, f"Some words go before. {t} Some more come after.") for i, t in items]
+    docs += [(10 + i, f"Some words go before. {re.sub('[0-9]+', lambda m: m[0] + '1', t)} Some more come after.") for i, t in items]
+    got = run(spark, docs, items)
+    assert {k for k in got if k[0] < 10} == {(i, i) for i, _ in items}
+    assert not any(r["reparameterised"] for k, r in got.items() if k[0] < 10) and all(r["covered_tokens"] == r["item_tokens"] for k, r in got.items() if k[0] < 10)
+    assert not {k for k in got if k[0] in (11, 12, 13, 15)}              # few words and other numbers are another text
