@@ -26,14 +26,18 @@ NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 _LITERAL, _NUMBER, _UNIT, _SIGN, _TITLE, _STOP = range(6)
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_][^\W_]*(?:['’][^\W\d_]+)*|[.!?:\n%$€£°]")          # "12km" is two tokens, "B12" one
 _STOPS, _SIGNS = frozenset(".!?:\n"), frozenset("%$€£°")
-#: Readings of a text: words and typed slots; or plain words and numbers, where a copy is verbatim.
-TYPED, WORDS = 0, 2
-READINGS = (TYPED, WORDS)
+#: Readings of a text: words and typed slots; the same without names, whatever the case and line breaks; plain words and numbers.
+READINGS = TYPED, FOLDED, WORDS = range(3)
 _WINDOW = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("reading", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("at", T.LongType()),
     T.StructField("tokens", T.LongType()), T.StructField("template", T.StringType()), T.StructField("slots", T.ArrayType(T.StringType()))])
 
 
+def fold(token: str) -> str:
+    """A token without case and form of apostrophe."""
+    return token.casefold().replace("’", "'")
+
+
 class Vocabulary(dict):
     """Number of a raw token; ``kind`` and ``hash`` hold what is known of each."""
 
@@ -43,10 +47,11 @@ class Vocabulary(dict):
         self.digest = xxhash.xxh64_intdigest
         self.kind, self.hash = np.zeros(1 << 12, np.int8), np.zeros(1 << 12, np.uint64)
         self.numbers, self.units = frozenset(NUMBER_WORDS), frozenset(UNITS)
+        self.line_break = self["\n"]
         self.placeholder = np.array([self.digest(x) for x in (NUMBER, UNIT, NAME)], np.uint64)
 
     def __missing__(self, token: str) -> int:
-        low = token.lower()
+        low = fold(token)
         if token in _STOPS:
             kind = _STOP
         elif token in _SIGNS:
@@ -71,24 +76,29 @@ class Vocabulary(dict):
 class Template:
     """A text as literal words and placeholders: ``hash`` of each token, and what a slot held.
 
-    Read as ``WORDS``, numbers, units and names are literal too.
+    Read as ``FOLDED``, names are literal and line breaks no stops; as ``WORDS``, all is literal.
     """
 
     def __init__(self, text: str, vocabulary: Vocabulary, reading: int = TYPED, tokens: tuple[list[str], np.ndarray] | None = None):
         self.reading = reading
         self.raw, ids = tokens or vocabulary.tokens(text)
+        raw_at = np.arange(len(ids))
+        if reading == FOLDED:
+            raw_at = np.flatnonzero(ids != vocabulary.line_break)
+            ids = ids[raw_at]
         kind = vocabulary.kind[ids]
-        before = np.concatenate([[_STOP], kind[:-1]]) if len(kind) else kind
-        after = np.concatenate([kind[1:], [_STOP]]) if len(kind) else kind
-        number = kind == _NUMBER
-        unit = ((kind == _UNIT) & (before == _NUMBER)) | ((kind == _SIGN) & ((before == _NUMBER) | (after == _NUMBER)))
-        name = (kind == _TITLE) & (before != _STOP)
-        if reading == WORDS:
-            number, unit, name = (np.zeros(len(kind), bool) for _ in range(3))
+        none = np.zeros(len(kind), bool)
+        number = unit = name = goes_on = none
+        if reading != WORDS and len(kind):
+            before, after = np.concatenate([[_STOP], kind[:-1]]), np.concatenate([kind[1:], [_STOP]])
+            number = kind == _NUMBER
+            unit = ((kind == _UNIT) & (before == _NUMBER)) | ((kind == _SIGN) & ((before == _NUMBER) | (after == _NUMBER)))
+        if reading == TYPED and len(kind):
+            name = (kind == _TITLE) & (before != _STOP)
+            goes_on = name & np.concatenate([[False], name[:-1]])                       # "Ada Lovelace" is one name
         role = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
-        goes_on = name & np.concatenate([[False], name[:-1]]) if len(name) else name      # "Ada Lovelace" is one name
         keep = np.flatnonzero((kind != _STOP) & ((kind != _SIGN) | unit) & ~goes_on)
-        self.at, self.role = keep, role[keep]
+        self.at, self.role = raw_at[keep], role[keep]
         self.goes_on = goes_on
         literal = vocabulary.hash[ids][keep]
         self.hash = np.where(self.role > 0, vocabulary.placeholder[self.role - 1], literal)
@@ -110,11 +120,11 @@ class Template:
         """A window's template and its slots in order, each as type and value."""
         words, slots = [], []
         for i, role in zip(self.at[start:start + width].tolist(), self.role[start:start + width].tolist()):
-            value = self.raw[i].lower()
+            value = fold(self.raw[i])
             if role == 3:
                 j = i + 1
                 while j < len(self.raw) and self.goes_on[j]:
-                    value += " " + self.raw[j].lower()
+                    value += " " + fold(self.raw[j])
                     j += 1
             words.append((value, NUMBER, UNIT, NAME)[role])
             if role:
@@ -122,6 +132,21 @@ class Template:
         return " ".join(words), slots
 
 
+def _parts(rows: Iterator[tuple[int, str]], least: int = 1 << 16) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Texts in parts of some 65,536 tokens: keys, tokens with a stop after each text, and where the next text starts."""
+    keys, raw, ends = [], [], []
+    for key, text in rows:
+        raw += _TOKEN.findall(text)
+        raw.append(".")
+        keys.append(key)
+        ends.append(len(raw))
+        if len(raw) >= least:
+            yield keys, raw, ends
+            keys, raw, ends = [], [], []
+    if keys:
+        yield keys, raw, ends
+
+
 #: Raw tokens that a task remembers at most; it starts anew beyond that.
 REMEMBERED = 300_000
 
@@ -133,22 +158,31 @@ def _window_rows(
     vocabulary = Vocabulary()
     for batch in batches:
         rows = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for keys, raw, ends in _parts(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             if len(vocabulary) > REMEMBERED:
                 vocabulary = Vocabulary()
-            tokens = vocabulary.tokens(text)
+            tokens = raw, np.fromiter(map(vocabulary.__getitem__, raw), np.int64, len(raw))
             for reading in READINGS if widths is None else widths:
-                t = Template(text, vocabulary, reading, tokens)
-                if widths is None and reading == WORDS and not np.isin(vocabulary.kind[tokens[1]], (_LITERAL, _TITLE)).any():
-                    continue                                                          # an item of mere numbers and units
-                for w in widths[reading] if widths is not None else [min(width, len(t.hash))]:
-                    start, h = t.windows(w, min(min_literals, w)) if w else ((), ())
-                    if bitmap is not None and len(h):
+                t = Template("", vocabulary, reading, tokens)
+                of = np.searchsorted(ends, t.at, "right")                             # number of each token's text
+                n = np.bincount(of, minlength=len(keys))
+                first, own = np.cumsum(n) - n, np.minimum(n, width)
+                if widths is None and reading == WORDS:                               # no items of mere numbers and units
+                    worded = np.isin(vocabulary.kind[tokens[1][t.at]], (_LITERAL, _TITLE))
+                    own = np.where(np.bincount(of, worded, len(keys)) > 0, own, 0)
+                for w in widths[reading] if widths is not None else np.unique(own[own > 0]).tolist():
+                    start, h = t.windows(w, min(min_literals, w))
+                    if bitmap is not None:
                         bit = h & np.uint64(MAP_BITS - 1)
                         hit = (bitmap.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
                         start, h = start[hit], h[hit]
-                    for s, x in zip(list(start), list(h)):
-                        rows.append((key, reading, int(x.view(np.int64)), int(s), len(t.hash), *t.shown(int(s), w)))
+                    inside = of[start] == of[start + w - 1]
+                    if widths is None:
+                        inside &= own[of[start]] == w
+                    start, h = start[inside], h[inside]
+                    at = of[start]
+                    for s, x, a in zip(start.tolist(), h.view(np.int64).tolist(), at.tolist()):
+                        rows.append((keys[a], reading, x, s - int(first[a]), int(n[a]), *t.shown(s, w)))
         for i in range(0, len(rows), 4096):
             yield pa.RecordBatch.from_pylist([dict(zip(_WINDOW.names, r)) for r in rows[i:i + 4096]], pa.schema([
                 ("key", pa.int64()), ("reading", pa.int32()), ("hash", pa.int64()), ("at", pa.int64()), ("tokens", pa.int64()), ("template", pa.string()),
@@ -172,16 +206,17 @@ def matches(
     Texts become templates: a number is ``<number>``, a unit beside a number ``<unit>``, a run of
     capitalised words inside a sentence ``<name>``; case, punctuation and line breaks go. Windows of
     ``width`` template tokens with at least ``min_literals`` literal words are joined by hash and
-    template. Beside that, texts are read as plain words and numbers, and all their windows of
-    ``width`` joined, so a copy of the whole item is found whatever its length, numbers and names. Matched windows of one document, item and shift between them must fill the
+    template. What is a name depends on case and on what stands before it; so texts are also read with
+    names as words, wherever lines break, and joined likewise; and as plain words and numbers, all
+    windows of ``width`` joined, so a copy of the whole item is found whatever its length, numbers, names and case. Matched windows of one document, item and shift between them must fill the
     item's slots consistently: the same value wherever the item repeats one, different
     values where it has different ones. What is left must cover ``min_tokens`` tokens of the
-    item, or all of a shorter item; as plain words it must be all of the item where slots of the pair
-did not agree, since a passage around them may.
+    item, or all of a shorter item; in the other two readings it must be all of the item where slots of
+    the pair did not agree, since a passage around them may.
 
     Returns ``key``, ``item``, ``n_windows``, ``covered_tokens``, ``item_tokens``, ``reparameterised`` (some slot
-    holds another value than in the item): one row for each contaminated document and item, by the
-    template where it is enough, else counted in plain words.
+    holds another value than in the item, and no copy is whole and verbatim): one row for each
+    contaminated document and item, by the first reading that is enough, in whose tokens it is counted.
 
     Items of fewer tokens than a window are one window of their own length; items of nothing but
     numbers and units match nothing. Null or empty texts match nothing. Rows without key cannot
@@ -225,7 +260,10 @@ did not agree, since a passage around them may.
         most = f["covered_tokens"] >= F.least(F.lit(min_tokens).cast("bigint"), f["tokens"])
         return (f["covered_tokens"] == f["tokens"]) | (most & ((f["reading"] == TYPED) | ~F.col("_clash")))
 
-    first = F.get(F.filter("_found", enough), 0)
+    fine = F.filter("_found", enough)
+    verbatim = F.filter(fine, lambda f: (f["reading"] == WORDS) & (f["covered_tokens"] == f["tokens"]))
+    typed = F.get(F.filter(fine, lambda f: f["reading"] == TYPED), 0)
+    first = F.coalesce(F.when(~typed["reparameterised"], typed), F.get(verbatim, 0), F.get(fine, 0))
     return found.withColumn("_first", first).where(F.col("_first").isNotNull()).select(
         F.col("_doc").alias(key), F.col("_item").alias(item), "_first.n_windows", "_first.covered_tokens",
         F.col("_first.tokens").alias("item_tokens"), "_first.reparameterised")

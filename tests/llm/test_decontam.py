@@ -82,3 +82,29 @@ def test_verbatim_copies_of_number_rich_items(spark):
     assert {k for k in got if k[0] < 10} == {(i, i) for i, _ in items}
     assert not any(r["reparameterised"] for k, r in got.items() if k[0] < 10) and all(r["covered_tokens"] == r["item_tokens"] for k, r in got.items() if k[0] < 10)
     assert not {k for k in got if k[0] in (11, 12, 13, 15)}              # few words and other numbers are another text
+
+
+def test_copies_in_other_context_lines_and_case(spark):
+    items = [
+        (1, "Which river flows through Rome"), (2, "Why did Ada Lovelace write to Charles Babbage about the engine"), (3, "As Anna has 5 apples she gives 2 to Ben today"),
+        (4, "Die Straße von Anna’s Haus nach Bern ist heute lang und sehr nass"),
+        (5, "When Maria Silva bought 14 loaves in Lisbon and sold 9 in Porto how many loaves were left for her to eat")]
+    ways = [
+        lambda t: f"It was asked, {t} and then more.", lambda t: f'some words "{t}" came next', lambda t: f"nothing eranha {t} more of it",
+        lambda t: "Before. " + t.replace(" ", "\n") + "\nAfter.", lambda t: f"before {t.upper()} after", lambda t: f"before {t.lower()} after",
+        lambda t: f"before {t.title()} after", lambda t: f"before {t}, after".replace("’", "'")]
+    docs = [(10 * w + i, way(t)) for w, way in enumerate(ways) for i, t in items]
+    other = [(100 + 10 * w + 3, way(items[2][1].replace("5", "8").replace("2", "3"))) for w, way in enumerate(ways[:6])]
+    got = run(spark, docs + other, items)
+    assert set(got) == {(10 * w + i, i) for w in range(len(ways)) for i, _ in items} | {(k, 3) for k, _ in other}
+    assert all(r["reparameterised"] == (k[0] > 100) for k, r in got.items())
+
+
+def test_reading_many_texts_at_once():
+    rng, vocabulary = random.Random(2), decontam.Vocabulary()
+    texts = ["", "12", "km 5", "Ada", "Lovelace ran 3", "km\n5 Ada", *[" ".join(rng.choices(["Ada", "ran", "5", "km", ".", "\n", "$", "won"], k=rng.randint(0, 30))) for _ in range(60)]]
+    (keys, raw, ends), = decontam._parts(enumerate(texts))
+    tokens = raw, decontam.np.array([vocabulary[x] for x in raw])
+    for reading in decontam.READINGS:
+        whole, one = decontam.Template("", vocabulary, reading, tokens), [decontam.Template(t, vocabulary, reading) for t in texts]
+        assert whole.hash.tolist() == [h for t in one for h in t.hash.tolist()]
