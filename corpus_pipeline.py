@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that came before, ``n_chars`` counted anew; those that lose all go."""
-    kept = lines.drop_repeated_lines(docs)
+    """Documents less the lines that came before, short ones too; ``n_chars`` counted anew; those that lose all go."""
+    kept = lines.drop_repeated_lines(docs, exact_chars=1)
     kept = kept.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)

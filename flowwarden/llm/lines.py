@@ -90,17 +90,20 @@ def _lines(named: DataFrame, min_chars: int) -> DataFrame:
     return split.withColumns({f"_h{i}": F.xxhash64(F.lit(s), "_line") for i, s in enumerate(_SALTS)})
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
+def repeated_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, exact_chars: int | None = None,
+) -> DataFrame:
     """``_doc``, ``_removed``: for each document that loses lines, their numbers from 0.
 
     A line goes if an earlier line (smaller key, or same document and smaller number) of the
-    input is equal or one character edit away, whether or not that earlier line stays.
+    input is equal or one character edit away, whether or not that earlier line stays. Lines of
+    ``exact_chars`` to ``min_chars`` characters go only if an earlier line is equal.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    lines = _lines(_named(docs, key, text), min_chars)
+    lines = _lines(_named(docs, key, text), min_chars if exact_chars is None else min(exact_chars, min_chars))
     at = F.struct("_doc", "_no")
-    hashed = lines.select("_h0", "_h1", at.alias("_at"), _halves(F.col("_line")).alias("_half"))
+    hashed = lines.select("_h0", "_h1", at.alias("_at"), F.when(F.char_length("_line") >= min_chars, _halves(F.col("_line"))).alias("_half"))
     firsts = staged(hashed.groupBy("_h0", "_h1").agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_times"), F.min("_half").alias("_half")), "first_lines")
 
@@ -139,16 +142,19 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     return gone.groupBy("_doc").agg(F.collect_set("_no").alias("_removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, exact_chars: int | None = None,
+) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` less its repeated lines, and ``n_lines``, ``n_removed``.
 
-    Lines are cut at line feeds; those shorter than ``min_chars`` characters always stay.
+    Lines are cut at line feeds; those shorter than ``min_chars`` characters stay, but for repeats of
+    equal lines of at least ``exact_chars`` (none if it is None). Empty lines always stay.
     Rows with the same key and the same text are one document and come back as often as
     they came. Null keys come first in the order. Null texts stay null (one line, none
     removed), empty ones empty; a text whose lines all go becomes empty. No rows, no result.
     Columns with clashing names are carried along (``n_lines``, ``n_removed`` are replaced).
     """
-    gone = repeated_lines(docs, key, text, min_chars)
+    gone = repeated_lines(docs, key, text, min_chars, exact_chars)
     rows = docs.select(F.struct("*").alias("_row"))
     plain = F.coalesce(F.col(f"_row.{text}").cast("string"), F.lit(""))
     rows = rows.withColumn("_name", F.struct(F.col(f"_row.{key}").alias("key"), F.xxhash64(plain).alias("text")))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from flowwarden.llm import lines
 from tests.llm import helpers
 
@@ -77,3 +78,13 @@ def test_a_hot_line(spark):
     rows = [(i, f"{'a very common line':>30}\nline number {i:06d} of its own") for i in range(400)]
     got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(helpers.table(spark, rows)).collect()}
     assert [got[i] for i in range(400)] == brute([t for _, t in rows])
+
+
+def test_short_lines_that_are_equal(spark):
+    texts = ["Menu\nHome\n\nthe first line of its own", "Home\nMenu\n\nHomes\nthe second line, its own", "今日は晴れです。\nMenu", "今日は晴れです。\nx\nx\n", "Menu\n今日も晴れです。"]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(helpers.table(spark, rows), exact_chars=1).collect()}
+    assert [got[i] for i in range(5)] == [texts[0], "\nHomes\nthe second line, its own", "今日は晴れです。", "x\n", "今日も晴れです。"]
+    stage = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, helpers.table(spark, rows), "").collect()}
+    assert stage == got
+    assert {r["text"] for r in lines.drop_repeated_lines(helpers.table(spark, rows)).collect()} == set(texts)
