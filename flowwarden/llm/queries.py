@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, lines, packing, quality, sharding, simhash, suffix, winnow
+from . import chat, decontam, language, lines, packing, periodic, quality, sharding, simhash, suffix, winnow
 from .common import text_or_empty
 
 N_SHARDS = 40
@@ -90,6 +90,27 @@ def op10_packing(spark, sf_dir):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continued", "continues")
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: for one id in ten by CRC-32, words of the text are repeated from some word on."""
+    words = F.filter(F.split(text_or_empty("text"), "[ \t-\r]+", -1), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h"))
+    rows = rows.withColumn("_words", F.when(F.col("_h") % 10 == 0, words))           # null for all others
+    rows = rows.withColumns({"_n": F.size("_words"), "_g": F.expr("_h div 10")})
+    rows = rows.withColumn("_a", F.expr("cast(_g % nullif(_n, 0) as int)")).withColumn("_p", F.expr("cast(1 + (_n - _a) div (3 + _g % 8) as int)"))
+    repeated = F.expr("array_join(transform(sequence(0, _n - 1), i -> get(_words, if(i < _a, i, _a + (i - _a) % _p))), ' ')")
+    return rows.select("doc_id", F.when(F.col("_n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(with_planted_period(documents(spark, sf_dir)), F.col("text"))
+    best = periodic.strongest(F.col("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_fingerprints, op2_decontamination, op3_chat_format, op4_line_dedup, op5_language_id, op6_suffix_dedup, op7_sharding, op8_quality, op9_simhash, op10_packing,
-    page_languages)}
+    op12_periodic_runs, page_languages)}
