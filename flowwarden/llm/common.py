@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
@@ -18,18 +21,32 @@ def arrow_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
         spark.conf.set(key, str(size))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: later jobs start from the files.
 
     Lost executors then cost no recomputation of what came before, and what
-    depends on partitions or their order is settled once.
+    depends on partitions or their order is settled once. With ``by``, each value of that
+    column has a folder of its own, and readers of one value read no others.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside remove their shuffle files as they end, in place of when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Bits of a map of hashes: 1 MB, or 131,072 rows, whatever is mapped.
 MAP_BITS = 1 << 23
 

@@ -46,3 +46,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+# Lloyd's rounds one after another; whole numbers throughout. x - mod(mod(x, n) + n, n) is n times the floor of x / n.
+_LLOYD = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id, v) - 1 AS cluster, v
+  FROM kept WHERE vec_id IS NOT NULL ORDER BY sha256('2:' || vec_id), vec_id, v LIMIT 40)"""
+_LLOYD_ROUND = """,
+a{now} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min((distance, cluster)) AS best
+  FROM (SELECT k.row, k.vec_id, k.v, c.cluster, list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+        FROM kept k CROSS JOIN c{now} c)
+  GROUP BY row)"""
+_LLOYD_MOVE = """,
+s{now} AS (
+  SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n
+  FROM (SELECT best[2] AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{now}) GROUP BY cluster, i),
+c{next} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{now} c
+  LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{now} GROUP BY cluster) m USING (cluster))"""
+SQL["op11_lloyd"] = _LLOYD + "".join(_LLOYD_ROUND.format(now=i) + _LLOYD_MOVE.format(now=i, next=i + 1) for i in range(5)) + _LLOYD_ROUND.format(now=5) + """
+SELECT a.vec_id, a.best[2]::INT AS cluster, a.best[1] AS distance, sum(a.best[1]) OVER (PARTITION BY a.best[2])::BIGINT AS cluster_inertia,
+       sum(a.best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a5 a JOIN c5 c ON c.cluster = a.best[2]
+"""

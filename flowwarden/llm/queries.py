@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, lines, packing, periodic, quality, sharding, simhash, suffix, winnow
+from . import chat, decontam, language, lines, lloyd, packing, periodic, quality, sharding, simhash, suffix, winnow
 from .common import text_or_empty
 
 N_SHARDS = 40
 QUALITY_THRESHOLD = 0.3
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
+N_CLUSTERS, LLOYD_ROUNDS = 40, 5
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -90,6 +91,13 @@ def op10_packing(spark, sf_dir):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continued", "continues")
 
 
+def op11_lloyd(spark, sf_dir):
+    order = F.sha2(F.concat(F.lit("2:"), F.col("id").cast("string")), 256)
+    assigned, centroids = lloyd.lloyd(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), N_CLUSTERS, LLOYD_ROUNDS, order)
+    return lloyd.with_inertia(assigned, centroids).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def with_planted_period(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: for one id in ten by CRC-32, words of the text are repeated from some word on."""
     words = F.filter(F.split(text_or_empty("text"), "[ \t-\r]+", -1), lambda w: w != "")
@@ -113,4 +121,4 @@ def op12_periodic_runs(spark, sf_dir):
 
 REGISTRY = {f.__name__: f for f in (
     op1_fingerprints, op2_decontamination, op3_chat_format, op4_line_dedup, op5_language_id, op6_suffix_dedup, op7_sharding, op8_quality, op9_simhash, op10_packing,
-    op12_periodic_runs, page_languages)}
+    op11_lloyd, op12_periodic_runs, page_languages)}
