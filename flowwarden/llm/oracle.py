@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .rules import GOOD_SHARE, PRIOR_VOTES, RIGHT_ON_GOOD, RIGHT_ON_OTHER, RIGHT_ON_OWN, ROUNDS, RULES
+
 SQL: dict[str, str] = {}
 
 SQL["op3_chat_format"] = """
@@ -74,3 +76,51 @@ SELECT a.vec_id, a.best[2]::INT AS cluster, a.best[1] AS distance, sum(a.best[1]
        sum(a.best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
 FROM a5 a JOIN c5 c ON c.cluster = a.best[2]
 """
+
+# Rules as rows: the votes of each document, distinct vote patterns, then rounds of expectation and maximisation.
+_W = r"[^\x20\x09-\x0D]+"
+_VOTES = ", ".join(f"CASE WHEN {good} THEN 1 WHEN {bad} THEN -1 ELSE 0 END" for good, bad in RULES.values())
+_RULES = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT row, regexp_extract_all(text, '{_W}') AS ws FROM t)),
+grams AS (
+  SELECT * FROM (SELECT row, pos, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM w WINDOW o AS (PARTITION BY row ORDER BY pos))
+  WHERE gram IS NOT NULL),
+again AS (SELECT row, pos FROM (SELECT row, pos, count(*) OVER (PARTITION BY row, gram) AS times FROM grams) WHERE times > 1),
+held AS (SELECT row, count(DISTINCT pos + i) AS n FROM again, range(3) r(i) GROUP BY row),
+words AS (SELECT row, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY row),
+lines AS (SELECT row, count(*) AS n, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (WHERE regexp_matches(line, '[.!?…。！？]["''»”)\\]]*[ \\t-\\r]*$')) AS ended
+  FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{_W}') GROUP BY row),
+measured AS (
+  SELECT t.row, doc_id, coalesce(w.n, 0) AS n_words, coalesce(w.chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         length(regexp_replace(text, '\\P{{L}}+', '', 'g')) AS n_letters, length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS n_upper,
+         length(regexp_replace(text, '[^\\p{{Lu}}\\p{{Ll}}]+', '', 'g')) AS n_cased, coalesce(l.n, 0) AS n_lines, coalesce(l.dup, 0) AS n_dup_lines,
+         coalesce(l.ended, 0) AS n_ended, coalesce(h.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN words w USING (row) LEFT JOIN lines l USING (row) LEFT JOIN held h USING (row)),
+voted AS MATERIALIZED (SELECT *, [{_VOTES}] AS votes FROM measured),
+pattern AS MATERIALIZED (SELECT votes, count(*) AS n FROM voted GROUP BY votes),
+votes AS MATERIALIZED (SELECT votes, n, unnest(votes) AS vote, generate_subscripts(votes, 1) AS rule FROM pattern),
+k0 AS MATERIALIZED (
+  SELECT kind, rule, CASE WHEN kind = 0 THEN {GOOD_SHARE} ELSE (1 - {GOOD_SHARE}) / {len(RULES)} END::DOUBLE AS share,
+         CASE WHEN kind = 0 THEN {RIGHT_ON_GOOD} WHEN kind = rule THEN {RIGHT_ON_OWN} ELSE {RIGHT_ON_OTHER} END::DOUBLE AS correct
+  FROM range({len(RULES) + 1}) k(kind), range(1, {len(RULES) + 1}) r(rule))"""
+_EXPECTED = """,
+l{now} AS (
+  SELECT votes, kind, any_value(n) AS n, ln(any_value(share)) + sum(CASE WHEN vote = 0 THEN 0 WHEN (vote > 0) = (kind = 0) THEN ln(correct) ELSE ln(1 - correct) END) AS l
+  FROM votes JOIN k{now} USING (rule) GROUP BY votes, kind),
+e{now} AS (SELECT votes, kind, n, exp(l - max(l) OVER (PARTITION BY votes)) AS odds FROM l{now}),
+p{now} AS MATERIALIZED (SELECT votes, kind, n, odds / sum(odds) OVER (PARTITION BY votes) AS p FROM e{now})"""
+_MAXIMISED = f""",
+s{{now}} AS (SELECT kind, sum(n * p) AS s, sum(sum(n * p)) OVER () AS total FROM p{{now}} GROUP BY kind),
+k{{next}} AS MATERIALIZED (
+  SELECT k.kind, k.rule, any_value((s.s + {PRIOR_VOTES} * k.share) / (s.total + {PRIOR_VOTES})) AS share,
+         (sum(CASE WHEN v.vote <> 0 AND (v.vote > 0) = (k.kind = 0) THEN v.n * p.p ELSE 0 END) + {PRIOR_VOTES} * any_value(k.correct))
+         / (sum(CASE WHEN v.vote <> 0 THEN v.n * p.p ELSE 0 END) + {PRIOR_VOTES}) AS correct
+  FROM k0 k JOIN votes v USING (rule) JOIN p{{now}} p ON p.votes = v.votes AND p.kind = k.kind JOIN s{{now}} s ON s.kind = k.kind
+  GROUP BY k.kind, k.rule)"""
+SQL["op13_quality_rules"] = _RULES + "".join(
+    _EXPECTED.format(now=i) + _MAXIMISED.format(now=i, next=i + 1) for i in range(ROUNDS)) + _EXPECTED.format(now=ROUNDS) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND p >= 0.5 AS kept
+FROM voted JOIN p{ROUNDS} USING (votes) WHERE kind = 0
+"""

@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, lines, lloyd, packing, periodic, quality, sharding, simhash, suffix, winnow
+from . import chat, decontam, language, lines, lloyd, packing, periodic, quality, rules, sharding, simhash, suffix, winnow
 from .common import text_or_empty
 
 N_SHARDS = 40
 QUALITY_THRESHOLD = 0.3
+KEEP_POSTERIOR = 0.5
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 N_CLUSTERS, LLOYD_ROUNDS = 40, 5
 TOKENIZER = "byte_bpe_50k.json"
@@ -119,6 +120,14 @@ def op12_periodic_runs(spark, sf_dir):
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
 
 
+def op13_quality_rules(spark, sf_dir):
+    judged, _ = rules.judged(documents(spark, sf_dir))
+    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & (F.col("posterior") >= KEEP_POSTERIOR)).alias("kept"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_fingerprints, op2_decontamination, op3_chat_format, op4_line_dedup, op5_language_id, op6_suffix_dedup, op7_sharding, op8_quality, op9_simhash, op10_packing,
-    op11_lloyd, op12_periodic_runs, page_languages)}
+    op11_lloyd, op12_periodic_runs, op13_quality_rules, page_languages)}

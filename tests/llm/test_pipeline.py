@@ -87,5 +87,5 @@ def test_stages_of_nothing_and_of_odd_documents(spark, folder):
 def test_registered():
     names = [*__spark_entry__.queries()]
     assert [n for n in names if re.match(r"op\d+_", n)] == [n for n in names if n.startswith("op")]
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert public_tokenizers.path(corpus_pipeline.queries.TOKENIZER)
