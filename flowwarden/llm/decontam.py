@@ -270,7 +270,13 @@ def matches(
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item, with all their columns. Rows without key share one fate."""
-    found = matches(docs.select(key, options.get("text", "text")), items, key, **options)
-    found = found.select(F.col(key).alias("_contaminated")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["_contaminated"]), "left_anti")
+    """The documents that hold no item, with all their columns.
+
+    A document is named by a 64-bit hash of key and text, so rows that share a key, or have none, are judged
+    by their own texts.
+    """
+    text = options.pop("text", "text")
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(key).cast("bigint"), text_or_empty(text)).alias("_name"))
+    found = matches(rows.select("_name", F.col(f"_row.{text}").alias("_text")), items, "_name", "_text", **options)
+    kept = rows.join(found.select("_name").distinct(), "_name", "left_anti")
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -16,7 +16,8 @@ from .common import arrow_batches, staged, text_or_empty
 ship_functions(__name__)
 
 BUCKETS = 1 << 12
-#: More languages than this is an error, not a cut: the model is LANGUAGES x BUCKETS numbers at most.
+#: Languages learnt at most, those that most rows declare: the model is LANGUAGES x BUCKETS numbers. Other declared values, as
+#: in a free-text column, are declarations of an unknown language.
 LANGUAGES = 256
 #: Hosts that are broadcast at most; more are joined by shuffle.
 BROADCAST_HOSTS = 200_000
@@ -45,8 +46,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if language not in counts:
-                if len(counts) >= LANGUAGES:
-                    raise ValueError(f"more than {LANGUAGES} declared languages")
                 counts[language] = np.zeros(BUCKETS, np.int64)
             counts[language] += np.bincount(grams(text), minlength=BUCKETS)
     for language, n in counts.items():
@@ -67,16 +66,16 @@ class Model:
 def train(docs: DataFrame, text: str = "text", declared: str = "lang", smoothing: float = 0.5) -> Model:
     """Trigram likelihoods of each declared language, counted over all rows that declare one.
 
-    The driver receives at most ``LANGUAGES`` x ``BUCKETS`` sums. Rows with null texts or languages
-    are passed over; with no rows there are no languages.
+    The ``LANGUAGES`` most declared ones are learnt (ties: by name); the driver receives at most ``LANGUAGES`` x ``BUCKETS``
+    sums. Rows with null texts or languages are passed over; with no rows there are no languages.
     """
     arrow_batches(docs.sparkSession)
     known = docs.select(F.col(declared).cast("string").alias("language"), F.col(text).cast("string").alias("text")).na.drop()
-    sums = known.mapInArrow(_count, _COUNTS).groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    rows = {r["language"]: r["count"] for r in known.groupBy("language").count().collect()}
+    most = known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES)
+    rows = {r["language"]: r["count"] for r in most.collect()}
     languages = sorted(rows)
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} declared languages")
+    learnt = known.where(F.col("language").isin(languages))
+    sums = learnt.mapInArrow(_count, _COUNTS).groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     n = np.full((len(languages), BUCKETS), smoothing)
     if len(sums):
         np.add.at(n, (sums["language"].map(languages.index).to_numpy(), sums["bucket"].to_numpy()), sums["n"].to_numpy())

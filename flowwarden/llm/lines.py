@@ -91,7 +91,7 @@ def _lines(named: DataFrame, min_chars: int) -> DataFrame:
 
 
 def repeated_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, exact_chars: int | None = None,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, exact_chars: int = 1,
 ) -> DataFrame:
     """``_doc``, ``_removed``: for each document that loses lines, their numbers from 0.
 
@@ -101,7 +101,7 @@ def repeated_lines(
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    lines = _lines(_named(docs, key, text), min_chars if exact_chars is None else min(exact_chars, min_chars))
+    lines = _lines(_named(docs, key, text), min(exact_chars, min_chars))
     at = F.struct("_doc", "_no")
     hashed = lines.select("_h0", "_h1", at.alias("_at"), F.when(F.char_length("_line") >= min_chars, _halves(F.col("_line"))).alias("_half"))
     firsts = staged(hashed.groupBy("_h0", "_h1").agg(
@@ -143,12 +143,12 @@ def repeated_lines(
 
 
 def drop_repeated_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, exact_chars: int | None = None,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, exact_chars: int = 1,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` less its repeated lines, and ``n_lines``, ``n_removed``.
 
-    Lines are cut at line feeds; those shorter than ``min_chars`` characters stay, but for repeats of
-    equal lines of at least ``exact_chars`` (none if it is None). Empty lines always stay.
+    Lines are cut at line feeds; a line shorter than ``min_chars`` characters, one edit in which makes another word, goes
+    only if an earlier line is equal (and it has ``exact_chars`` at least: all but empty lines). Empty lines always stay.
     Rows with the same key and the same text are one document and come back as often as
     they came. Null keys come first in the order. Null texts stay null (one line, none
     removed), empty ones empty; a text whose lines all go becomes empty. No rows, no result.

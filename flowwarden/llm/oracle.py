@@ -27,18 +27,19 @@ FROM kept k JOIN turns t ON t.conv_id IS NOT DISTINCT FROM k.conv_id
 GROUP BY k.conv_id
 """
 
-# Of two lines of 10 or more characters one edit apart, the first or the last five agree.
+# Any line but an empty one goes if an earlier one is equal. Of two lines of 10 or more characters one edit apart, the first or the last five agree.
 SQL["op4_line_dedup"] = """
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 lines AS (SELECT doc_id, generate_subscripts(a, 1) AS no, unnest(a) AS line FROM cut),
 firsts AS (
-  SELECT line, min((doc_id, no)) AS first FROM (SELECT line, doc_id, no FROM lines WHERE length(line) >= 10) GROUP BY line),
+  SELECT line, min((doc_id, no)) AS first FROM (SELECT line, doc_id, no FROM lines WHERE length(line) >= 1) GROUP BY line),
+long AS (SELECT * FROM firsts WHERE length(line) >= 10),
 near AS (
-  SELECT DISTINCT b.line FROM firsts a JOIN firsts b
+  SELECT DISTINCT b.line FROM long a JOIN long b
     ON left(a.line, 5) = left(b.line, 5) AND abs(length(a.line) - length(b.line)) <= 1 AND a.first < b.first
   WHERE levenshtein(a.line, b.line) <= 1
   UNION
-  SELECT DISTINCT b.line FROM firsts a JOIN firsts b
+  SELECT DISTINCT b.line FROM long a JOIN long b
     ON right(a.line, 5) = right(b.line, 5) AND abs(length(a.line) - length(b.line)) <= 1 AND a.first < b.first
   WHERE levenshtein(a.line, b.line) <= 1),
 marked AS (

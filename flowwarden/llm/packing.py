@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ def byte_bpe(tokenizer_file: str) -> Callable[[str], np.ndarray]:
 
     The ids are those of ``Tokenizer.from_file(tokenizer_file).encode(text, add_special_tokens=False)``.
     That call takes four to five times as long, so the file's vocabulary, whose ids are
-    merge ranks, is given to the faster of the two installed libraries for it. A worker
+    merge ranks, is given to the faster of the two installed libraries for it, and the slower one
+    takes the texts that the faster can not split. A worker
     process outlives its tasks and keeps the encoder.
     """
     encoders = vars(sys).setdefault("_flowwarden_encoders", {})
@@ -29,6 +31,7 @@ def byte_bpe(tokenizer_file: str) -> Callable[[str], np.ndarray]:
 
         import tiktoken
         from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
 
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
@@ -37,7 +40,18 @@ def byte_bpe(tokenizer_file: str) -> Callable[[str], np.ndarray]:
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*shown}))}
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
         bpe = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        encoders[tokenizer_file] = lambda text: bpe.encode_to_numpy(text, allowed_special="all")
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return bpe.encode_to_numpy(text, allowed_special="all")
+            except ValueError:                          # its matcher has a stack limit, met by some 10^6 blanks in a row
+                return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
+
+        @cache
+        def whole() -> Tokenizer:
+            return Tokenizer.from_file(tokenizer_file)
+
+        encoders[tokenizer_file] = encode
     return encoders[tokenizer_file]
 
 

@@ -142,27 +142,29 @@ def score_bags(model: Model, bags: list[np.ndarray]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-_BAG = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("bag", T.BinaryType())])
+_BAG = T.StructType([
+    T.StructField("key", T.LongType()), T.StructField("label", T.DoubleType()), T.StructField("tie", T.LongType()), T.StructField("bag", T.BinaryType())])
 _SCORE = T.StructType([T.StructField("_key", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([encode(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=_BAG.names)
+            [*batch.columns[:3], pa.array([encode(t).tobytes() for t in batch.column(3).to_pylist()], pa.binary())], names=_BAG.names)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", documents: int = FIT_DOCUMENTS) -> Model:
     """Fit on at most ``documents`` labelled rows: at most ``documents`` * ``PASSAGES`` passages reach the driver.
 
     Labels other than 0 and 1, null keys and null labels are passed over; a key with several labels
-    takes their mean. Without labels, or with one class, the model is a constant.
+    takes their mean, one with several texts the text of smallest hash. Without labels, or with one class, the model is a constant.
     """
     arrow_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.avg(label).alias("_label"))
     few = known.where("_key is not null").orderBy(F.xxhash64("_key"), "_key").limit(documents)
     mine = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).join(F.broadcast(few), "_key")
-    found = mine.select("_label", "_text").mapInArrow(_bags, _BAG).limit(2 * documents).toPandas()
+    encoded = mine.select(F.col("_key").cast("bigint"), "_label", F.xxhash64("_text"), "_text").mapInArrow(_bags, _BAG)
+    found = encoded.groupBy("key").agg(F.first("label").alias("label"), F.min_by("bag", "tie").alias("bag")).toPandas()
     bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in found["bag"]]
     order = sorted(range(len(bags)), key=lambda i: (found["bag"][i], found["label"][i]))       # whatever order they came in
     return fit_bags([bags[i] for i in order], found["label"].to_numpy()[order] if order else np.zeros(0))

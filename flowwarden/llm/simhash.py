@@ -20,7 +20,7 @@ BLOCK = 2048
 #: Pairs compared at once.
 PAIRS = 1 << 20
 
-_PRINTS = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_print", T.LongType())])
+_PRINTS = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_print", T.LongType()), T.StructField("_text_hash", T.LongType())])
 _BUCKETS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("print", T.LongType()), T.StructField("own", T.BooleanType())])
 _EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
@@ -45,14 +45,14 @@ def simhash(text: str, n_words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, n_words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_key``, ``_print`` (the 64 bits as a bigint) of every document."""
+    """``_key``, ``_print`` (the 64 bits as a bigint) and ``_text_hash`` (tells rows of one key apart) of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([simhash(t, n_words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=_PRINTS.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), batch.column(2)], names=_PRINTS.names)
 
     arrow_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("bigint"), text_or_empty(text)).mapInArrow(run, _PRINTS)
+    return docs.select(F.col(key).cast("bigint"), text_or_empty(text), F.xxhash64(text_or_empty(text))).mapInArrow(run, _PRINTS)
 
 
 class Ring:
@@ -169,7 +169,7 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``fingerprint`` (bigint) and ``component_id`` of every document.
+    """``key``, ``fingerprint`` (bigint), ``component_id`` and ``text_hash`` (XXH64 of the text, a bigint) of every document.
 
     Fingerprints of at most ``distance`` differing bits are linked; ``component_id`` is the smallest
     key reachable. Equal fingerprints are compared once, so copies cost nothing more.
@@ -189,4 +189,4 @@ def near_duplicates(docs: DataFrame, n_words: int = 4, distance: int = 4, key: s
     nodes = staged(nodes.select("_print", "_root", "_least"), "nodes")
     named = nodes.groupBy("_root").agg(F.min("_least").alias("component_id"))
     of_print = nodes.join(named, "_root").select("_print", "component_id")
-    return prints.join(of_print, "_print").select(F.col("_key").alias(key), F.col("_print").alias("fingerprint"), "component_id")
+    return prints.join(of_print, "_print").select(F.col("_key").alias(key), F.col("_print").alias("fingerprint"), "component_id", F.col("_text_hash").alias("text_hash"))

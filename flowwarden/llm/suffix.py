@@ -33,16 +33,17 @@ CHUNK = 1 << 15
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-# where an anchor is: 18 bits that tell apart rows of one key, 31 bits of position, how far before it its last and first strings start
-_TIE, _POS, _NEAR, _FAR = 45, 14, 7, 0
+# a document's name is its key and a 64-bit hash of its text (tie); where an anchor is in it: its position, how far
+# before it its last and first strings start
+_POS, _NEAR, _FAR = 14, 7, 0
 
 
-def packed(tie, pos, near, far):
-    return (tie << _TIE) | (pos << _POS) | (near << _NEAR) | far
+def packed(pos, near, far):
+    return (pos << _POS) | (near << _NEAR) | far
 
 
 def unpacked(at: np.ndarray) -> tuple[np.ndarray, ...]:
-    return at >> _TIE, (at >> _POS) & ((1 << 31) - 1), (at >> _NEAR) & 127, at & 127
+    return at >> _POS, (at >> _NEAR) & 127, at & 127
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -112,9 +113,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 _ANCHORS = T.StructType([
     T.StructField("gram", T.LongType()), T.StructField("strings", T.LongType()), T.StructField("doc", T.LongType()),
-    T.StructField("at", T.LongType()), T.StructField("known", T.IntegerType())])
+    T.StructField("tie", T.LongType()), T.StructField("at", T.LongType()), T.StructField("known", T.IntegerType())])
 _MARKS = T.StructType([
-    T.StructField("doc", T.LongType()), T.StructField("at", T.LongType()), T.StructField("gram", T.LongType())])
+    T.StructField("doc", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("at", T.LongType()), T.StructField("gram", T.LongType())])
 _PLAIN, _BEACON, _CROWDED, _REPEAT = range(4)             # kinds of anchor rows
 #: A gram with so many different surroundings in one batch is dealt out by surroundings, but for one row
 #: that tells the others of it.
@@ -128,18 +129,18 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(doc):
             continue
         keys, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-        key, at = keys[doc], packed(ties[doc], pos, near, far)
-        order = np.lexsort((at, key, strings, gram))
-        key, at, gram, strings = key[order], at[order], gram[order], strings[order]
+        key, tie, at = keys[doc], ties[doc], packed(pos, near, far)
+        order = np.lexsort((at, tie, key, strings, gram))
+        key, tie, at, gram, strings = key[order], tie[order], at[order], gram[order], strings[order]
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
         new = new_gram | np.concatenate([[True], strings[1:] != strings[:-1]])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))      # first row with the same strings
-        repeat = (key != key[lead]) | (at != at[lead])
+        repeat = (key != key[lead]) | (tie != tie[lead]) | (at != at[lead])
         of_gram = np.cumsum(new_gram) - 1
         crowded = (np.bincount(of_gram, weights=new) >= CROWD)[of_gram]
         known = np.where(repeat, _REPEAT, np.where(~crowded, _PLAIN, np.where(new_gram, _BEACON, _CROWDED))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(gram.view(np.int64)), pa.array(strings.view(np.int64)), pa.array(key), pa.array(at), pa.array(known)], names=_ANCHORS.names)
+            [pa.array(gram.view(np.int64)), pa.array(strings.view(np.int64)), pa.array(key), pa.array(tie), pa.array(at), pa.array(known)], names=_ANCHORS.names)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +151,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     rest = None
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "strings", "doc", "at", "known")]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "strings", "doc", "tie", "at", "known")]
         if not len(cols[0]):
             continue
         if rest is not None:
@@ -162,34 +163,35 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judged(cols, before, ended):
-    """``before``: gram, strings, document and place of the first row with the strings of the last row judged."""
-    gram, strings, doc, at, known = cols
+    """``before``: gram, strings, document (key, tie) and place of the first row with the strings of the last row judged."""
+    gram, strings, doc, tie, at, known = cols
     n = len(gram) if ended else len(gram) - 1
     if before is not None:
-        gram, strings, doc, at = (np.concatenate([[x], c]) for x, c in zip(before, (gram, strings, doc, at)))
+        gram, strings, doc, tie, at = (np.concatenate([[x], c]) for x, c in zip(before, (gram, strings, doc, tie, at)))
     near = gram[1:] == gram[:-1]
     new = np.concatenate([[True], ~near | (strings[1:] != strings[:-1])])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    other = (doc != doc[lead]) | (at != at[lead])                    # a repeated row is no repeat of itself
+    other = (doc != doc[lead]) | (tie != tie[lead]) | (at != at[lead])                    # a repeated row is no repeat of itself
     beside = np.concatenate([[False], near]) | np.concatenate([near, [False]])
     skip = before is not None
     repeat = other[skip:] | (known == _REPEAT)
     go_on = ~repeat & (beside[skip:] | (known == _BEACON) | (known == _CROWDED))
     pick = np.flatnonzero((repeat | go_on)[:n])
-    gram_, doc_, at_ = gram[skip:], doc[skip:], at[skip:]
+    gram_, doc_, tie_, at_ = gram[skip:], doc[skip:], tie[skip:], at[skip:]
     out = pa.RecordBatch.from_arrays(
-        [pa.array(doc_[pick]), pa.array(at_[pick]), pa.array(gram_[pick], mask=repeat[pick])], names=_MARKS.names)
+        [pa.array(doc_[pick]), pa.array(tie_[pick]), pa.array(at_[pick]), pa.array(gram_[pick], mask=repeat[pick])], names=_MARKS.names)
     if ended:
         return out, None
     first = lead[n - 1 + skip] if n or skip else None
-    return out, ([c[n:] for c in cols], before if first is None else tuple(c[first] for c in (gram, strings, doc, at)))
+    return out, ([c[n:] for c in cols], before if first is None else tuple(c[first] for c in (gram, strings, doc, tie, at)))
 
 
 # --- suffixes of the anchors left -----------------------------------------------------------------------------
 
 _SUFFIXES = T.StructType([
-    T.StructField("lead", T.BinaryType()), T.StructField("hot_doc", T.LongType()), T.StructField("hot_at", T.LongType()),
-    T.StructField("doc", T.LongType()), T.StructField("at", T.LongType()), T.StructField("context", T.BinaryType())])
+    T.StructField("lead", T.BinaryType()), T.StructField("hot_doc", T.LongType()), T.StructField("hot_tie", T.LongType()),
+    T.StructField("hot_at", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("tie", T.LongType()),
+    T.StructField("at", T.LongType()), T.StructField("context", T.BinaryType())])
 _SPANS = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("begin", T.LongType()), T.StructField("stop", T.LongType()),
     T.StructField("part", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("last", T.BinaryType())])
@@ -211,19 +213,19 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     z = zstandard.ZstdDecompressor()
     names = _SUFFIXES.names
-    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.binary(), *[pa.int64()] * 6, pa.binary()]
     for batch in batches:
         rows = []
-        for doc, raw, marks in zip(batch.column("doc").to_pylist(), batch.column("raw").to_pylist(), batch.column("marks").to_pylist()):
+        for doc, tie, raw, marks in zip(*[batch.column(c).to_pylist() for c in ("doc", "tie", "raw", "marks")]):
             text = z.decompress(raw)
             for m in marks:
                 at, hot = m["at"], m["hot"]
-                tie, pos, near, far = unpacked(at)
+                pos, near, far = unpacked(at)
                 if not hot:
-                    rows.append((b"\0" + text[pos:pos + GRAM], None, None, doc, at, text[pos - far:pos - near + LENGTH]))
+                    rows.append((b"\0" + text[pos:pos + GRAM], None, None, None, doc, tie, at, text[pos - far:pos - near + LENGTH]))
                 else:
                     for s in range(pos - far, pos - near + 1):
-                        rows.append((b"\1" + xxhash.xxh3_128_digest(text[s:s + LENGTH]), doc, packed(tie, s, 0, 0), doc, packed(tie, s, 0, 0), None))
+                        rows.append((b"\1" + xxhash.xxh3_128_digest(text[s:s + LENGTH]), *(doc, tie, packed(s, 0, 0)) * 2, None))
                 if len(rows) >= 8192:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                     rows = []
@@ -264,7 +266,7 @@ def _common(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.minimum(common, width)
 
 
-def repeated_starts(doc: np.ndarray, at: np.ndarray, contexts: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
+def repeated_starts(doc: np.ndarray, tie: np.ndarray, at: np.ndarray, contexts: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
     """For each distance before an anchor: rows (in the given order) whose string from there occurs in an earlier row.
 
     Suffixes and, backwards, what lies before them are sorted;
@@ -272,7 +274,7 @@ def repeated_starts(doc: np.ndarray, at: np.ndarray, contexts: list[bytes]) -> I
     Suffixes are compared over GRAM bytes at least, so those of different grams never agree.
     """
     n = len(contexts)
-    _, pos, near, far = unpacked(at)
+    _, near, far = unpacked(at)
     right, left = np.zeros((n, LENGTH), np.uint8), np.zeros((n, REACH), np.uint8)
     flat, size = np.frombuffer(b"".join(contexts), np.uint8), np.array([len(c) for c in contexts])
     begin = np.cumsum(size) - size
@@ -284,7 +286,7 @@ def repeated_starts(doc: np.ndarray, at: np.ndarray, contexts: list[bytes]) -> I
     for strings in (right, left):
         order, common = _common(strings)
         classes.append((order, common))
-    rank = np.lexsort((at, doc))
+    rank = np.lexsort((at, tie, doc))
     for distance in range(REACH + 1):
         mine = rank[(near[rank] <= distance) & (far[rank] >= distance)]
         if len(mine) < 2:
@@ -302,11 +304,11 @@ def repeated_starts(doc: np.ndarray, at: np.ndarray, contexts: list[bytes]) -> I
 
 
 def _group_spans(held: list[tuple]) -> pa.RecordBatch:
-    _, doc, at, contexts = zip(*held)
-    doc, at = np.array(doc), np.array(at)
-    tie, pos, _, _ = unpacked(at)
+    _, doc, tie, at, contexts = zip(*held)
+    doc, tie, at = np.array(doc), np.array(tie), np.array(at)
+    pos, _, _ = unpacked(at)
     rows, distances = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for r, distance in repeated_starts(doc, at, contexts):
+    for r, distance in repeated_starts(doc, tie, at, contexts):
         rows.append(r)
         distances.append(np.full(len(r), distance))
     row, start = np.concatenate(rows), pos[np.concatenate(rows)] - np.concatenate(distances)
@@ -336,9 +338,9 @@ def _bucket_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held: list[tuple] = []
     last, opened = None, None
     for batch in batches:
-        leads, doc, at = batch.column("lead").to_pylist(), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at"))
+        leads, doc, tie, at = batch.column("lead").to_pylist(), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie", "at"))
         single = next((i for i, x in enumerate(leads) if x[0] == 1), len(leads))
-        held += zip(leads[:single], doc[:single].tolist(), at[:single].tolist(), batch.column("context").slice(0, single).to_pylist())
+        held += zip(leads[:single], doc[:single].tolist(), tie[:single].tolist(), at[:single].tolist(), batch.column("context").slice(0, single).to_pylist())
         if len(held) >= CHUNK and held[-1][0] != held[0][0]:
             cut = len(held) - 1
             while held[cut - 1][0] == held[-1][0]:
@@ -349,16 +351,16 @@ def _bucket_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             now = leads[single:]
             again = np.array([x == y for x, y in zip(now, [last, *now])])
             if opened is None:
-                opened = (now[0], int(doc[single]), int(at[single]))
+                opened = (now[0], int(doc[single]), int(tie[single]), int(at[single]))
             rows = single + np.flatnonzero(again)
-            tie, start, _, _ = unpacked(at[rows])
-            yield _span_batch(doc[rows], tie, start, start + LENGTH)
+            start, _, _ = unpacked(at[rows])
+            yield _span_batch(doc[rows], tie[rows], start, start + LENGTH)
             last = now[-1]
     if held:
         yield _group_spans(held)
     if opened is not None:
-        tie, start, _, _ = unpacked(np.array([opened[2]]))
-        yield _span_batch([opened[1]], tie, start, start + LENGTH, part, opened[0], last)
+        start, _, _ = unpacked(np.array([opened[3]]))
+        yield _span_batch([opened[1]], [opened[2]], start, start + LENGTH, part, opened[0], last)
 
 
 # --- the texts less the spans ---------------------------------------------------------------------------------
@@ -396,23 +398,22 @@ def repeated_spans(plain: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFra
     # rows that are known to be repeats need nobody beside them
     route = (
         F.when(F.col("known") <= _BEACON, F.col("gram")).when(F.col("known") == _CROWDED, F.xxhash64("gram", "strings"))
-        .otherwise(F.xxhash64("doc", "at")))
-    ordered = found.repartition(route).sortWithinPartitions("gram", "strings", "doc", "at")
+        .otherwise(F.xxhash64("doc", "tie", "at")))
+    ordered = found.repartition(route).sortWithinPartitions("gram", "strings", "doc", "tie", "at")
     marks = staged(ordered.mapInArrow(_repeats, _MARKS), "marks")
 
-    tie = F.shiftright("at", _TIE)
-    field = lambda shift, bits: F.shiftright("at", shift).bitwiseAND(F.lit((1 << bits) - 1))
-    sure = marks.where("gram is null").select(
-        "doc", tie.alias("tie"), (field(_POS, 31) - field(_FAR, 7)).alias("begin"), (field(_POS, 31) - field(_NEAR, 7) + LENGTH).alias("stop"))
+    pos, near, far = F.shiftright("at", _POS), F.shiftright("at", _NEAR).bitwiseAND(F.lit(127)), F.shiftright("at", _FAR).bitwiseAND(F.lit(127))
+    sure = marks.where("gram is null").select("doc", "tie", (pos - far).alias("begin"), (pos - near + LENGTH).alias("stop"))
     open_ = marks.where("gram is not null")
     crowds = open_.groupBy("gram").count().where(F.col("count") > hot).select("gram", F.lit(True).alias("hot"))
     open_ = open_.join(crowds, "gram", "left")
-    by_doc = open_.groupBy("doc", tie.alias("tie")).agg(
+    by_doc = open_.groupBy("doc", "tie").agg(
         F.collect_set(F.struct("at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("marks"))
     raw = plain.mapInArrow(_deflated, "doc bigint, tie bigint, raw binary")
     once = raw.join(by_doc, ["doc", "tie"]).dropDuplicates(["doc", "tie"])       # already together: no shuffle
-    suffixes = once.select("doc", "raw", "marks").mapInArrow(_suffix_rows, _SUFFIXES)
-    bucketed = suffixes.repartitionByRange("lead", "hot_doc", "hot_at").sortWithinPartitions("lead", "hot_doc", "hot_at")
+    suffixes = once.select("doc", "tie", "raw", "marks").mapInArrow(_suffix_rows, _SUFFIXES)
+    order = ("lead", "hot_doc", "hot_tie", "hot_at")
+    bucketed = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     spans = staged(bucketed.mapInArrow(_bucket_spans, _SPANS), "spans")
 
     # one row for each bucket that holds strings of hot grams
@@ -431,14 +432,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot
     character, so it comes as bytes.
 
     Null texts count as empty, texts shorter than LENGTH lose nothing, null keys come first.
-    Rows that share a key are documents of their own, in the order of a hash of their texts; rows
-    that also share the text are one document and come back as often as they came. No rows, no result. Other columns are ignored, whatever their names.
+    Rows that share a key, or have none, are documents of their own, in the order of a 64-bit hash of their texts, which is
+    part of a document's name; rows that also share the text are one document and come back as often as they came. No rows, no result. Other columns are ignored, whatever their names.
     """
     arrow_batches(docs.sparkSession)
     no_key = -(1 << 63)
     plain = docs.select(
         F.coalesce(F.col(key).cast("bigint"), F.lit(no_key)).alias("doc"),
-        F.xxhash64(text_or_empty(text)).bitwiseAND(F.lit((1 << 18) - 1)).alias("tie"), text_or_empty(text).alias("text"))
+        F.xxhash64(text_or_empty(text)).alias("tie"), text_or_empty(text).alias("text"))
     spans, raw = repeated_spans(plain, hot)
     of_doc = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     kept = raw.join(of_doc, ["doc", "tie"], "left").select("doc", "raw", "spans").mapInArrow(_kept_rows, _KEPT)

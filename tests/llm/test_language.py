@@ -111,3 +111,15 @@ def test_gibberish_and_undeclared_languages_are_rejected(spark):
     assert not [r for r in rows if r["accepted"] and (r["doc_id"] < 0 or r["lang"] == "es")] and any(r["lang"] == "es" for r in rows)
     clean = [r for r in rows if r["doc_id"] >= 0 and r["lang"] != "es" and r["text_language"] is not None]
     assert len(clean) > 100 and all(r["accepted"] == (r["confidence"] >= 0.5) for r in clean)
+
+
+def test_more_declared_values_than_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = [(i, "die der und das ist nicht " * 5, "de") for i in range(9)] + [(20 + i, "the and of that is not " * 5, "en") for i in range(8)]
+    rows += [(40 + i, "the and of that is not " * 5, f"free text {i}") for i in range(7)]
+    docs = spark.createDataFrame([(i, t, d, "s") for i, t, d in rows], "doc_id bigint, text string, lang string, source string")
+    model = language.train(docs)
+    assert model.languages == ["de", "en"]
+    none = F.lit(None).cast("string")
+    found = {r["doc_id"]: r["language"] for r in language.identify(docs, model, F.col("text"), F.col("lang"), F.col("source"), none).collect()}
+    assert all(found[i] == ("de" if i < 20 else "en") for i in found) and len(found) == 24

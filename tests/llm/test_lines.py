@@ -25,9 +25,9 @@ def brute(rows, min_chars=10):
         kept = []
         for line in text.split("\n"):
             if len(line) < min_chars:
-                kept.append(line)
-                continue
-            if not any(distance_within_one(line, s) for s in seen):
+                if line not in seen or not line:
+                    kept.append(line)
+            elif not any(distance_within_one(line, s) for s in seen if len(s) >= min_chars):
                 kept.append(line)
             seen.append(line)
         out.append("\n".join(kept))
@@ -83,8 +83,10 @@ def test_a_hot_line(spark):
 def test_short_lines_that_are_equal(spark):
     texts = ["Menu\nHome\n\nthe first line of its own", "Home\nMenu\n\nHomes\nthe second line, its own", "今日は晴れです。\nMenu", "今日は晴れです。\nx\nx\n", "Menu\n今日も晴れです。"]
     rows = list(enumerate(texts))
-    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(helpers.table(spark, rows), exact_chars=1).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(helpers.table(spark, rows)).collect()}
     assert [got[i] for i in range(5)] == [texts[0], "\nHomes\nthe second line, its own", "今日は晴れです。", "x\n", "今日も晴れです。"]
     stage = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, helpers.table(spark, rows), "").collect()}
     assert stage == got
-    assert {r["text"] for r in lines.drop_repeated_lines(helpers.table(spark, rows)).collect()} == set(texts)
+    assert {r["text"] for r in lines.drop_repeated_lines(helpers.table(spark, rows), exact_chars=10).collect()} == set(texts)
+    found = spark.createDataFrame([(1, "Les.\nthe first of two documents"), (2, "Les.\nsomething else altogether")], "doc_id bigint, text string")
+    assert sorted(r["text"] for r in lines.drop_repeated_lines(found).collect()) == ["Les.\nthe first of two documents", "something else altogether"]

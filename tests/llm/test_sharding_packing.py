@@ -86,3 +86,8 @@ def test_op10(spark):
         assert r["doc_tokens"] == len(own)
         assert r["ids_crc32"] == zlib.crc32(np.array(own[r["start"]:r["start"] + r["length"]], "<u4").tobytes())
     assert sum(r["length"] for r in rows) == sum(map(len, ids.values()))
+
+
+def test_long_runs_of_blanks(spark):
+    texts = [c * 1_000_050 + "end" for c in " \t\n"] + ["a" + " " * 1_000_050, "plain"]
+    check_pieces(packing.pack(helpers.table(spark, list(enumerate(texts))), FILE).collect(), texts, 1024)

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from flowwarden.llm import queries, suffix
 from tests.llm import helpers
@@ -80,3 +81,15 @@ def test_multikey_order():
     words = rng.integers(0, 3, (500, 4)).astype(np.uint64)
     order = suffix.multikey_order(words)
     assert [tuple(words[i]) for i in order] == sorted(map(tuple, words))
+
+
+def test_rows_of_one_key_whose_hashes_agree_in_part(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    hashed = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42) & ((1 << 18) - 1)
+    shared, other = word(200), word(250)
+    copy = next(t for t in (f"{shared}{i}" for i in range(1 << 22)) if hashed(t) == hashed(other))
+    for key in (5, None):
+        rows = [(1 if key else None, shared), (key, copy), (key, other), (key, word(300))]
+        rows = rows if key else [r for r in rows if r[1] != shared]
+        assert got_of(suffix.remove_repeats(helpers.table(spark, rows))) == want_of(rows)
