@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowwarden.llm import decontam, lines, packing, queries, simhash
+from flowwarden.llm import common, decontam, lines, packing, queries, simhash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +26,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id; rows that repeat an id are one document.
+    """Of each group the document with the smallest id; of several with that id, the one of smallest text hash.
 
-    Rows without an id name no group: they stay, of equal texts one.
+    Documents are named by id and text. Rows without an id name no group: they stay, of equal texts one.
     """
     found = simhash.near_duplicates(docs, queries.SIMHASH_WORDS, queries.SIMHASH_BITS)
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti")
-    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return kept.withColumn("_unnamed", unnamed).dropDuplicates(["doc_id", "_unnamed"]).select(*docs.columns)
+    first = found.where("doc_id = component_id").groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("text_hash"))
+    stay = first.unionByName(found.where("doc_id IS NULL").select(first.columns)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc_id"), F.xxhash64(common.text_or_empty("text")).alias("_text_hash"))
+    named = rows["_doc_id"].eqNullSafe(stay["_id"]) & (rows["_text_hash"] == stay["_hash"])
+    kept = rows.join(stay, named, "left_semi").dropDuplicates(["_doc_id", "_text_hash"])
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each is written, so none is computed again for those after it."""
     docs = queries.documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
