@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .fixed_values import (
@@ -43,8 +44,25 @@ def train(spark, source: str, model_path: str, trees=BOOSTING["n_estimators"], d
     return package.save(spark, model_path)
 
 
+def last_heads(spark, out: str) -> DataFrame | None:
+    """Last block of each segment of the log stored below ``out``, as its last run left them; None where there is no log."""
+    try:
+        heads = spark.read.parquet(f"{out}/threat_log_segments").withColumn("run", F.col("run").cast("string"))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return heads.where(F.col("run") == heads.agg(F.max("run")).first()[0]).drop("run")
+
+
+def read_log(spark, out: str, upto: str | None = None) -> DataFrame:
+    """The stored log of all runs, or of those up to one."""
+    log = spark.read.parquet(f"{out}/threat_log")
+    return (log if upto is None else log.where(F.col("run").cast("string") <= upto)).drop("run")
+
+
 def detect(spark, source: str, model_path: str, out: str, run_stamp: str, exported_at: str) -> dict[str, DataFrame]:
-    """Score, grade, log and summarise a file of flows."""
+    """Score, grade, log and summarise a file of flows; the log below ``out`` is continued. Run stamps must ascend."""
     package = M.load_package(spark, model_path)
     flows = read_input(spark, source)
     labelled = LABEL_COLUMN in flows.columns
@@ -54,11 +72,14 @@ def detect(spark, source: str, model_path: str, out: str, run_stamp: str, export
     scored = spark.read.parquet(A.write_table(D.detect(flows, package.threshold, package), shared_folder(spark)))
     # the published result: the columns of the input and five more
     A.write_table(D.scored_output(scored).drop(*{"y"}.difference(given)), f"{out}/{PREDICTIONS_PREFIX}{run_stamp}", fmt="csv")
-    log_path = f"{out}/threat_log/run={run_stamp}"
-    A.write_table(C.append_flows(scored), log_path)
-    log = spark.read.parquet(log_path)
+    # the log goes on from the runs before: a small table keeps the last block of each segment after every run
+    before = last_heads(spark, out)
+    log_path, segments_path = f"{out}/threat_log/run={run_stamp}", f"{out}/threat_log_segments/run={run_stamp}"
+    A.write_table(C.append_flows(scored, heads=before, at=exported_at), log_path)
+    A.write_table(C.merged_heads(before, C.segment_heads(spark.read.parquet(log_path))), segments_path)
+    A.write_table(C.chain_heads(spark.read.parquet(segments_path)), f"{out}/threat_log_heads/run={run_stamp}")
+    log = read_log(spark, out)
     L.export_log(log, out, run_stamp, exported_at)
-    A.write_table(C.chain_heads(log), f"{out}/threat_log_heads/run={run_stamp}")
     reports = {
         "summary": D.detection_summary(scored), "severity": D.severity_breakdown(scored), "log": C.log_summary(log)}
     if labelled:
@@ -93,8 +114,8 @@ def explain(spark, source: str, model_path: str, out: str, run_stamp: str) -> di
 
 
 def verify(spark, out: str, run_stamp: str) -> dict[str, DataFrame]:
-    """Check a stored log block by block and against its stored heads."""
-    log = spark.read.parquet(f"{out}/threat_log/run={run_stamp}")
+    """Check the log as it was after a run, block by block and against the heads stored then."""
+    log = read_log(spark, out, run_stamp)
     heads = spark.read.parquet(f"{out}/threat_log_heads/run={run_stamp}")
     return {"log": C.log_summary(log), "broken": C.verify_chain(log).where(~F.col("is_valid")),
             "unsealed": C.verify_sealed(log, heads)}

@@ -21,6 +21,7 @@ from .ranking import running_totals
 
 SEGMENT_SPAN = 1000
 SEP = "|"
+TIME_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 DATA_COLUMNS = [
     "intrusion_probability", "severity_level", "severity_name", "priority", "action_summary",
     "immediate_actions", "monitoring_actions", "network_features",
@@ -37,8 +38,13 @@ def _plain(c: Column) -> Column:
     return F.coalesce(text, F.lit("\\N"))
 
 
+def timed(entries: DataFrame) -> DataFrame:
+    """Entries with their ``timestamp`` (text), null where none is known."""
+    return entries if "timestamp" in entries.columns else entries.withColumn("timestamp", F.lit(None).cast("string"))
+
+
 def payload() -> Column:
-    """Canonical text of a log entry: integers, texts, numbers with nine decimals, lists with their separator escaped."""
+    """Canonical text of a log entry: its time, integers, texts, numbers with nine decimals, lists with their separator escaped."""
     def number(c):
         return c.cast("decimal(38,9)")
 
@@ -47,7 +53,7 @@ def payload() -> Column:
         return F.array_join(escaped, "; ")
 
     fields = [
-        F.col("sample_index"), number(F.col("intrusion_probability")), F.col("severity_level"),
+        F.col("timestamp"), F.col("sample_index"), number(F.col("intrusion_probability")), F.col("severity_level"),
         F.col("severity_name"), F.col("priority"), F.col("action_summary"),
         listed("immediate_actions"), listed("monitoring_actions"),
     ]
@@ -65,8 +71,10 @@ def genesis_text(segment: Column) -> Column:
     return F.concat(F.lit(GENESIS_MESSAGE + " "), segment.cast("string"))
 
 
-def genesis_hash(segment: Column) -> Column:
-    return block_hash(F.lit(GENESIS_PREVIOUS_HASH), F.lit(0), genesis_text(segment))
+def genesis_hash(segment: Column, time: Column | None = None) -> Column:
+    """Hash of a first block; in the log it bears the time of the segment's first entry."""
+    text = genesis_text(segment) if time is None else F.concat_ws(SEP, _plain(time), genesis_text(segment))
+    return block_hash(F.lit(GENESIS_PREVIOUS_HASH), F.lit(0), text)
 
 
 def _linked(items: Column, text, start: Column, first_index: Column | int = 1) -> Column:
@@ -78,48 +86,60 @@ def _linked(items: Column, text, start: Column, first_index: Column | int = 1) -
             F.element_at(done, -1), first + F.size(done) - 1, text(x)))))
 
 
-def append_entries(alerts: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
-    """Chain the alerts of every segment, genesis block included.
+def append_entries(alerts: DataFrame, span: int = SEGMENT_SPAN, heads: DataFrame | None = None) -> DataFrame:
+    """Chain the alerts of every segment: the new blocks, a genesis block included where the segment is new.
 
-    One shuffle on the segment; hashing stays in the JVM and a task holds at most ``span``
-    entries of a segment at a time.
+    ``heads`` (``segment, last_index, head``, a row for each segment of a stored log) continues that log:
+    a segment found there goes on from its last block. Without it every segment starts anew.
+    One shuffle on the segment; hashing stays in the JVM and a task holds the new entries of a segment
+    at a time, at most ``span`` if ids are unique.
     """
+    alerts = timed(alerts)
     segment = F.col("segment") if "segment" in alerts.columns else segment_of(F.col("sample_index"), span)
-    entry = F.struct("sample_index", payload().alias("payload"), F.struct(*DATA_COLUMNS).alias("data"))
+    entry = F.struct("sample_index", payload().alias("payload"), "timestamp", F.struct(*DATA_COLUMNS).alias("data"))
     grouped = alerts.select(segment.alias("segment"), entry.alias("e")).groupBy("segment").agg(
         F.sort_array(F.collect_list("e")).alias("entries"))
-    hashed = grouped.withColumn(
-        "hashes", _linked(F.col("entries"), lambda x: x["payload"], genesis_hash(F.col("segment"))))
+    begun = F.get("entries", F.lit(0))["timestamp"]
+    if heads is None:
+        start, first, continued = genesis_hash(F.col("segment"), begun), F.lit(1), F.lit(False)
+    else:
+        grouped = grouped.join(heads.select("segment", "last_index", "head"), "segment", "left")
+        start = F.coalesce("head", genesis_hash(F.col("segment"), begun))
+        first, continued = F.coalesce("last_index", F.lit(0)).cast("int") + 1, F.col("head").isNotNull()
+    hashed = grouped.withColumns({"first": first, "continued": continued, "begun": begun}).withColumn(
+        "hashes", _linked(F.col("entries"), lambda x: x["payload"], start, F.col("first")))
     # the outer form: a plain explode would filter on the array's size and so hash the chain twice
-    blocks = hashed.select("segment", F.posexplode_outer("hashes").alias("block_index", "hash"), "entries", "hashes")
-    # element_at is null past the array, which is what the genesis block needs
-    mine = F.when(F.col("block_index") > 0, F.get("entries", F.col("block_index") - 1))
-    return blocks.select(
-        "segment", "block_index",
+    blocks = hashed.select(
+        "segment", "first", "continued", "begun", F.posexplode_outer("hashes").alias("at", "hash"), "entries", "hashes")
+    # null at the place of the genesis block, or of the stored block that the new ones follow
+    mine = F.when(F.col("at") > 0, F.get("entries", F.col("at") - 1))
+    return blocks.where("at > 0 OR NOT continued").select(
+        "segment", (F.col("at") + F.col("first") - 1).alias("block_index"),
+        F.when(F.col("at") == 0, F.col("begun")).otherwise(mine["timestamp"]).alias("timestamp"),
         mine["sample_index"].alias("sample_index"),
         *[mine["data"][c].alias(c) for c in DATA_COLUMNS],
-        F.when(F.col("block_index") == 0, F.lit(GENESIS_PREVIOUS_HASH))
-        .otherwise(F.get("hashes", F.col("block_index") - 1)).alias("previous_hash"),
+        F.when(F.col("at") == 0, F.lit(GENESIS_PREVIOUS_HASH)).otherwise(F.get("hashes", F.col("at") - 1)).alias("previous_hash"),
         "hash",
     )
 
 
-def placed_alerts(graded: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
+def placed_alerts(graded: DataFrame, span: int = SEGMENT_SPAN, at: str | None = None) -> DataFrame:
     """Log entries of the flagged flows, each on the partition of its ``segment``.
 
-    Texts and lists are many times larger than the numbers they follow from, so the flows
+    An entry bears the time of its flow (``ts``), or ``at``, the time of the run, where flows have none. Texts and lists are many times larger than the numbers they follow from, so the flows
     move to their segment first and are worded there; grouping then needs no further shuffle.
     """
     needed = ["flow_id", "src_id", *KEY_FEATURES, PROB, "predicted_class", "severity_level", "severity_name",
               "priority", "response"]
+    time = F.date_format("ts", TIME_TEXT) if "ts" in graded.columns else F.lit(at).cast("string")
     slim = only(graded, INTRUSION).where("severity_level > 0").select(
-        *[f"`{c}`" for c in needed if c in graded.columns], segment_of(F.col("flow_id"), span).alias("segment"))
-    return make_alerts(summarise_action(slim.repartition("segment")), keep=("segment",))
+        *[f"`{c}`" for c in needed if c in graded.columns], segment_of(F.col("flow_id"), span).alias("segment"), time.alias("timestamp"))
+    return make_alerts(summarise_action(slim.repartition("segment")), keep=("segment", "timestamp"))
 
 
-def append_flows(graded: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
-    """Chain the flagged flows of a graded table."""
-    return append_entries(placed_alerts(graded, span), span)
+def append_flows(graded: DataFrame, span: int = SEGMENT_SPAN, heads: DataFrame | None = None, at: str | None = None) -> DataFrame:
+    """Chain the flagged flows of a graded table, on top of a stored log's ``heads`` if there are any."""
+    return append_entries(placed_alerts(graded, span, at), span, heads)
 
 
 def segment_heads(log: DataFrame) -> DataFrame:
@@ -129,6 +149,12 @@ def segment_heads(log: DataFrame) -> DataFrame:
         F.max_by("hash", "block_index").alias("head"))
 
 
+def merged_heads(before: DataFrame | None, now: DataFrame) -> DataFrame:
+    """The later head of each segment of two tables of heads."""
+    both = now if before is None else before.unionByName(now)
+    return both.groupBy("segment").agg(F.max("last_index").alias("last_index"), F.max_by("head", "last_index").alias("head"))
+
+
 def head_levels(log: DataFrame, span: int = SEGMENT_SPAN) -> int:
     """Levels needed so that no chain of heads, the root included, is longer than ``span``."""
     top = log.agg(F.max(F.abs("segment"))).first()[0] or 0
@@ -139,13 +165,13 @@ def head_levels(log: DataFrame, span: int = SEGMENT_SPAN) -> int:
 
 
 def chain_heads(log: DataFrame, levels: int | None = None, span: int = SEGMENT_SPAN) -> DataFrame:
-    """Chain segment heads level by level up to one root.
+    """Chain segment heads level by level up to one root; ``log`` may be a table of segment heads.
 
     Level k groups ``span`` neighbours of level k-1; the last level is the root. The number
     of levels follows from the largest segment unless given.
     """
     levels = head_levels(log, span) if levels is None else levels
-    below = segment_heads(log).select(F.col("segment").alias("id"), "head")
+    below = (log if "head" in log.columns else segment_heads(log)).select(F.col("segment").alias("id"), "head")
     out = None
     for level in range(1, levels + 2):
         group = segment_of(F.col("id"), span) if level <= levels else F.lit(0).cast("bigint")
@@ -166,7 +192,8 @@ def check_blocks(log: DataFrame) -> DataFrame:
     One window per segment, no ordering across segments. Genesis blocks are rehashed too.
     """
     prev = W.partitionBy("segment").orderBy("block_index")
-    text = F.when(F.col("block_index") == 0, genesis_text(F.col("segment"))).otherwise(payload())
+    log = timed(log)
+    text = F.when(F.col("block_index") == 0, F.concat_ws(SEP, _plain(F.col("timestamp")), genesis_text(F.col("segment")))).otherwise(payload())
     own = block_hash(F.col("previous_hash"), F.col("block_index"), text)
     linked = F.when(F.col("block_index") == 0, F.col("previous_hash") == GENESIS_PREVIOUS_HASH).otherwise(
         (F.col("previous_hash") == F.lag("hash").over(prev))
@@ -219,8 +246,8 @@ def log_view(log: DataFrame) -> DataFrame:
     """Flat view of the alert blocks with defaults for whatever is missing."""
     d = LOG_VIEW_DEFAULTS
     f = "network_features"
-    return log.where(F.col("block_index") > 0).select(
-        "segment", F.col("block_index").alias("id"),
+    return timed(log).where(F.col("block_index") > 0).select(
+        "segment", F.col("block_index").alias("id"), "timestamp",
         F.coalesce(f"{f}.src_ip", F.lit(d["text"])).alias("source_ip"),
         F.coalesce(f"{f}.dst_ip", F.lit(d["text"])).alias("dest_ip"),
         F.coalesce(f"{f}.protocol_type", F.lit(d["text"])).alias("protocol"),

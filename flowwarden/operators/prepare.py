@@ -96,10 +96,20 @@ def one_hot(df: DataFrame, vocab: dict, numeric: list[str], keep: tuple = ("flow
 
 
 def scaler_stats(train: DataFrame, numeric: list[str]) -> DataFrame:
-    """Mean and population deviation per numeric column; one wide aggregate, then one row each."""
-    wide = train.agg(
-        *[F.avg(f"`{c}`").alias(f"m_{c}") for c in numeric],
-        *[F.stddev_pop(f"`{c}`").alias(f"s_{c}") for c in numeric])
+    """Mean and population deviation per numeric column; one wide aggregate, then one row each.
+
+    Values and squares are summed as decimals of nine places, so the result does not depend on the order in which
+    partitions are added. Sums beyond 29 digits fall back to floating ones.
+    """
+    def aggregates(c: str):
+        x = F.col(f"`{c}`").cast("double")
+        n = F.count(x)
+        total, squares = (F.try_sum(F.expr(f"try_cast({e} AS DECIMAL(28, 9))")).cast("double") for e in (
+            f"CAST(`{c}` AS DOUBLE)", f"CAST(`{c}` AS DOUBLE) * CAST(`{c}` AS DOUBLE)"))
+        spread = F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0)))
+        return F.coalesce(total / n, F.avg(x)).alias(f"m_{c}"), F.coalesce(spread, F.stddev_pop(x)).alias(f"s_{c}")
+
+    wide = train.agg(*[a for c in numeric for a in aggregates(c)])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"m_{c}").alias("mean"), F.col(f"s_{c}").alias("std"))
         for c in numeric

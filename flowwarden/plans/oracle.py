@@ -172,7 +172,8 @@ shap_means AS (SELECT predicted_class, feature, any_value(category) AS category,
 _CHAIN = r"""
 entries AS (
   SELECT flow_id // 1000 AS segment, r.*, row_number() OVER (PARTITION BY flow_id // 1000 ORDER BY flow_id) AS block_index,
-    concat_ws('|', CAST(flow_id AS VARCHAR), CAST(CAST(p AS DECIMAL(38,9)) AS VARCHAR), CAST(severity_level AS VARCHAR),
+    strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS "timestamp",
+    concat_ws('|', strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), CAST(flow_id AS VARCHAR), CAST(CAST(p AS DECIMAL(38,9)) AS VARCHAR), CAST(severity_level AS VARCHAR),
       severity_name, priority, action_summary, array_to_string(immediate, '; '),
       array_to_string(monitoring[1:3], '; '),
       CAST(CAST(duration AS DECIMAL(38,9)) AS VARCHAR), protocol_type, service, flag,
@@ -183,18 +184,19 @@ entries AS (
   FROM responded r WHERE predicted_class = 'intrusion' AND severity_level > 0),
 linked AS (
   SELECT segment, CAST(0 AS BIGINT) AS block_index, '0' AS previous_hash,
-    sha256('0|0|Threat Log Blockchain Initialized ' || CAST(segment AS VARCHAR)) AS hash
-  FROM (SELECT DISTINCT segment FROM entries)
+    sha256('0|0|' || "timestamp" || '|Threat Log Blockchain Initialized ' || CAST(segment AS VARCHAR)) AS hash
+  FROM entries WHERE block_index = 1
   UNION ALL
   SELECT e.segment, e.block_index, l.hash, sha256(concat_ws('|', l.hash, CAST(e.block_index AS VARCHAR), e.payload))
   FROM linked l JOIN entries e ON e.segment = l.segment AND e.block_index = l.block_index + 1),
 log AS (
-  SELECT l.segment, CAST(l.block_index AS INTEGER) AS block_index, e.flow_id AS sample_index, e.p AS intrusion_probability,
+  SELECT l.segment, CAST(l.block_index AS INTEGER) AS block_index, coalesce(e."timestamp", g."timestamp") AS "timestamp", e.flow_id AS sample_index, e.p AS intrusion_probability,
     e.severity_level, e.severity_name, e.priority, e.action_summary, e.immediate, e.protocol_type, e.src_id, e.src_bytes,
     l.previous_hash, l.hash
-  FROM linked l LEFT JOIN entries e ON e.segment = l.segment AND e.block_index = l.block_index),
+  FROM linked l LEFT JOIN entries e ON e.segment = l.segment AND e.block_index = l.block_index
+  LEFT JOIN entries g ON g.segment = l.segment AND g.block_index = 1),
 view_rows AS (
-  SELECT segment, block_index AS id, CAST(src_id AS VARCHAR) AS source_ip, 'N/A' AS dest_ip, protocol_type AS protocol,
+  SELECT segment, block_index AS id, "timestamp", CAST(src_id AS VARCHAR) AS source_ip, 'N/A' AS dest_ip, protocol_type AS protocol,
     severity_name AS type, intrusion_probability AS confidence, action_summary AS action, 'logged' AS status, hash,
     previous_hash, sample_index, severity_level, array_to_string(immediate, ' ; ') AS immediate_actions
   FROM log WHERE block_index > 0)"""
@@ -268,6 +270,28 @@ _CATEGORY_CASE = """CASE
 
 _BAR_ORDER = "PARTITION BY flow_id ORDER BY round(abs(shap), 12) DESC, i"
 
+# every block hashed anew from its fields, an amount of block 3 changed by ``change`` after it was logged
+_CHECKED = r"""
+checked AS (
+  SELECT l.segment, l.block_index, l.hash AS stored, l.previous_hash, lag(l.hash) OVER s AS before, lag(l.block_index) OVER s AS index_before,
+    sha256(concat_ws('|', l.previous_hash, CAST(l.block_index AS VARCHAR), CASE WHEN l.block_index = 0
+      THEN l."timestamp" || '|Threat Log Blockchain Initialized ' || CAST(l.segment AS VARCHAR)
+      ELSE concat_ws('|', l."timestamp", CAST(flow_id AS VARCHAR), CAST(CAST(p AS DECIMAL(38,9)) AS VARCHAR), CAST(e.severity_level AS VARCHAR),
+        e.severity_name, e.priority, e.action_summary, array_to_string(e.immediate, '; '), array_to_string(monitoring[1:3], '; '),
+        CAST(CAST(duration AS DECIMAL(38,9)) AS VARCHAR), e.protocol_type, service, flag,
+        CAST(CAST(e.src_bytes + CASE WHEN l.block_index = 3 THEN {change} ELSE 0 END AS DECIMAL(38,9)) AS VARCHAR),
+        CAST(CAST(dst_bytes AS DECIMAL(38,9)) AS VARCHAR), CAST(CAST("count" AS DECIMAL(38,9)) AS VARCHAR),
+        CAST(CAST(srv_count AS DECIMAL(38,9)) AS VARCHAR), CAST(CAST(serror_rate AS DECIMAL(38,9)) AS VARCHAR),
+        CAST(CAST(num_failed_logins AS DECIMAL(38,9)) AS VARCHAR), CAST(CAST(dst_host_count AS DECIMAL(38,9)) AS VARCHAR),
+        CAST(e.src_id AS VARCHAR), '\N') END)) AS own
+  FROM log l LEFT JOIN entries e ON e.segment = l.segment AND e.block_index = l.block_index
+  WINDOW s AS (PARTITION BY l.segment ORDER BY l.block_index)),
+verified AS (
+  SELECT segment, count(*) AS blocks, min(CASE WHEN NOT fine THEN block_index END) AS first_bad_block, bool_and(fine) AS is_valid
+  FROM (SELECT *, own = stored AND CASE WHEN block_index = 0 THEN previous_hash = '0'
+               ELSE previous_hash = before AND block_index = index_before + 1 END AS fine FROM checked)
+  GROUP BY segment)"""
+
 SQL = {
     "scan_flows": f"{_BASE} SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM flows",
     "input_profile": f"{_BASE} SELECT count(*) AS n_rows, CAST(16 AS BIGINT) AS n_columns FROM flows",
@@ -277,7 +301,7 @@ SQL = {
         severity_level, severity_name, action_summary, strftime(ts, '%Y-%m-%d') AS run_date FROM graded""",
     "log_export_info": f"""{_WITH_CHAIN} SELECT count(*) AS total_blocks, count(*) FILTER (block_index > 0) AS total_intrusions,
         count(DISTINCT segment) AS segments, true AS is_valid FROM log""",
-    "log_read": f"""{_WITH_CHAIN} SELECT segment, block_index, sample_index, severity_level, severity_name, action_summary,
+    "log_read": f"""{_WITH_CHAIN} SELECT segment, block_index, "timestamp", sample_index, severity_level, severity_name, action_summary,
         array_to_string(immediate, ' ; ') AS immediate_actions, CAST(src_bytes AS DOUBLE) AS src_bytes, previous_hash, hash FROM log""",
     "log_documents_info": f"""{_WITH_CHAIN} SELECT segment, count(*) AS total_blocks, count(*) - 1 AS total_intrusions,
         '2024-02-01 00:00:00' AS export_timestamp, true AS is_valid FROM log GROUP BY segment""",
@@ -296,7 +320,10 @@ SQL = {
     "one_hot_aligned": f"{_BASE} SELECT flow_id, {_QNUM}, {_dummies(_TRAINED)} FROM flows",
     "stratified_split": f"{_WITH_SPLIT} SELECT flow_id, y, is_test FROM split",
     "scaler_stats": f"{_WITH_SPLIT} " + " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, round(avg("{c}"), 6) AS mean, round(stddev_pop("{c}"), 6) AS std FROM split WHERE NOT is_test"""
+        f"""SELECT '{c}' AS feature, floor(m * 1e6 + 0.5) / 1e6 AS mean, floor(sqrt(greatest(q - m * m, 0)) * 1e6 + 0.5) / 1e6 AS std
+            FROM (SELECT CAST(sum(CAST(CAST("{c}" AS DOUBLE) AS DECIMAL(28,9))) AS DOUBLE) / count("{c}") AS m,
+                         CAST(sum(CAST(CAST("{c}" AS DOUBLE) * CAST("{c}" AS DOUBLE) AS DECIMAL(28,9))) AS DOUBLE) / count("{c}") AS q
+                  FROM split WHERE NOT is_test)"""
         for c in _NUM),
     "scaled_flows": f"{_WITH_SPLIT} SELECT flow_id, " + ", ".join(
         f"""round((CAST("{c}" AS DOUBLE) - (SELECT avg("{c}") FROM split WHERE NOT is_test))
@@ -392,7 +419,7 @@ SQL = {
         FROM roc UNION ALL SELECT NULL, 0.0e0, 0.0e0""",
     "dashboard": f"""{_WITH_EVAL} SELECT accuracy, precision, recall, f1, roc_auc, 0.01e0 AS threshold, false_negatives, false_positives,
         'online' AS status FROM metrics, auc""",
-    "chain_append": f"""{_WITH_CHAIN} SELECT segment, block_index, sample_index, severity_level, action_summary, previous_hash, hash FROM log""",
+    "chain_append": f"""{_WITH_CHAIN} SELECT segment, block_index, "timestamp", sample_index, severity_level, action_summary, previous_hash, hash FROM log""",
     "chain_heads": f"""{_WITH_CHAIN},
         h0 AS (SELECT segment AS id, arg_max(hash, block_index) AS head FROM log GROUP BY segment),
         e1 AS (SELECT id // 1000 AS g, id, head, row_number() OVER (PARTITION BY id // 1000 ORDER BY id) AS n FROM h0),
@@ -414,10 +441,15 @@ SQL = {
         SELECT 1 AS level, id AS "group", cnt AS n_heads, head AS hash FROM h1
         UNION ALL SELECT 2, id, cnt, head FROM h2
         UNION ALL SELECT 3, g, max(n), arg_max(hash, n) FROM c3 GROUP BY g""",
-    "chain_verify": f"""{_WITH_CHAIN} SELECT segment, count(*) AS blocks, CAST(NULL AS INTEGER) AS first_bad_block, true AS is_valid
-        FROM log GROUP BY segment""",
-    "chain_verify_tampered": f"""{_WITH_CHAIN} SELECT segment, count(*) AS blocks,
-        CASE WHEN count(*) > 3 THEN 3 END AS first_bad_block, count(*) <= 3 AS is_valid FROM log GROUP BY segment""",
+    "chain_continued": f"""{_WITH_CHAIN} SELECT segment, block_index, "timestamp", sample_index, previous_hash, hash FROM log""",
+    "chain_sealed": f"""{_WITH_CHAIN}, gone AS (SELECT DISTINCT segment FROM log WHERE segment % 7 = 0)
+        SELECT DISTINCT 1 AS level, segment // 1000 AS "group" FROM gone
+        UNION SELECT 2, segment // 1000000 FROM gone UNION SELECT 3, 0 FROM gone""",
+    "chain_verify": f"""{_WITH_CHAIN}, {_CHECKED.format(change=0)} SELECT * FROM verified""",
+    "chain_verify_tampered": f"""{_WITH_CHAIN}, {_CHECKED.format(change=1)} SELECT * FROM verified""",
+    "log_validity": " UNION ALL ".join(f"""SELECT * FROM ({_WITH_CHAIN}, {_CHECKED.format(change=change)}
+        SELECT '{state}' AS state, CAST(sum(blocks) AS BIGINT) AS total_blocks, CAST(sum(blocks - 1) AS BIGINT) AS total_intrusions,
+        count(*) AS segments, bool_and(is_valid) AS is_valid FROM verified)""" for state, change in (("stored", 0), ("forged", 1))),
     "log_severity": f"""{_WITH_CHAIN} SELECT d.severity_name, count(l.sample_index) AS n
         FROM severity_dim d LEFT JOIN log l ON l.severity_name = d.severity_name WHERE d.severity_level > 0 GROUP BY 1""",
     "log_view": f"{_WITH_CHAIN} SELECT * FROM view_rows",

@@ -124,7 +124,7 @@ def log_read(spark, sf):
     """The log exported as JSON documents, read back and flattened."""
     path = L.export_log(stored_log(spark, sf), shared_folder(spark), RUN, EXPORTED_AT)
     return L.read_log(spark, path).select(
-        "segment", "block_index", "sample_index", "severity_level", "severity_name", "action_summary",
+        "segment", "block_index", "timestamp", "sample_index", "severity_level", "severity_name", "action_summary",
         joined("immediate_actions").alias("immediate_actions"),
         F.col("network_features.src_bytes").alias("src_bytes"), "previous_hash", "hash")
 
@@ -206,7 +206,9 @@ def _train(spark, sf):
 
 @query
 def scaler_stats(spark, sf):
-    return rounded(P.scaler_stats(_train(spark, sf), NUMERIC))
+    # by floor: a mean of a few decimals may lie on the edge between two roundings
+    six = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6
+    return P.scaler_stats(_train(spark, sf), NUMERIC).withColumns({"mean": six("mean"), "std": six("std")})
 
 
 @query
@@ -363,7 +365,7 @@ def dashboard(spark, sf):
 @query
 def chain_append(spark, sf):
     return alert_log(spark, sf).select(
-        "segment", "block_index", "sample_index", "severity_level", "action_summary", "previous_hash", "hash")
+        "segment", "block_index", "timestamp", "sample_index", "severity_level", "action_summary", "previous_hash", "hash")
 
 
 @query
@@ -386,6 +388,34 @@ def chain_verify_tampered(spark, sf):
     return C.verify_chain(forged)
 
 
+@query
+def chain_continued(spark, sf):
+    """The log of two runs, the second on top of the stored heads of the first: one valid chain for each segment."""
+    flows, folder = graded(spark, sf), shared_folder(spark)
+    first = spark.read.parquet(A.write_table(C.append_flows(flows.where("flow_id % 1000 < 600")), f"{folder}/run=1"))
+    heads = spark.read.parquet(A.write_table(C.segment_heads(first), f"{folder}_heads"))
+    second = C.append_flows(flows.where("flow_id % 1000 >= 600"), heads=heads)
+    return first.unionByName(second).select("segment", "block_index", "timestamp", "sample_index", "previous_hash", "hash")
+
+
+@query
+def chain_sealed(spark, sf):
+    """Groups whose sealed head no longer follows from a log that lost the last block of every seventh segment."""
+    log = stored_log(spark, sf)
+    heads = C.chain_heads(log, levels=2)
+    last = C.segment_heads(log).where("segment % 7 = 0").select("segment", F.col("last_index").alias("block_index"))
+    return C.verify_sealed(log.join(last, ["segment", "block_index"], "left_anti"), heads).select("level", "group")
+
+
+@query
+def log_validity(spark, sf):
+    """Totals of the log and of one in which an amount of every block 3 was altered."""
+    log = stored_log(spark, sf)
+    forged = log.withColumn("network_features", F.when(F.col("block_index") == 3, F.col("network_features").withField(
+        "src_bytes", F.col("network_features.src_bytes") + 1.0)).otherwise(F.col("network_features")))
+    return C.log_summary(log).withColumn("state", F.lit("stored")).unionByName(C.log_summary(forged).withColumn("state", F.lit("forged")))
+
+
 @query
 def log_severity(spark, sf):
     return C.log_severity(stored_log(spark, sf))
@@ -720,15 +750,14 @@ def stream_alerts(spark, sf):
 @query
 def stream_chain(spark, sf):
     out = shared_folder(spark)
-    chained = T.stream_chain(T.read_event_stream(spark, sf))
-    _finished(T.run_append(chained, f"{out}/log", f"{out}/state"))
+    _finished(T.run_chain(T.read_event_stream(spark, sf), f"{out}/log", f"{out}/heads", f"{out}/state"))
     return spark.read.parquet(f"{out}/log").select(
-        "segment", "block_index", "sample_index", "severity_level", "action_summary", "previous_hash", "hash")
+        "segment", "block_index", "timestamp", "sample_index", "severity_level", "action_summary", "previous_hash", "hash")
 
 
 @query
 def stream_severity(spark, sf):
     out = shared_folder(spark)
-    _finished(T.run_complete(T.stream_severity(T.read_event_stream(spark, sf)), f"{out}/counts", f"{out}/state"))
+    _finished(T.run_update(T.stream_severity(T.read_event_stream(spark, sf)), ["window_start", "severity_level"], f"{out}/counts", f"{out}/state"))
     return T.newest_result(spark, f"{out}/counts").select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "severity_level", "n")

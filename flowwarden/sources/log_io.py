@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..fixed_values import GENESIS_MESSAGE, GENESIS_SYSTEM, LOG_PREFIX
-from ..operators.chain import log_summary
+from ..operators.chain import log_summary, timed
 from ..schema import LOG_BLOCK_SCHEMA, LOG_DATA_SCHEMA, LOG_DOCUMENT_SCHEMA
 from ..session import ship_functions
 
@@ -20,11 +20,12 @@ def log_documents(log: DataFrame, stamp: str) -> DataFrame:
     """One JSON document per segment: info header and ordered blocks.
 
     A segment has a bounded number of blocks, so a document is bounded too; its blocks are
-    in the published layout. ``stamp`` is the export time, given by the caller.
+    in the published layout, with their own times. ``stamp`` is the export time, given by the caller.
     """
+    log = timed(log)
     data = F.struct(*[_log_field(f.name) for f in LOG_DATA_SCHEMA.fields])
     block = F.struct(
-        F.col("block_index").cast("bigint").alias("index"), F.lit(stamp).alias("timestamp"), data.alias("data"),
+        F.col("block_index").cast("bigint").alias("index"), "timestamp", data.alias("data"),
         "previous_hash", "hash")
     return log.groupBy("segment").agg(
         F.struct(
@@ -40,7 +41,7 @@ def _log_field(name: str):
         "message": F.when(genesis, F.lit(GENESIS_MESSAGE)),
         "system": F.when(genesis, F.lit(GENESIS_SYSTEM)),
         "severity_level": F.col("severity_level").cast("bigint"),
-        "blockchain_timestamp": F.lit(None).cast("string"),
+        "blockchain_timestamp": F.when(~genesis, F.col("timestamp")),
         "block_index": F.when(~genesis, F.col("block_index").cast("bigint")),
     }
     return (special.get(name, F.col(name))).alias(name)

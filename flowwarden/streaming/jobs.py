@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..fixed_values import DEFAULT_THRESHOLD, GENESIS_MESSAGE, GENESIS_PREVIOUS_HASH
+from ..fixed_values import DEFAULT_THRESHOLD
 from ..functions.scorecard import DEFAULT_SCORECARD
-from ..operators.chain import DATA_COLUMNS, SEGMENT_SPAN, SEP, payload, placed_alerts
+from ..operators.chain import SEGMENT_SPAN, append_flows, merged_heads, segment_heads
 from ..operators.detect import alerts, detect
-from ..session import ship_functions
 from ..sources.flows import flows_from_events
 
-ship_functions(__name__)
-
 
 def read_event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_batch: int = 64) -> DataFrame:
     """Flows from an append-only folder of event files."""
@@ -34,55 +27,27 @@ def stream_alerts(flows: DataFrame, threshold: float = DEFAULT_THRESHOLD, scorer
     return alerts(detect(flows, threshold, scorer))
 
 
-_CHAINED = T.StructType([
-    T.StructField("segment", T.LongType()), T.StructField("block_index", T.IntegerType()),
-    T.StructField("sample_index", T.LongType()), T.StructField("entry", T.StringType()),
-    T.StructField("previous_hash", T.StringType()), T.StructField("hash", T.StringType()),
-])
-_STATE = T.StructType([T.StructField("last_index", T.IntegerType()), T.StructField("head", T.StringType())])
-
-
-def _link(previous: str, index: int, text: str) -> str:
-    return hashlib.sha256(SEP.join([previous, str(index), text]).encode()).hexdigest()
-
-
-def _extend(key, batches, state):
-    """Continue one segment's chain; a segment has at most ``SEGMENT_SPAN`` entries in all."""
-    (segment,) = key
-    rows, out = pd.concat(batches).sort_values(["sample_index", "payload"]), []
-    if state.exists:
-        index, head = state.get
-    else:
-        index, head = 0, _link(GENESIS_PREVIOUS_HASH, 0, f"{GENESIS_MESSAGE} {segment}")
-        out.append((segment, 0, None, None, GENESIS_PREVIOUS_HASH, head))
-    for sample, text, entry in zip(rows["sample_index"], rows["payload"], rows["entry"]):
-        previous, index = head, index + 1
-        head = _link(previous, index, text)
-        out.append((segment, index, sample, entry, previous, head))
-    state.update((index, head))
-    frame = pd.DataFrame(out, columns=_CHAINED.fieldNames())
-    yield frame.astype({"sample_index": "Int64"})
-
-
-def stream_chain(flows: DataFrame, span: int = SEGMENT_SPAN, threshold: float = DEFAULT_THRESHOLD,
-                 scorer=DEFAULT_SCORECARD) -> DataFrame:
-    """Score arriving flows and append their alerts to the chain of their segment.
-
-    The last index and hash of a segment are kept as state, so a restart continues from
-    the checkpoint. Blocks follow arrival: micro-batch first, flow id inside it; for input
-    in id order the result is the batch chain. For very many open segments run with the
-    RocksDB state store.
+def run_chain(flows: DataFrame, log: str, heads: str, checkpoint: str, span: int = SEGMENT_SPAN, threshold: float = DEFAULT_THRESHOLD,
+              scorer=DEFAULT_SCORECARD) -> StreamingQuery:
+    """Score arriving flows and append their alerts to the chain of their segment, with the batch job's own code.
+
+    Nothing is kept as operator state. Each micro-batch goes on from the table of segment heads that the batch before it
+    left (one row for each segment), writes its blocks to ``log/batch_id=<n>`` and the new heads to
+    one of two folders in turn. A batch that is done again after a failure reads the same heads and replaces its own
+    output, so blocks are written exactly once; a restart goes on where the checkpoint stands. Blocks follow arrival:
+    micro-batch first, flow id inside it; for input in id order the result is the batch chain.
     """
-    alert_stream = placed_alerts(detect(flows, threshold, scorer), span)
-    data = F.struct(*DATA_COLUMNS)
-    entry_type = alert_stream.select(data.alias("d")).schema["d"].dataType
-    keyed = alert_stream.select(
-        "segment", "sample_index", payload().alias("payload"), F.to_json(data).alias("entry"))
-    chained = keyed.groupBy("segment").applyInPandasWithState(
-        _extend, _CHAINED, _STATE, "append", GroupStateTimeout.NoTimeout)
-    return chained.withColumn("d", F.from_json("entry", entry_type)).select(
-        "segment", "block_index", "sample_index", *[F.col(f"d.{c}").alias(c) for c in DATA_COLUMNS],
-        "previous_hash", "hash")
+    def append(batch: DataFrame, batch_id: int) -> None:
+        spark, path = batch.sparkSession, f"{log}/batch_id={batch_id}"
+        before = spark.read.parquet(f"{heads}/slot={(batch_id - 1) % 2}") if batch_id else None
+        append_flows(batch, span, before).write.mode("overwrite").parquet(path)
+        now = segment_heads(spark.read.parquet(path))
+        merged_heads(before, now).write.mode("overwrite").parquet(f"{heads}/slot={batch_id % 2}")
+
+    return (
+        detect(flows, threshold, scorer).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
 
 
 def stream_severity(flows: DataFrame, window: str = "1 day", lateness: str = "1 hour",
@@ -110,19 +75,33 @@ def run_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def run_complete(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the whole (small) result table at ``path``: one folder per batch, a redo replaces its own."""
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def run_update(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the newest row of each key at ``path``; state behind the watermark is dropped, and rows later than that are not counted.
+
+    A micro-batch hands on changed rows only. They replace those of the table that the batch before left, in one of two
+    folders in turn, so a batch done again gives the same table and no folders pile up. How many
+    rows came too late stands in the query's progress (``late_rows``).
+    """
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        changed = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        if batch_id:
+            before = batch.sparkSession.read.parquet(f"{path}/slot={(batch_id - 1) % 2}")
+            changed = changed.unionByName(before.join(batch.select(*keys), keys, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("bigint")))
+        changed.write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
 
     return (
-        df.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
-        .outputMode("complete").trigger(availableNow=True).start()
+        df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        .outputMode("update").trigger(availableNow=True).start()
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Input rows of the reported batches that came behind the watermark and were left out."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def newest_result(spark: SparkSession, path: str) -> DataFrame:
-    """The table left by the last batch of ``run_complete``."""
+    """The table left by the last batch of ``run_update``."""
     table = spark.read.parquet(path)
     last = table.agg(F.max("batch_id")).scalar()
-    return table.where(F.col("batch_id") == last).drop("batch_id")
+    return table.where(F.col("batch_id") == last).drop("batch_id", "slot")

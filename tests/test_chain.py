@@ -71,7 +71,7 @@ def test_cut_tail_is_seen_by_the_heads(log):
 
 
 def test_same_log_for_any_partitioning(spark, log):
-    alerts = Q.D.alerts(Q.graded(spark, SF))
+    alerts = C.placed_alerts(Q.graded(spark, SF))
     want = {(r["segment"], r["block_index"]): r["hash"] for r in log.select("segment", "block_index", "hash").collect()}
     for n in (1, 5):
         got = C.append_entries(alerts.repartition(n)).select("segment", "block_index", "hash").collect()
@@ -85,11 +85,35 @@ def test_separator_in_text_is_escaped(spark):
               "network_features struct<duration:double,protocol_type:string,service:string,flag:string,src_bytes:double,"
               "dst_bytes:double,count:double,srv_count:double,serror_rate:double,num_failed_logins:double,"
               "dst_host_count:double,src_ip:string,dst_ip:string>")
-    df = spark.createDataFrame([row("a|b", "c"), row("a", "b|c")], schema)
-    assert df.select(C.payload().alias("p")).distinct().count() == 2
+    payloads = lambda rows: C.timed(spark.createDataFrame(rows, schema)).select(C.payload().alias("p")).distinct().count()
+    assert payloads([row("a|b", "c"), row("a", "b|c")]) == 2
     listed = lambda now, p=0.5: (1, p, 1, "a", "b", "s", now, ["m"], None)
     rows = [listed(["a; b"]), listed(["a", "b"]), listed(["a\\; b"]), listed(["a"], 0.5 + 1e-9), listed(["a"])]
-    assert spark.createDataFrame(rows, schema).select(C.payload().alias("p")).distinct().count() == len(rows)
+    assert payloads(rows) == len(rows)
+
+
+def test_altered_time(log):
+    forged = log.withColumn("timestamp", F.when(
+        (F.col("segment") == 2) & (F.col("block_index") == 4), F.lit("2024-01-01 00:00:00.000000")).otherwise(F.col("timestamp")))
+    assert bad_segments(forged) == {2: 4}
+    genesis = log.withColumn("timestamp", F.when((F.col("segment") == 1) & (F.col("block_index") == 0), F.lit("x")).otherwise(F.col("timestamp")))
+    assert bad_segments(genesis) == {1: 0}
+    assert log.where("timestamp IS NULL").count() == 0 and "timestamp" in C.log_view(log).columns
+
+
+def test_a_log_goes_on_from_stored_heads(spark, log):
+    """Three runs over the same ids: one chain for each segment, one genesis block, no block twice."""
+    flows, heads, parts = Q.graded(spark, SF).drop("ts").where("flow_id < 3000"), None, []
+    for run in range(3):
+        new = C.append_flows(flows.where(f"flow_id % 3 = {run} OR flow_id = 7"), heads=heads, at=f"run {run}").cache()
+        heads = C.merged_heads(heads, C.segment_heads(new)).cache()
+        parts.append(new)
+        whole = parts[0] if run == 0 else whole.unionByName(new)  # noqa: F821
+        assert bad_segments(whole) == {}
+    assert whole.groupBy("segment", "block_index").count().where("count > 1").count() == 0
+    assert whole.where("block_index = 0").count() == 3 and {r["timestamp"] for r in whole.select("timestamp").distinct().collect()} == {f"run {i}" for i in range(3)}
+    assert {tuple(r) for r in C.segment_heads(whole).collect()} == {tuple(r) for r in heads.collect()}
+    assert {tuple(r) for r in C.chain_heads(whole, 2).collect()} == {tuple(r) for r in C.chain_heads(heads, 2).collect()}
 
 
 def test_pages_cover_the_log(log):

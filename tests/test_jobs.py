@@ -28,6 +28,12 @@ def test_train_detect_explain_verify(spark):
     assert 0 <= reports["metrics"].first()["accuracy"] <= 1
     checks = jobs.verify(spark, f"{work}/out", "20240101_000000")
     assert checks["broken"].count() == 0 and checks["unsealed"].count() == 0
+    # a second run goes on from the stored log
+    again = jobs.detect(spark, source, f"{work}/model", f"{work}/out", "20240102_000000", "2024-01-02 00:00:00")["log"].first()
+    assert again["is_valid"] and again["total_intrusions"] == 2 * total["intrusions"] and again["segments"] == log["segments"]
+    for stamp in ("20240101_000000", "20240102_000000"):
+        checks = jobs.verify(spark, f"{work}/out", stamp)
+        assert checks["broken"].count() == 0 and checks["unsealed"].count() == 0
     explained = jobs.explain(spark, source, f"{work}/model", f"{work}/out", "20240101_000000")
     assert explained["feature_importance_complete"].count() == len(package.features)
     wide = spark.read.parquet(f"{work}/out/xai_predictions_20240101_000000")

@@ -137,3 +137,17 @@ def test_vocabulary_limit_is_an_error(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("service"))
     with pytest.raises(ValueError):
         P.collect_vocab(df, ["service"], limit=20)
+
+
+def test_scaler_does_not_depend_on_the_order_of_sums(spark):
+    values = [0.1 * i for i in range(400)] + [1e9, 3e-7, 259.2396] * 50
+    expect = None
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame([(v,) for v in (values if parts != 3 else values[::-1])], "x double").repartition(parts)
+        row = P.scaler_stats(df, ["x"]).first()
+        expect = expect or row
+        assert (row["mean"], row["std"]) == (expect["mean"], expect["std"])
+    assert row["mean"] == pytest.approx(sum(values) / len(values)) and row["std"] == pytest.approx(np.std(values))
+    huge = spark.createDataFrame([(1e25,), (3e25,)], "x double")
+    assert P.scaler_stats(huge, ["x"]).first()["mean"] == pytest.approx(2e25)
+    assert P.scaler_stats(huge.where("false"), ["x"]).first()["mean"] is None
