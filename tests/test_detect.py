@@ -1,10 +1,13 @@
+import csv
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowwarden.functions.severity import severity_score
 from flowwarden.functions.text import percent_text, strip_emoji
+from flowwarden.operators import chain as C
 from flowwarden.operators import detect as D
 from flowwarden.operators import prepare as P
 
@@ -67,7 +70,41 @@ def test_published_summaries(spark):
     assert rows[1]["action_summary"] == (
         "HIGH RISK - CRITICAL: Block source IP immediately! Serious attack detected with 100.0% confidence. "
         "Initiate incident response. Password attack in progress! Possible data exfiltration! Active port scanning detected!")
-    assert rows[2]["action_summary"].endswith("Confidence: 1.1%.") or rows[2]["action_summary"].endswith("Confidence: 1.0%.")
+    assert rows[2]["action_summary"].endswith(f"Confidence: {0.0105:.1%}.")
+
+
+#: The lists that the published log shows for its two levels.
+PUBLISHED_LISTS = {
+    2: (["Mark this traffic for immediate security review", "Slow down or limit data from this source", "Activate intrusion detection systems"],
+        ["Monitor this source IP in real-time", "Check security logs for previous activity", "Look up IP reputation online"]),
+    3: (["BLOCK this source IP immediately", "Add IP to firewall blacklist", "Drop all packets from this source", "Cut off active connections"],
+        ["Check if other IPs from same network are attacking", "Look for signs of system compromise", "Check if IP is part of known botnet"]),
+}
+
+
+def test_published_run(spark):
+    """All 20 flows of the published run: class, level, summary, log entries and totals."""
+    with open(os.path.join(os.path.dirname(__file__), "published_flows.csv"), encoding="utf-8") as f:
+        published = list(csv.DictReader(f))
+    kinds = dict(x.split() for x in COLUMNS.split(", "))
+    typed = lambda name, text: text if kinds[name] == "string" else float(text) if kinds[name] == "double" else int(text)
+    rows = [tuple(i if name == "flow_id" else typed(name, r[name]) for name in kinds) for i, r in enumerate(published)]
+    g = graded(spark, rows)
+    got = g.orderBy("flow_id").collect()
+    for r, want in zip(got, published):
+        assert (r["predicted_class"], str(r["severity_level"]), r["severity_name"], r["action_summary"]) == (
+            want["predicted_class"], want["severity_level"], want["severity_name"], want["action_summary"]), r["flow_id"]
+    assert [r["severity_score"] for r in got if r["flow_id"] in (2, 6)] == [5, 5]
+    entries = D.alerts(g).orderBy("sample_index").collect()
+    assert [r["sample_index"] for r in entries] == [2, 6, *range(10, 20)]
+    for r in entries:
+        now, watch = PUBLISHED_LISTS[r["severity_level"]]
+        now = now + ["Block port scan - probing for weaknesses"] * (r["sample_index"] in (12, 16))
+        assert (r["immediate_actions"], r["monitoring_actions"]) == (now, watch)
+        assert r["network_features"]["src_bytes"] == float(published[r["sample_index"]]["src_bytes"]) and r["network_features"]["dst_ip"] is None
+    log = C.append_flows(g, at="2025-11-23 09:26:34.284704")
+    assert tuple(C.log_summary(log).select("total_blocks", "total_intrusions", "is_valid").first()) == (13, 12, True)
+    assert {r["severity_name"]: r["n"] for r in C.log_severity(log).collect()} == {"LOW RISK": 0, "MEDIUM RISK": 2, "HIGH RISK": 10}
 
 
 def test_logged_lists(spark):
