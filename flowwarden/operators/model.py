@@ -14,7 +14,7 @@ from ..session import shared_folder
 from . import evaluate as E
 from . import prepare as P
 from .detect import PROB
-from .tree_shap import expected_value, leaf_rules, shap_column
+from .tree_shap import Nodes, expected_value, shap_column
 
 METADATA_SCHEMA = (
     "feature_names array<string>, numeric_features array<string>, categorical_features array<string>, "
@@ -68,23 +68,21 @@ class ModelPackage:
 
     def explain(self, df: DataFrame) -> DataFrame:
         """Add ``x`` and ``shap``: log-odds attributions, additive up to ``base_value``."""
-        return self.with_features(df).withColumn("shap", shap_column(df.sparkSession, self.rules()))
+        return self.with_features(df).withColumn("shap", shap_column(df.sparkSession, self.forest()))
 
-    def rules(self) -> list[tuple]:
-        """Leaves of all trees, values scaled so that their sum is the log-odds."""
+    def forest(self) -> list[Nodes]:
+        """The trees, values scaled so that the sum over the leaves that a row reaches is the log-odds."""
         if self.tree_rows is None:
             raise ValueError("trees are read from the saved model: save or load the package first")
-        trees: dict[int, dict] = {}
-        weight: dict[int, float] = {}
+        trees: dict[int, Nodes] = {}
         for r in self.tree_rows:
             trees.setdefault(r["tree_id"], {})[r["node_id"]] = (
-                r["feature_index"], r["threshold"], r["left_child"], r["right_child"], r["prediction"], r["cover"])
-            weight[r["tree_id"]] = r["weight"]
-        return [(2.0 * weight[t] * v, conds) for t in sorted(trees) for v, conds in leaf_rules(trees[t])]
+                r["feature_index"], r["threshold"], r["left_child"], r["right_child"], 2.0 * r["weight"] * r["prediction"], r["cover"])
+        return [trees[t] for t in sorted(trees)]
 
     @property
     def base_value(self) -> float:
-        return expected_value(self.rules())
+        return expected_value(self.forest())
 
     def native_importance(self) -> dict[str, float]:
         gains = self.model.featureImportances.toArray()

@@ -73,18 +73,30 @@ def _random_tree(rng, depth, n):
     return nodes
 
 
-def test_tree_attribution_equals_brute_force():
+@pytest.mark.parametrize("bits,depth", [(9, 4), (3, 4), (1, 3), (0, 3), (5, 7)])
+def test_tree_attribution_equals_brute_force(monkeypatch, bits, depth):
+    monkeypatch.setattr(S, "BITS", bits)         # fewer bits: more subtrees, and leaves deeper than a table
+    monkeypatch.setattr(S, "BLOCK", 7)
     rng = np.random.default_rng(11)
-    for _ in range(12):
+    for _ in range(4):
         n = 5
-        nodes = _random_tree(rng, 4, n)          # features repeat along paths
-        rules = S.leaf_rules(nodes)
+        nodes = _random_tree(rng, depth, n)      # features repeat along paths
         x = rng.normal(size=(20, n))
         x[0, 1] = np.nan
-        got = S.attribute(x, rules)
+        got = S.attribute(x, [nodes])
         for row, phi in zip(x, got):
             assert phi == pytest.approx(_brute_force(nodes, row, n), abs=1e-9)
-            assert phi.sum() + S.expected_value(rules) == pytest.approx(_value(nodes, 0, row, set(range(n))), abs=1e-9)
+            assert phi.sum() + S.expected_value([nodes]) == pytest.approx(_value(nodes, 0, row, set(range(n))), abs=1e-9)
+
+
+def test_forest_attribution_is_the_sum_over_trees():
+    rng = np.random.default_rng(5)
+    forest, x = [_random_tree(rng, 8, 12) for _ in range(6)], rng.normal(size=(300, 12))
+    got = S.attribute(x, forest)
+    assert got == pytest.approx(sum(S.attribute(x, [nodes]) for nodes in forest), abs=1e-9)
+    for row, phi in zip(x[:40], got):
+        assert phi.sum() + S.expected_value(forest) == pytest.approx(sum(_value(nodes, 0, row, set(range(12))) for nodes in forest), abs=1e-9)
+    assert S.attribute(x[:0], forest).shape == (0, 12)
 
 
 @pytest.fixture(scope="module")
@@ -121,7 +133,7 @@ def test_model_takes_incomplete_and_unseen_input(spark, fitted):
 
 def test_unused_feature_gets_nothing(spark, fitted):
     m, _ = fitted
-    used = {c[0] for _, conds in m.rules() for c in conds}
+    used = {n[0] for nodes in m.forest() for n in nodes.values() if n[0] >= 0}
     unused = [i for i in range(len(m.features)) if i not in used]
     out = m.explain(Q.labelled(spark, SF)).select(*[F.max(F.abs(F.col("shap")[i])) for i in unused]).first()
     assert unused and all(v == 0.0 for v in out)
