@@ -89,3 +89,14 @@ def test_registered():
     assert [n for n in names if re.match(r"op\d+_", n)] == [n for n in names if n.startswith("op")]
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert public_tokenizers.path(corpus_pipeline.queries.TOKENIZER)
+
+
+def test_rows_that_share_an_id_keep_their_own_fate(spark, folder):
+    rng = random.Random(4)
+    a, b, c = (helpers.words(rng, 60, 9000) for _ in range(3))
+    item = corpus_pipeline.queries.benchmark(spark, folder).where("text IS NOT NULL").first()["text"]
+    rows = helpers.table(spark, [(0, a), (1, a), (1, b), (None, c), (None, f"{b} {item}"), (1, f"{c} {item}"), (2, c), (2, c)])
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    kept = corpus_pipeline.decontamination(spark, rows, folder)
+    assert texts(kept) == sorted([(0, a), (1, a), (1, b), (None, c), (2, c), (2, c)], key=repr)
+    assert texts(corpus_pipeline.near_duplicates(spark, kept, folder)) == sorted([(0, a), (1, b), (None, c), (2, c)], key=repr)
