@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import text_or_empty
+from .common import staged, text_or_empty
 
 #: A match of GRAM + WINDOW - 1 words is always found, one shorter than GRAM words never.
 GRAM, WINDOW = 5, 4
 #: Words end at white space; in scripts written without blanks each character is a word.
 _WORD_ENDS = r"\s+|(?<=[぀-ヿ㐀-鿿가-힯])"
 _PLACE_BITS = 31
+#: Bytes of text in a block of neighbours.
+BLOCK_BYTES = 128 << 20
 
 
 def with_marks(df: DataFrame, text: Column, gram: int = GRAM, window: int = WINDOW, name: str = "marks") -> DataFrame:
@@ -74,30 +76,41 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", gram:
     return rows.select(F.col("_key").alias(key), F.get(places(one), 0).alias("place"), F.shiftright("_mark", _PLACE_BITS).alias("hash"))
 
 
-def with_next(rows: DataFrame, key: str, tie: str, carry: list[str], blocks: int) -> DataFrame:
-    """Add ``next_<c>`` of the next row by descending ``key`` (equal keys: descending ``tie``); after the last, the first.
+def _block_of(me: Column, firsts: Column) -> Column:
+    """How many of the descending ``firsts`` are not below ``me``, less one; by halving, so that many blocks cost little."""
+    step = F.struct(F.lit(0).alias("lo"), F.size(firsts).alias("hi"))
 
-    Approximate quantiles of the key cut the rows into ``blocks``; a window runs in each. Only
-    the last row of each block is joined with the first of the next.
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.call_function("div", s["lo"] + s["hi"], F.lit(2)).cast("int")
+        above = F.get(firsts, middle) >= me
+        narrower = F.struct(F.when(above, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(middle).alias("hi"))
+        return F.when(s["lo"] < s["hi"], narrower).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(firsts) + 1)).cast("int")), step, halved)["lo"] - 1
+
+
+def with_next(rows: DataFrame, order: list[str], carry: list[str], blocks: int) -> DataFrame:
+    """Add ``next_<c>`` of the next row by descending ``order``, nulls last; after the last, the first.
+
+    No two rows are equal in ``order``, and ``rows`` are stored, so that they read the same each time.
+    A range partitioning of ``order`` alone gives the first row of each of about ``blocks`` equal
+    blocks. Rows then move once, to their block; the first row of a block goes also to
+    the end of the one before, so a window in each block sees every next row.
     """
-    cuts = rows.agg(F.percentile_approx(F.col(key), [i / blocks for i in range(1, blocks)] or [0.5], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col(key)))
-    placed = rows.withColumn("_block", F.when(F.col(key).isNull(), -1).otherwise(block))
-    order = W.partitionBy("_block").orderBy(F.desc_nulls_last(key), F.desc(tie))
-    placed = placed.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry} | {
-        "_nth": F.row_number().over(order), "_more": F.lead(F.lit(True)).over(order)})
-    inside = placed.where("_more").drop("_block", "_nth", "_more")
-    lasts = placed.where("_more is null").select("_block", *rows.columns)
-    heads = placed.where("_nth = 1").select("_block", F.struct(*carry).alias("_head"))
-    down = W.orderBy(F.desc("_block"))                                               # one row for each block
-    numbers = heads.select("_block").withColumns({"_next": F.lead("_block").over(down), "_top": F.first("_block").over(down)})
-    numbers = numbers.select("_block", F.coalesce("_next", "_top").alias("_next"))
-    closed = lasts.join(F.broadcast(numbers), "_block").join(heads.withColumnRenamed("_block", "_next"), "_next")
-    return inside.unionByName(closed.select(*rows.columns, *[F.col(f"_head.{c}").alias(f"next_{c}") for c in carry]))
-
-
-def compared_with_edits(docs: DataFrame, blocks: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    me = F.struct(*order)
+    dealt = rows.select(*order).repartitionByRange(blocks, *[F.desc_nulls_last(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    firsts = dealt.groupBy("_part").agg(F.max(me).alias("_first")).agg(F.sort_array(F.collect_list("_first"), asc=False).alias("_firsts"))
+    placed = rows.join(F.broadcast(firsts), F.lit(True)).withColumn("_block", _block_of(me, F.col("_firsts")))   # one row, of one entry a block
+    before = F.pmod(F.col("_block") - 1, F.size("_firsts"))
+    own, again = (F.struct(b.alias("_block"), F.lit(g).alias("_again")) for b, g in ((F.col("_block"), False), (before, True)))
+    homes = F.when(me == F.get("_firsts", F.col("_block")), F.array(own, again)).otherwise(F.array(own))
+    placed = placed.select(*rows.columns, F.explode_outer(homes).alias("_home")).select(*rows.columns, "_home.*")
+    down = W.partitionBy("_block").orderBy("_again", *[F.desc_nulls_last(c) for c in order])
+    beside = placed.withColumns({f"next_{c}": F.lead(c).over(down) for c in carry})
+    return beside.where(~F.col("_again")).drop("_block", "_again")
+
+
+def compared_with_edits(docs: DataFrame, blocks: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of an edited one, and how alike they are.
 
     Edited: the last half of the text's characters (rounded down) replaced by as many first ones
@@ -105,13 +118,20 @@ def compared_with_edits(docs: DataFrame, blocks: int, key: str = "doc_id", text:
 
     Returns ``key``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
     Null texts count as empty. Null keys come last in the descending order; rows of equal
-    keys are ordered by a hash of the text. A single row is its own next. No rows, no result.
-    Other columns are ignored, whatever their names.
+    keys are ordered by a hash of the text, equal rows as they are read, which changes no result.
+    A single row is its own next. No rows, no result. Other columns are ignored, whatever their names.
+
+    Marked rows are written once; neighbours meet in blocks of some ``BLOCK_BYTES``, ``blocks`` of them at
+    least, which cut through rows of one key and through copies.
     """
-    plain = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    plain = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).withColumns({
+        "_tie": F.xxhash64("_text"), "_copy": F.monotonically_increasing_id()})
     marked = with_marks(plain, F.col("_text"), name="_marks")
-    marked = marked.select("_key", "_tie", "_text", digest(F.col("_marks")).alias("_print"), hashes(F.col("_marks")).alias("_set"))
-    beside = with_next(marked, "_key", "_tie", ["_text", "_set"], blocks)
+    marked = staged(marked.select(
+        "_key", "_tie", "_copy", "_text", F.octet_length("_text").alias("_size"),
+        digest(F.col("_marks")).alias("_print"), hashes(F.col("_marks")).alias("_set")), "marked")
+    size = marked.agg(F.sum(F.col("_size").cast("bigint"))).first()[0] or 0
+    beside = with_next(marked, ["_key", "_tie", "_copy"], ["_text", "_set"], max(blocks, size // BLOCK_BYTES))
     n = F.char_length("_text")
     half = F.call_function("div", n, F.lit(2)).cast("int")
     beside = beside.withColumn("_edited", F.concat(F.left("_text", n - half), F.left("next__text", half)))

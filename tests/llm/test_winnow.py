@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import xxhash
 from pyspark.sql import functions as F
@@ -74,10 +75,11 @@ def check(spark, docs, blocks):
     got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in rows]
     key = lambda r: str(r)
     assert sorted(got, key=key) == sorted(want, key=key)
-    texts = {k: t for k, t, _ in plain if k is not None}
+    several = {k for k, t, _ in plain} - {k for k, n in Counter(k for k, _ in {(k, t) for k, t, _ in plain}).items() if n == 1}
+    texts = {k: t for k, t, _ in plain if k is not None and k not in several}
     of = {}
     for r in rows:
-        if r["doc_id"] is not None:
+        if r["doc_id"] in texts:
             of.setdefault(texts[r["doc_id"]], set()).add(r["fingerprint"])
     assert all(len(x) == 1 for x in of.values()) and len(of) == len(set(texts.values()))
 
@@ -96,3 +98,21 @@ def test_op1(spark):
 def test_native(spark):
     plan = winnow.compared_with_edits(helpers.nasty(spark), 4)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_of_one_key_and_copies_spread_over_blocks(spark):
+    rows = [(7, f"text {i} of the same key as all of the others") for i in range(300)]
+    rows += [(None, f"text {i} without any key") for i in range(300)] + [(9, "the very same row of the table again")] * 300
+    docs = helpers.table(spark, rows).repartition(5)
+    check(spark, docs, 9)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy"))
+    keyed = spark.createDataFrame(keyed.collect(), keyed.schema)                      # the same each time it is read
+    order = ["doc_id", "tie", "copy"]
+    got = winnow.with_next(keyed, order, order, 9)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "RepartitionByExpression" in plan
+    down = sorted((tuple(r) for r in keyed.collect()), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]), reverse=True)
+    want = [(*a, *b) for a, b in zip(down, down[1:] + down[:1])]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    firsts = keyed.repartitionByRange(9, *[F.desc_nulls_last(c) for c in order]).groupBy(F.spark_partition_id()).count().collect()
+    assert len(firsts) > 6 and max(r["count"] for r in firsts) < 250
