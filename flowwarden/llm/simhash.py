@@ -15,7 +15,7 @@ from .components import components, forest
 ship_functions(__name__)
 
 SEED, BITS = 42, 64
-#: A bucket with more fingerprints is compared in blocks of this size, each pair of blocks a group of its own.
+#: A bucket with more own or reaching fingerprints is compared in blocks of this size, each pair of blocks a group of its own.
 BLOCK = 2048
 #: Pairs compared at once.
 PAIRS = 1 << 20
@@ -149,22 +149,34 @@ def _linked(batches: Iterator[pa.RecordBatch], ring: Ring) -> Iterator[pa.Record
         yield from edges(*rest)
 
 
+def groups(prints: DataFrame, ring: Ring) -> DataFrame:
+    """``bucket, cell, print, own``: the fingerprints of a (bucket, cell) are compared, its own ones against all.
+
+    In a bucket of many, its own fingerprints and those that reach it by setting a bit are dealt out in
+    blocks of some ``BLOCK``; each pair of own blocks and each pair of an own and a reaching block is a
+    cell, so cells stay small whatever the bucket. Large buckets without own fingerprints are left out.
+    """
+    rows = staged(prints.mapInArrow(lambda b: _bucket_rows(b, ring), _BUCKETS), "buckets")
+    counts = rows.groupBy("bucket").agg(F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("reaching"))
+    large = counts.where(F.greatest("own", "reaching") > BLOCK).select("bucket", *[
+        F.ceil(F.col(c) / BLOCK).cast("int").alias(f"n_{c}") for c in ("own", "reaching")])
+    dealt = rows.join(large, "bucket", "left").withColumns({
+        "n_own": F.coalesce("n_own", F.lit(1)), "n_reaching": F.greatest("n_reaching", F.lit(1))}).where("n_own > 0")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("print"), F.when(F.col("own"), F.col("n_own")).otherwise(F.col("n_reaching"))).cast("int"))
+    # reaching block 0 joins the cells of own blocks with themselves; number n_own + j - 1 stands for reaching block j
+    of_own = F.expr("transform(sequence(0, n_own + n_reaching - 2), o -> struct(least(mine, o) AS low, greatest(mine, o) AS high))")
+    of_reaching = F.expr("transform(sequence(0, n_own - 1), o -> struct(o AS low, if(mine = 0, o, n_own + mine - 1) AS high))")
+    cells = dealt.withColumn("cell", F.explode(F.when(F.col("own"), of_own).otherwise(of_reaching)))
+    return cells.select("bucket", (F.col("cell.low").cast("bigint") * (1 << 31) + F.col("cell.high")).alias("cell"), "print", "own")
+
+
 def links(prints: DataFrame, distance: int) -> DataFrame:
     """Edges ``u, v`` that connect all of the distinct bigints ``print`` within ``distance`` bits of each other.
 
-    Not all pairs: each compared group gives at most one edge less than it has
-    fingerprints. A bucket of more than ``BLOCK`` own fingerprints is dealt out in blocks,
-    and each pair of blocks is a group, so groups stay small whatever the bucket.
+    Not all pairs: each compared group gives at most one edge less than it has fingerprints.
     """
     ring = Ring(distance)
-    rows = staged(prints.mapInArrow(lambda b: _bucket_rows(b, ring), _BUCKETS), "buckets")
-    hot = rows.where("own").groupBy("bucket").count().where(F.col("count") > BLOCK)
-    hot = hot.select("bucket", F.ceil(F.col("count") / BLOCK).cast("bigint").alias("blocks"))
-    dealt = rows.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("print"), F.col("blocks"))
-    cells = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    cells = cells.withColumn("cell", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
-    ordered = cells.select("bucket", "cell", "print", "own").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    ordered = groups(prints, ring).repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
     return ordered.mapInArrow(lambda b: _linked(b, ring), _EDGES)
 
 

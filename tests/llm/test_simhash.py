@@ -100,6 +100,27 @@ def test_hot_buckets_are_cut_in_blocks(spark, monkeypatch):
     assert len(want) == len(set(of.values()))
 
 
+def test_few_fingerprints_beside_a_hot_bucket(spark, monkeypatch):
+    """Many fingerprints lack one bit of the only fingerprint of a bucket, and so all reach it."""
+    rng = random.Random(6)
+    ring = simhash.Ring(4)
+    first, second = ring.segments[:2]
+    bit = second & -second
+    centre = (rng.getrandbits(64) & ~(first | second)) | first | bit
+    loose = [b for b in range(64) if not (first | second) >> b & 1]
+    far = {(centre ^ bit) ^ sum(1 << b for b in rng.sample(loose, rng.randint(6, 20))) for _ in range(400)}
+    near = {(centre ^ bit) ^ sum(1 << b for b in rng.sample(loose, 3)) for _ in range(40)}
+    prints = {centre} | far | near
+    want = linked(spark, prints, 4)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    assert linked(spark, prints, 4) == want and len(want) == len(set(brute_groups(prints, 4).values()))
+    df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "print bigint")
+    cells = simhash.groups(df, ring).groupBy("bucket", "cell").count().collect()
+    assert max(r["count"] for r in cells) < 5 * 16
+    of_centre = int(next(ring.buckets(np.array([centre], np.uint64)))[0][0])
+    assert sum(r["count"] for r in cells if r["bucket"] == of_centre) < 2 * len(prints)      # dealt out, not multiplied
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1003, 1001), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
