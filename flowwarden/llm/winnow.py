@@ -121,16 +121,14 @@ def compared_with_edits(docs: DataFrame, blocks: int = 1, key: str = "doc_id", t
     keys are ordered by a hash of the text, equal rows as they are read, which changes no result.
     A single row is its own next. No rows, no result. Other columns are ignored, whatever their names.
 
-    Marked rows are written once; neighbours meet in blocks of some ``BLOCK_BYTES``, ``blocks`` of them at
+    Rows are numbered and written once; neighbours meet in blocks of some ``BLOCK_BYTES``, ``blocks`` of them at
     least, which cut through rows of one key and through copies.
     """
-    plain = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).withColumns({
-        "_tie": F.xxhash64("_text"), "_copy": F.monotonically_increasing_id()})
+    plain = staged(docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).withColumns({
+        "_tie": F.xxhash64("_text"), "_copy": F.monotonically_increasing_id(), "_size": F.octet_length("_text")}), "numbered")
+    size = plain.agg(F.sum(F.col("_size").cast("bigint"))).first()[0] or 0
     marked = with_marks(plain, F.col("_text"), name="_marks")
-    marked = staged(marked.select(
-        "_key", "_tie", "_copy", "_text", F.octet_length("_text").alias("_size"),
-        digest(F.col("_marks")).alias("_print"), hashes(F.col("_marks")).alias("_set")), "marked")
-    size = marked.agg(F.sum(F.col("_size").cast("bigint"))).first()[0] or 0
+    marked = marked.select("_key", "_tie", "_copy", "_text", digest(F.col("_marks")).alias("_print"), hashes(F.col("_marks")).alias("_set"))
     beside = with_next(marked, ["_key", "_tie", "_copy"], ["_text", "_set"], max(blocks, size // BLOCK_BYTES))
     n = F.char_length("_text")
     half = F.call_function("div", n, F.lit(2)).cast("int")
