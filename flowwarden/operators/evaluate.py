@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..fixed_values import DASHBOARD_DEFAULTS, DEFAULT_THRESHOLD, SENSITIVITY_THRESHOLDS, SWEEP_STEPS
 from ..functions.values import ratio
+from ..session import stored
 from .detect import PROB
 
 MICRO = 1_000_000
@@ -129,26 +130,17 @@ def classification_report(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, s
     return c.select(F.inline(F.array(*rows)))
 
 
-def score_cut_points(df: DataFrame, parts: int = 256, score: str = PROB) -> list[float]:
-    """Score bounds that split the distinct scores evenly (at most ``parts`` numbers)."""
-    qs = [i / parts for i in range(1, parts)]
-    return sorted(set(df.select(score).distinct().approxQuantile(score, qs, 0.2 / parts)))
-
-
-def score_totals(df: DataFrame, score: str = PROB, cut_points: list[float] | None = None) -> DataFrame:
+def score_totals(df: DataFrame, score: str = PROB) -> DataFrame:
     """Per distinct score: positives and negatives there (``pos``/``neg``) and above it.
 
-    The window works on one slice of the score range at a time; slice totals give the
-    offsets. Slices end at cut points that split the distinct scores evenly, so none holds
-    many more scores than another; ``score_cut_points`` finds them where none are given.
+    A range-partitioned prefix sum: distinct scores with their counts are dealt out in ranges and
+    written, a window works on one range at a time, and range totals give the offsets.
     """
-    cut_points = score_cut_points(df, score=score) if cut_points is None else cut_points
     counts = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    part = F.size(F.filter(F.lit(cut_points), lambda c: c <= F.col("score"))) if cut_points else F.lit(0)
-    cut = counts.withColumn("_part", part)
+    cut = stored(counts.repartitionByRange("score").withColumn("_part", F.spark_partition_id()))
     sums = cut.groupBy("_part").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)   # one row per slice
+    above = W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)   # one row per range
     offsets = sums.select("_part", *[
         F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_off{c}") for c in ("_p", "_n")])
     inner = W.partitionBy("_part").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
@@ -158,10 +150,10 @@ def score_totals(df: DataFrame, score: str = PROB, cut_points: list[float] | Non
         (F.col("_off_n") + F.coalesce(F.sum("neg").over(inner), F.lit(0))).alias("neg_above"))
 
 
-def roc_curve(df: DataFrame, score: str = PROB, cut_points: list[float] | None = None) -> DataFrame:
+def roc_curve(df: DataFrame, score: str = PROB) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, and the origin with a null threshold."""
     totals = df.agg(F.count_if(F.col("y") == 1).alias("_pos"), F.count_if(F.col("y") == 0).alias("_neg"))
-    points = score_totals(df, score, cut_points).join(F.broadcast(totals), F.lit(True)).select(
+    points = score_totals(df, score).join(F.broadcast(totals), F.lit(True)).select(
         F.col("score").alias("threshold"),
         F.round(ratio(F.col("neg_above") + F.col("neg"), F.col("_neg")), 6).alias("fpr"),
         F.round(ratio(F.col("pos_above") + F.col("pos"), F.col("_pos")), 6).alias("tpr"))
@@ -170,7 +162,7 @@ def roc_curve(df: DataFrame, score: str = PROB, cut_points: list[float] | None =
     return points.unionByName(origin)
 
 
-def roc_auc(df: DataFrame, score: str = PROB, cut_points: list[float] | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, score: str = PROB) -> DataFrame:
     """Probability that an attack outscores a normal flow, ties counted half; null for one class.
 
     Sums of products of counts are kept as decimals: they outgrow 64 bits on large runs.
@@ -178,7 +170,7 @@ def roc_auc(df: DataFrame, score: str = PROB, cut_points: list[float] | None = N
     wide = "decimal(38,1)"
     pairs = F.col("neg").cast("decimal(19,0)") * F.col("pos_above") + (
         F.col("neg").cast("decimal(19,0)") * F.col("pos") * F.lit(0.5).cast("decimal(2,1)"))
-    return score_totals(df, score, cut_points).agg(
+    return score_totals(df, score).agg(
         F.sum(pairs.cast(wide)).alias("_w"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
     ).select(F.round(F.when(
         (F.col("_p") > 0) & (F.col("_n") > 0),

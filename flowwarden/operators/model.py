@@ -144,12 +144,11 @@ def train_package(
         F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias(PROB)).cache()
     package.threshold = E.zero_fn_threshold(test, policy).first()["threshold"]
     metrics = E.eval_metrics(test, package.threshold).first().asDict()
-    cuts = E.score_cut_points(test)
     package.performance = {
         "threshold": package.threshold, "false_negatives": metrics["false_negatives"],
         "false_positives": metrics["false_positives"], "accuracy": metrics["accuracy"],
         "precision": metrics["precision"], "recall": metrics["recall"], "f1_score": metrics["f1"],
-        "roc_auc": E.roc_auc(test, cut_points=cuts).first()["roc_auc"] or 0.0}
+        "roc_auc": E.roc_auc(test).first()["roc_auc"] or 0.0}
     test.unpersist()
     ready.unpersist()
     return package

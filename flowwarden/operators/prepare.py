@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..fixed_values import (
@@ -9,7 +11,6 @@ from ..fixed_values import (
 )
 from ..functions.values import ratio
 from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from .ranking import running_totals
 
 HASH_BUCKETS = 1 << 20
 
@@ -139,40 +140,83 @@ def split_hash(seed: int = SPLIT_SEED, key: str = "flow_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+#: Hash digits that one pass of the split's selection counts by: at most 16^3 counts a class.
+DIGITS = 3
+#: About so many hashes the last step of the selection sorts at most in a class.
+SORTED_HASHES = 1 << 16
+
+
+def split_quotas(sizes: dict, fraction: float) -> dict:
+    """Test rows of each class: ceil(fraction*n) in all, left-over seats to the largest remainders."""
+    n_all = sum(sizes.values())
+    seats = math.ceil(fraction * n_all)
+    shares = {c: seats * n / n_all for c, n in sizes.items()}
+    quotas = {c: math.floor(x) for c, x in shares.items()}
+    by_rest = sorted(sizes, key=lambda c: (quotas[c] - shares[c], c is not None, c))
+    for c in by_rest[:seats - sum(quotas.values())]:
+        quotas[c] += 1
+    return quotas
+
+
+def split_cuts(keyed: DataFrame, fraction: float, label: str, sorted_hashes: int = SORTED_HASHES) -> dict:
+    """The last hash of each class that belongs to the test part, by radix selection on ``_h``.
+
+    A pass counts by the next digits inside the bucket in which each class's quota ends, so the driver gets some
+    thousand counts a class whatever the table; few rows are left for a sort.
+    """
+    def buckets(inside: DataFrame, digits: int) -> dict:
+        found: dict = {}
+        for c, bucket, n in inside.groupBy(label, F.left("_h", F.lit(digits))).agg(F.count(F.lit(1))).collect():
+            found.setdefault(c, []).append((bucket, n))
+        return found
+
+    counts, digits, cuts, edges = buckets(keyed, DIGITS), DIGITS, {}, {}
+    seats = split_quotas({c: sum(n for _, n in found) for c, found in counts.items()}, fraction)
+    open_ = {c for c in counts if c is not None and seats[c]}
+    while open_:
+        for c in open_:
+            for edge, n in sorted(x for x in counts[c] if x[0] is not None):
+                if n >= seats[c]:
+                    break
+                seats[c] -= n
+            else:                                             # fewer keys than seats: all of them
+                cuts[c] = "g"
+                continue
+            if digits >= 32:
+                cuts[c] = edge                                # one key's rows, never parted
+            else:
+                edges[c] = (edge, n)
+        open_ -= set(cuts)
+        inside = F.lit(False)
+        for c in open_:
+            inside |= (F.col(label) == F.lit(c)) & F.col("_h").startswith(edges[c][0])
+        small = {c for c in open_ if edges[c][1] <= sorted_hashes}
+        if small == open_:
+            break
+        digits = min(digits + DIGITS, 32)
+        counts = buckets(keyed.where(inside), digits)
+    if open_:
+        at = F.row_number().over(W.partitionBy(label).orderBy("_h"))
+        wanted = F.lit(False)
+        for c in open_:
+            wanted |= (F.col(label) == F.lit(c)) & (F.col("_at") == seats[c])
+        cuts |= {r[label]: r["_h"] for r in keyed.where(inside).select(label, "_h").withColumn("_at", at).where(wanted).collect()}
+    return cuts
+
+
 def stratified_split(
     df: DataFrame, fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED, key: str = "flow_id", label: str = "y",
 ) -> DataFrame:
-    """Add ``is_test``: exactly ceil(fraction*n) rows, spread over the classes in proportion.
+    """Add ``is_test``: exactly ceil(fraction*n) rows, spread over the few classes in proportion.
 
     Rows are ordered by a seeded hash of the key, so the split does not depend on
-    partitioning. Only counts per (class, hash bucket) are shuffled; the rows of the one
-    bucket per class in which the quota ends are ranked, every other row is decided by its
-    bucket alone.
+    partitioning. The hash in which each class's quota ends is selected beforehand from counts by its digits;
+    the result itself is one comparison in the row and moves nothing. Rows that share a
+    key are not parted, so copies may exceed the quota; rows without a key or label are never test rows.
     """
-    keyed = df.withColumn("_h", split_hash(seed, key)).withColumn(
-        "_b", F.conv(F.substring("_h", 1, 5), 16, 10).cast("bigint"))
-    counts = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("n"))
-    # per-class quotas: floors first, the left-over seats to the largest remainders; one row per class
-    everyone = W.partitionBy()
-    sizes = counts.groupBy(label).agg(F.sum("n").alias("n_class")).withColumn("n_all", F.sum("n_class").over(everyone))
-    seats = F.ceil(F.lit(fraction) * F.col("n_all"))
-    share = seats * F.col("n_class") / F.col("n_all").cast("double")
-    quotas = (
-        sizes.withColumn("_floor", F.floor(share)).withColumn("_rest", share - F.col("_floor"))
-        .withColumn("_seat", F.row_number().over(W.orderBy(F.desc("_rest"), label)))
-        .withColumn("_open", seats - F.sum("_floor").over(everyone))
-        .select(label, (F.col("_floor") + (F.col("_seat") <= F.col("_open")).cast("bigint")).alias("quota"))
-    )
-    totals = running_totals(counts, "_b", ["n"], by=[label])
-    edge = (
-        totals.join(F.broadcast(quotas), label)
-        .where((F.col("n_before") < F.col("quota")) & (F.col("n_upto") >= F.col("quota")))
-        .select(F.col(label).alias("_c"), F.col("_b").alias("_edge"),
-                (F.col("quota") - F.col("n_before")).alias("_seats"))
-    )
-    placed = keyed.join(F.broadcast(edge), F.col(label) == F.col("_c"), "left")
-    on_edge = F.coalesce(F.col("_b") == F.col("_edge"), F.lit(False))
-    decided = placed.where(~on_edge).withColumn("is_test", F.coalesce(F.col("_b") < F.col("_edge"), F.lit(False)))
-    rank = F.row_number().over(W.partitionBy(label).orderBy("_h", key))
-    ranked = placed.where(on_edge).withColumn("is_test", rank <= F.col("_seats"))
-    return decided.unionByName(ranked).drop("_h", "_b", "_c", "_edge", "_seats")
+    keyed = df.withColumn("_h", split_hash(seed, key))
+    cuts = split_cuts(keyed.select(label, "_h"), fraction, label)
+    is_test = F.lit(False)
+    for c, cut in sorted(cuts.items()):
+        is_test |= (F.col(label) == F.lit(c)) & (F.col("_h") <= cut)
+    return keyed.withColumn("is_test", F.coalesce(is_test, F.lit(False))).drop("_h")

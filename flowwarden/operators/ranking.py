@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import stored
+
 FANOUT = 1024
 
 
@@ -68,10 +70,11 @@ def exact_quantiles(
     ``percentile`` keeps every distinct value of a group in one task. Here mergeable sketches
     narrow each wanted rank down, as often as the largest group needs, until a bracket
     holds some ``limit`` rows; the last pass counts what lies outside and sorts the distinct
-    values inside. The groups must be few (features x classes).
+    values inside. The groups must be few (features x classes). Groups and values are
+    written once, so that no pass repeats the work before them.
     """
     names = list(quantiles)
-    data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    data = stored(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")))
     groups = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     wanted = F.array(*[F.struct(F.lit(n).alias("_q"), F.lit(quantiles[n]).alias("_p")) for n in names])
     targets = groups.where("_n > 0").select(*by, "_n", "_lo", "_hi", F.inline(wanted)).select(

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "flowwarden") -> SparkSession:
@@ -44,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/flowwarden-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back: later passes start from the files."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_functions(module_name: str) -> None:
     """Send a module's functions to the Python workers by value: executors need no installed copy."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -46,7 +47,6 @@ def test_auc_with_ties(spark):
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     df = _scores(spark, rows)
     assert E.roc_auc(df).first()[0] == pytest.approx(want, abs=1e-6)
-    assert E.roc_auc(df, cut_points=[0.1, 0.5]).first()[0] == pytest.approx(want, abs=1e-6)
 
 
 def test_auc_full_precision_scores(spark):
@@ -59,9 +59,16 @@ def test_auc_full_precision_scores(spark):
     rank[order] = np.arange(1, 2001)
     n1 = y.sum()
     want = (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (2000 - n1))
-    cuts = E.score_cut_points(df, 16)
-    assert 8 <= len(cuts) <= 15
-    assert E.roc_auc(df, cut_points=cuts).first()[0] == pytest.approx(want, abs=1e-6)
+    assert E.roc_auc(df).first()[0] == pytest.approx(want, abs=1e-6)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")                       # as with many scores: several ranges
+    try:
+        totals = E.score_totals(df).collect()
+        assert E.roc_auc(df).first()[0] == pytest.approx(want, abs=1e-6)
+    finally:
+        spark.conf.unset(coalesce)
+    for r in totals[::50]:
+        assert (r["pos_above"], r["neg_above"]) == (int((p[y == 1] > r["score"]).sum()), int((p[y == 0] > r["score"]).sum()))
 
 
 def test_one_class(spark):
@@ -98,6 +105,7 @@ def test_dashboard_defaults(spark):
 def test_split_is_exact_and_stable(spark, n_pos, n_neg):
     rows = [(i, int(i < n_pos)) for i in range(n_pos + n_neg)]
     df = spark.createDataFrame(rows, "flow_id long, y int")
+    assert "Exchange" not in P.stratified_split(df)._jdf.queryExecution().executedPlan().toString()
     first = {r["flow_id"]: r["is_test"] for r in P.stratified_split(df.repartition(3)).collect()}
     again = {r["flow_id"]: r["is_test"] for r in P.stratified_split(df.coalesce(1)).collect()}
     assert first == again and len(first) == len(rows)
@@ -107,6 +115,24 @@ def test_split_is_exact_and_stable(spark, n_pos, n_neg):
     assert abs(pos - n_test * n_pos / len(rows)) < 1
 
 
+@pytest.mark.parametrize("sorted_hashes", [1, 40, 1 << 16])
+def test_split_selects_digit_by_digit(spark, sorted_hashes):
+    rows = [(i, i % 3) for i in range(9000)]
+    keyed = spark.createDataFrame(rows, "flow_id long, y int").withColumn("_h", P.split_hash()).select("y", "_h")
+    cuts = P.split_cuts(keyed, 0.3, "y", sorted_hashes)
+    hashes = [(y, hashlib.md5(f"42:{i}".encode()).hexdigest()) for i, y in rows]
+    assert cuts == {c: sorted(h for y, h in hashes if y == c)[899] for c in range(3)}
+
+
+def test_split_of_odd_tables(spark):
+    schema = "flow_id long, y int"
+    assert P.stratified_split(spark.createDataFrame([], schema)).count() == 0
+    copies = P.stratified_split(spark.createDataFrame([(7, 1)] * 50 + [(i, 0) for i in range(50)], schema), 0.2).collect()
+    assert len({r["is_test"] for r in copies if r["flow_id"] == 7 and r["y"] == 1}) == 1
+    nulls = P.stratified_split(spark.createDataFrame([(None, 1)] * 10 + [(i, None) for i in range(10)] + [(99, 1)], schema), 0.5).collect()
+    assert [r["flow_id"] for r in nulls if r["is_test"]] == [99]
+
+
 def test_scaler_constant_column(spark):
     df = spark.createDataFrame([(1, 3.0, 1.0), (2, 3.0, 2.0), (3, 3.0, 6.0)], "flow_id long, a double, b double")
     scaler = P.collect_scaler(df, ["a", "b"])
