@@ -14,6 +14,7 @@ from ..session import shared_folder
 from . import evaluate as E
 from . import prepare as P
 from .detect import PROB
+from .forest import forest_of
 from .tree_shap import Nodes, expected_value, shap_column
 
 METADATA_SCHEMA = (
@@ -74,11 +75,7 @@ class ModelPackage:
         """The trees, values scaled so that the sum over the leaves that a row reaches is the log-odds."""
         if self.tree_rows is None:
             raise ValueError("trees are read from the saved model: save or load the package first")
-        trees: dict[int, Nodes] = {}
-        for r in self.tree_rows:
-            trees.setdefault(r["tree_id"], {})[r["node_id"]] = (
-                r["feature_index"], r["threshold"], r["left_child"], r["right_child"], 2.0 * r["weight"] * r["prediction"], r["cover"])
-        return [trees[t] for t in sorted(trees)]
+        return forest_of(self.tree_rows)
 
     @property
     def base_value(self) -> float:
@@ -178,7 +175,7 @@ def model_trees(spark: SparkSession, path: str) -> DataFrame:
         F.col("leftChild").alias("left_child"), F.col("rightChild").alias("right_child"),
         F.col("split.featureIndex").alias("feature_index"),
         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-        "prediction", F.get("impurityStats", F.lit(0)).alias("cover"), F.col("weights").alias("weight"))
+        "prediction", F.get("impurityStats", F.lit(0)).alias("cover"), "gain", F.col("weights").alias("weight"))
 
 
 def model_status(metadata: DataFrame) -> DataFrame:

@@ -292,7 +292,60 @@ verified AS (
                ELSE previous_hash = before AND block_index = index_before + 1 END AS fine FROM checked)
   GROUP BY segment)"""
 
+_MODEL_FEATURES = _NUM + [f"{c}_{v}" for c, values in _TRAINED for v in values]
+_LARGEST = [2000.0, 200000.0, 5000.0, 400.0, 60.0, 1.0, 8.0, 256.0]          # thresholds of numeric features; fixed values
+
+
+def _walk(trees: int, depth: int) -> str:
+    """Rows of all flows and trees: w0 at the roots, w1 one level down and so on."""
+    split = """CASE WHEN (t + 3 * {level}) % 21 < 8 THEN largest[(t + 3 * {level}) % 21 + 1] * ((t * 13 + node * 7) % 32 + 0.5e0) / 32 ELSE 0.5e0 END"""
+    levels = [f"w{n + 1} AS (SELECT * REPLACE (2 * node + CASE WHEN x[(t + 3 * {n}) % 21 + 1] <= {split.format(level=n)} THEN 1 ELSE 2 END AS node) FROM w{n})"
+              for n in range(depth)]
+    x = ", ".join([f'CAST("{c}" AS DOUBLE)' for c in _NUM] + [f"CASE WHEN {c} = '{v}' THEN 1.0e0 ELSE 0.0e0 END" for c, values in _TRAINED for v in values])
+    largest = ", ".join(f"{b}e0" for b in _LARGEST)
+    return f"""{_BASE}, w0 AS (SELECT flow_id, y, [{x}] AS x, [{largest}] AS largest, CAST(t AS BIGINT) AS t, CAST(0 AS BIGINT) AS node
+        FROM labelled, range({trees}) r(t)), """ + ", ".join(levels)
+
+
+_LEAVES = "SELECT flow_id, y, t, (t * 31 + node * 17) % 201 - 100 AS v FROM w8"
+_REACHED = "reached AS (" + " UNION ALL ".join(
+    f"SELECT {n} AS level, t, node, count(*) AS n, sum(y) AS ones FROM w{n} GROUP BY t, node" for n in range(9)) + ")"
+_GAINS = f"""{_walk(500, 8)}, {_REACHED},
+    held AS (SELECT *, ones - ones * ones / CAST(n AS DOUBLE) AS spread FROM reached),
+    below AS (SELECT t, (node - 1) // 2 AS node, sum(spread) AS spread FROM held WHERE level > 0 GROUP BY 1, 2),
+    gains AS (SELECT (h.t + 3 * level) % 21 AS f, sum(h.spread - b.spread) AS gain FROM held h JOIN below b ON b.t = h.t AND b.node = h.node GROUP BY 1),
+    shares AS (SELECT [{", ".join(f"'{f}'" for f in _MODEL_FEATURES)}][r.f + 1] AS feature, coalesce(gain, 0) / sum(gain) OVER () AS importance
+      FROM range(21) r(f) LEFT JOIN gains g ON g.f = r.f)"""
+
 SQL = {
+    "forest_scores": f"""{_walk(500, 8)}, leaves AS ({_LEAVES})
+        SELECT flow_id, any_value(y) AS y, round(1 / (1 + exp(-sum(v) / 10000.0e0)), 6) AS intrusion_probability FROM leaves GROUP BY flow_id""",
+    "forest_loss_curve": f"""{_walk(500, 8)}, leaves AS ({_LEAVES}),
+        upto AS (SELECT t, y, sum(v) OVER (PARTITION BY flow_id ORDER BY t) / 10000.0e0 AS margin FROM leaves)
+        SELECT CAST(t + 1 AS INTEGER) AS iteration, round(avg(ln(1 + exp(CASE WHEN y = 1 THEN -margin ELSE margin END))), 6) AS loss FROM upto GROUP BY t""",
+    "forest_importance": f"{_GAINS} SELECT feature, round(importance, 6) AS importance FROM shares",
+    "forest_top_features": f"{_GAINS} SELECT feature, round(importance, 6) AS importance FROM shares ORDER BY shares.importance DESC, feature LIMIT 15",
+    "forest_shap": f"""{_walk(40, 3)},
+        way AS (SELECT w1.flow_id, w1.t, w1.node AS n1, w2.node AS n2, w3.node AS n3, w1.x, w1.largest
+          FROM w1 JOIN w2 ON w2.flow_id = w1.flow_id AND w2.t = w1.t JOIN w3 ON w3.flow_id = w1.flow_id AND w3.t = w1.t),
+        -- a leaf 7..14 and whether the row goes its way at each of the three decisions on its path
+        leaf AS (SELECT flow_id, t, leaf, (t * 31 + leaf * 17) % 201 - 100 AS v, (leaf - 1) // 2 AS p2, ((leaf - 1) // 2 - 1) // 2 AS p1, x, largest
+          FROM way, range(7, 15) r(leaf)),
+        passed AS (SELECT flow_id, t, v,
+            CASE WHEN (x[t % 21 + 1] <= CASE WHEN t % 21 < 8 THEN largest[t % 21 + 1] * ((t * 13) % 32 + 0.5e0) / 32 ELSE 0.5e0 END) = (p1 = 1) THEN 1.0e0 ELSE 0.0e0 END AS o0,
+            CASE WHEN (x[(t + 3) % 21 + 1] <= CASE WHEN (t + 3) % 21 < 8 THEN largest[(t + 3) % 21 + 1] * ((t * 13 + p1 * 7) % 32 + 0.5e0) / 32 ELSE 0.5e0 END)
+              = (p2 % 2 = 1) THEN 1.0e0 ELSE 0.0e0 END AS o1,
+            CASE WHEN (x[(t + 6) % 21 + 1] <= CASE WHEN (t + 6) % 21 < 8 THEN largest[(t + 6) % 21 + 1] * ((t * 13 + p2 * 7) % 32 + 0.5e0) / 32 ELSE 0.5e0 END)
+              = (leaf % 2 = 1) THEN 1.0e0 ELSE 0.0e0 END AS o2,
+            CASE WHEN p1 = 1 THEN 0.625e0 ELSE 0.375e0 END AS z0, CASE WHEN p2 % 2 = 1 THEN 0.625e0 ELSE 0.375e0 END AS z1,
+            CASE WHEN leaf % 2 = 1 THEN 0.625e0 ELSE 0.375e0 END AS z2 FROM leaf),
+        parts AS (
+          SELECT flow_id, t % 21 AS f, v * (o0 - z0) * (o1*o2/3 + (o1*z2 + z1*o2)/6 + z1*z2/3) AS s FROM passed
+          UNION ALL SELECT flow_id, (t + 3) % 21, v * (o1 - z1) * (o0*o2/3 + (o0*z2 + z0*o2)/6 + z0*z2/3) FROM passed
+          UNION ALL SELECT flow_id, (t + 6) % 21, v * (o2 - z2) * (o0*o1/3 + (o0*z1 + z0*o1)/6 + z0*z1/3) FROM passed),
+        base_ AS (SELECT round(sum(v * z0 * z1 * z2) / 10000.0e0, 6) AS base_value FROM passed WHERE flow_id = (SELECT min(flow_id) FROM flows))
+        SELECT flow_id, [{", ".join(f"'{f}'" for f in _MODEL_FEATURES)}][f + 1] AS feature,
+          floor(sum(s) / 10000.0e0 * 1e6 + 0.51e0) / 1e6 AS shap_value, base_value FROM parts, base_ GROUP BY flow_id, f, base_value""",
     "scan_flows": f"{_BASE} SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM flows",
     "input_profile": f"{_BASE} SELECT count(*) AS n_rows, CAST(16 AS BIGINT) AS n_columns FROM flows",
     "csv_round_trip": f"{_BASE} SELECT * EXCLUDE (ts) FROM flows",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..fixed_values import DEFAULT_THRESHOLD
+from ..fixed_values import BOOSTING, DEFAULT_THRESHOLD
 from ..functions.category import feature_category
+from ..functions.frozen_forest import frozen_nodes
 from ..functions.scorecard import DEFAULT_SCORECARD as CARD
 from ..functions.severity import severity_table
 from ..functions.text import safe_name, short_hash, strip_emoji
@@ -14,8 +15,10 @@ from ..operators import chain as C
 from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import explain as X
+from ..operators import forest as FO
 from ..operators import model as M
 from ..operators import prepare as P
+from ..operators.tree_shap import expected_value, shap_column
 from ..session import shared_folder
 from ..sources import artifacts as A
 from ..sources import flows as S
@@ -730,6 +733,59 @@ def shap_trees_importance(spark, sf):
     return X.feature_importance(m.explain(labelled(spark, sf)), m.features, m.native_importance())
 
 
+# --- a frozen forest of the published size, which SQL can state ---------------
+
+#: Features in model order, unscaled.
+ENCODER = M.ModelPackage(None, NUMERIC, FROZEN_VOCAB, {c: (0.0, 1.0) for c in NUMERIC})
+
+
+def forest_table(spark, trees=BOOSTING["n_estimators"], depth=BOOSTING["max_depth"]) -> DataFrame:
+    return frozen_nodes(spark, ENCODER.features, trees, depth)
+
+
+@query
+def forest_scores(spark, sf):
+    """Every flow scored by 500 trees of depth 8."""
+    df = ENCODER.with_features(labelled(spark, sf))
+    p = FO.probability(FO.margin_column(spark, FO.forest_of(forest_table(spark).collect())))
+    return df.select("flow_id", "y", F.round(p, 6).alias(D.PROB))
+
+
+@query
+def forest_loss_curve(spark, sf):
+    """Log loss over all flows after each of 500 rounds."""
+    df = ENCODER.with_features(labelled(spark, sf))
+    return FO.loss_by_round(df, FO.forest_of(forest_table(spark).collect())).withColumn("loss", F.round("loss", 6))
+
+
+def _forest_importance(spark, sf) -> DataFrame:
+    measured = FO.with_statistics(forest_table(spark), ENCODER.with_features(labelled(spark, sf)))
+    return FO.gain_importance(measured, ENCODER.features)
+
+
+@query
+def forest_importance(spark, sf):
+    """Features by gain, with rows and gains of all nodes of 500 trees measured on the flows."""
+    return rounded(_forest_importance(spark, sf))
+
+
+@query
+def forest_top_features(spark, sf):
+    return rounded(X.top_of(_forest_importance(spark, sf), "importance", 15))
+
+
+@query
+def forest_shap(spark, sf):
+    """Attributions of 40 trees of depth 3, the depth whose closed form SQL can state; one row for each flow and feature."""
+    forest = FO.forest_of(forest_table(spark, 40, 3).collect())
+    df = ENCODER.with_features(labelled(spark, sf)).withColumn("shap", shap_column(spark, forest))
+    pairs = F.arrays_zip(F.array(*[F.lit(f) for f in ENCODER.features]).alias("feature"), F.col("shap"))
+    # values are multiples of about 3e-8 and may lie on the edge of a rounding: the edge is moved off them
+    return df.select("flow_id", F.lit(expected_value(forest)).alias("base"), F.explode(pairs).alias("p")).select(
+        "flow_id", F.col("p.feature").alias("feature"), (F.floor(F.col("p.shap") * 1e6 + 0.51) / 1e6).alias("shap_value"),
+        F.round("base", 6).alias("base_value"))
+
+
 # --- streaming --------------------------------------------------------------
 
 def _finished(run):
