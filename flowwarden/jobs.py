@@ -71,7 +71,7 @@ def detect(spark, source: str, model_path: str, out: str, run_stamp: str, export
         flows = P.label_flows(flows)
     scored = spark.read.parquet(A.write_table(D.detect(flows, package.threshold, package), shared_folder(spark)))
     # the published result: the columns of the input and five more
-    A.write_table(D.scored_output(scored).drop(*{"y"}.difference(given)), f"{out}/{PREDICTIONS_PREFIX}{run_stamp}", fmt="csv")
+    A.record(D.scored_output(scored).drop(*{"y"}.difference(given)), out, PREDICTIONS_PREFIX, run_stamp, "data", "csv")
     # the log goes on from the runs before: a small table keeps the last block of each segment after every run
     before = last_heads(spark, out)
     log_path, segments_path = f"{out}/threat_log/run={run_stamp}", f"{out}/threat_log_segments/run={run_stamp}"
@@ -99,14 +99,13 @@ def explain(spark, source: str, model_path: str, out: str, run_stamp: str) -> di
     importance = X.feature_importance(df, features, package.native_importance())
     top = X.top_features(importance, 15)
     numeric = [c for c in package.numeric if c in columns]
-    A.write_table(X.xai_export(df, features, package.threshold, columns, top),
-                  f"{out}/{EXPLANATION_PREFIX}{run_stamp}")
+    A.record(X.xai_export(df, features, package.threshold, columns, top), out, EXPLANATION_PREFIX, run_stamp, "data")
     analysis = X.network_feature_analysis(df, numeric)
     exports = {
         "feature_importance_complete": X.importance_rank(importance),
         "network_feature_analysis": analysis, "category_importance_summary": X.category_summary(importance)}
     for name, table in exports.items():
-        A.write_table(table, f"{out}/{name}_{run_stamp}", fmt="csv")
+        A.record(table, out, f"{name}_", run_stamp, "data", "csv")
     return {
         **exports, "intrusion_importance": X.intrusion_importance(df, features),
         "intrusion_stats": X.intrusion_feature_stats(df, features), "top_alerts": X.top_alerts(df, features),

@@ -11,6 +11,7 @@ from ..fixed_values import (
 )
 from ..functions.values import ratio
 from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from ..session import stored
 
 HASH_BUCKETS = 1 << 20
 
@@ -70,14 +71,56 @@ def category_vocab(df: DataFrame, categorical: list[str] = CATEGORICAL_FEATURES)
 
 
 def collect_vocab(df: DataFrame, categorical: list[str] = CATEGORICAL_FEATURES, limit: int = 5000) -> dict:
-    """The vocabulary as plan-time lists. Each entry becomes a column, so a text
-    column that is no category is refused rather than cut short."""
+    """The vocabulary as plan-time lists. Each entry becomes a column, so a text column of more values than a table
+    has columns is refused rather than cut short; ``vocab_index`` and ``one_hot_sparse`` encode any number."""
     rows = category_vocab(df, categorical).limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} category values; these columns are no categories")
+        raise ValueError(f"more than {limit} category values; encode them by vocab_index and one_hot_sparse")
     return {c: sorted(r["value"] for r in rows if r["column"] == c) for c in categorical}
 
 
+def vocab_index(df: DataFrame, categorical: list[str] = CATEGORICAL_FEATURES, first: int = 0) -> DataFrame:
+    """Distinct values of each text column with their place in the encoded vector, from ``first`` on.
+
+    Columns in the given order, values sorted, as ``encoded_names`` has them. Values are sorted in ranges and never
+    gathered: the driver gets one count for each range.
+    """
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(c).alias("value")) for i, c in enumerate(categorical)
+    ])).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
+    ranges = stored(pairs.orderBy("place", "value").withColumns({
+        "part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = sorted((r["part"], r["n"]) for r in ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, rows = first, []
+    for part, n in sizes:
+        rows.append((part, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(rows, "part int, before bigint")
+    return ranges.join(F.broadcast(offsets), "part").select(
+        "column", "value", (F.col("before") + F.col("at")).cast("int").alias("index"))
+
+
+def one_hot_sparse(df: DataFrame, index: DataFrame, numeric: list[str], keep: tuple = ("flow_id",)) -> DataFrame:
+    """``indices`` and ``values`` of each row's encoded vector: all numeric columns, then 1 at each known category value.
+
+    ``index`` is that of ``vocab_index`` with ``first=len(numeric)``. It stays a table: Spark broadcasts it while it is
+    small and else joins by value, splitting common values where adaptive execution is on. Values outside the
+    vocabulary, and nulls, have no place; a null number stays null.
+    """
+    columns = sorted({r["column"] for r in index.select("column").distinct().collect()}, key=df.columns.index)
+    found, places = df, []
+    for c in columns:
+        mine = index.where(F.col("column") == c).select(F.col("value").alias(c), F.col("index").alias(f"_at_{c}"))
+        found = found.join(mine, c, "left")
+        places.append(F.col(f"_at_{c}"))
+    known = F.sort_array(F.array_compact(F.array(*places))) if places else F.array().cast("array<int>")
+    numbers = F.array(*[F.col(f"`{c}`").cast("double") for c in numeric])
+    return found.select(
+        *[c for c in keep if c in df.columns],
+        F.concat(F.array(*[F.lit(i) for i in range(len(numeric))]), known).alias("indices"),
+        F.concat(numbers, F.transform(known, lambda _: F.lit(1.0))).alias("values"))
+
+
 def encoded_names(vocab: dict, numeric: list[str]) -> list[str]:
     return list(numeric) + [f"{c}_{v}" for c, values in vocab.items() for v in values]
 

@@ -292,6 +292,9 @@ verified AS (
                ELSE previous_hash = before AND block_index = index_before + 1 END AS fine FROM checked)
   GROUP BY segment)"""
 
+_INDEXED = f"""{_BASE}, places AS (SELECT *, CAST(7 + row_number() OVER (ORDER BY place, value) AS INTEGER) AS index
+    FROM (SELECT DISTINCT 0 AS place, 'protocol_type' AS "column", protocol_type AS value FROM flows
+          UNION ALL SELECT DISTINCT 1, 'service', service FROM flows UNION ALL SELECT DISTINCT 2, 'flag', flag FROM flows) WHERE value IS NOT NULL)"""
 _MODEL_FEATURES = _NUM + [f"{c}_{v}" for c, values in _TRAINED for v in values]
 _LARGEST = [2000.0, 200000.0, 5000.0, 400.0, 60.0, 1.0, 8.0, 256.0]          # thresholds of numeric features; fixed values
 
@@ -356,6 +359,13 @@ SQL = {
         count(DISTINCT segment) AS segments, true AS is_valid FROM log""",
     "log_read": f"""{_WITH_CHAIN} SELECT segment, block_index, "timestamp", sample_index, severity_level, severity_name, action_summary,
         array_to_string(immediate, ' ; ') AS immediate_actions, CAST(src_bytes AS DOUBLE) AS src_bytes, previous_hash, hash FROM log""",
+    "log_read_documents": f"""{_WITH_CHAIN} SELECT segment, block_index, "timestamp", sample_index, severity_level, severity_name, action_summary,
+        array_to_string(immediate, ' ; ') AS immediate_actions, CAST(src_bytes AS DOUBLE) AS src_bytes, previous_hash, hash FROM log""",
+    "output_catalog": f"""{_WITH_CHAIN}, outputs AS (SELECT 'data' AS kind, count(*) AS n FROM flows
+          UNION ALL SELECT 'data', count(*) FROM predicted WHERE predicted_class = 'intrusion' UNION ALL SELECT 'blockchain', count(*) FROM log)
+        SELECT kind, count(*) AS outputs, CAST(sum(n) AS BIGINT) AS n_rows, '20240201_000000' AS newest_run FROM outputs GROUP BY kind""",
+    "newest_output": f"""{_BASE} SELECT 'predictions_with_actions_' AS prefix, '20240201_000000' AS run, count(*) AS n_rows FROM predicted
+        WHERE predicted_class = 'intrusion'""",
     "log_documents_info": f"""{_WITH_CHAIN} SELECT segment, count(*) AS total_blocks, count(*) - 1 AS total_intrusions,
         '2024-02-01 00:00:00' AS export_timestamp, true AS is_valid FROM log GROUP BY segment""",
     "clean_flows": f"""{_BASE} SELECT DISTINCT * EXCLUDE (difficulty) FROM (
@@ -369,6 +379,12 @@ SQL = {
     "category_vocab": f"""{_BASE} SELECT "column", value, CAST(row_number() OVER (PARTITION BY "column" ORDER BY value) AS INTEGER) AS position
         FROM (SELECT DISTINCT 'protocol_type' AS "column", protocol_type AS value FROM flows
               UNION ALL SELECT DISTINCT 'service', service FROM flows UNION ALL SELECT DISTINCT 'flag', flag FROM flows)""",
+    "vocab_index": f"""{_INDEXED} SELECT "column", value, index FROM places""",
+    "one_hot_sparse": f"""{_INDEXED}, mine AS (SELECT flow_id, string_agg(CAST(index AS VARCHAR), ',' ORDER BY index) AS own, count(*) AS n
+          FROM flows f JOIN places p ON (p."column" = 'protocol_type' AND p.value = f.protocol_type) OR (p."column" = 'service' AND p.value = f.service)
+            OR (p."column" = 'flag' AND p.value = f.flag) GROUP BY flow_id)
+        SELECT flow_id, '0,1,2,3,4,5,6,7' || coalesce(',' || own, '') AS indices, {_QNUM},
+          {" + ".join(f'CAST("{c}" AS DOUBLE)' for c in _NUM)} + coalesce(n, 0) AS total FROM flows LEFT JOIN mine USING (flow_id)""",
     "one_hot": f"{_BASE} SELECT flow_id, {_QNUM}, {_dummies(_SEEN)} FROM flows",
     "one_hot_aligned": f"{_BASE} SELECT flow_id, {_QNUM}, {_dummies(_TRAINED)} FROM flows",
     "stratified_split": f"{_WITH_SPLIT} SELECT flow_id, y, is_test FROM split",

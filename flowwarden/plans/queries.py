@@ -132,6 +132,16 @@ def log_read(spark, sf):
         F.col("network_features.src_bytes").alias("src_bytes"), "previous_hash", "hash")
 
 
+@query
+def log_read_documents(spark, sf):
+    """The log kept as one JSON document per file, its files split between blocks, read back and flattened."""
+    path = L.export_documents(stored_log(spark, sf), shared_folder(spark), RUN, EXPORTED_AT)
+    return L.read_documents(spark, path).select(
+        "segment", "block_index", "timestamp", "sample_index", "severity_level", "severity_name", "action_summary",
+        joined("immediate_actions").alias("immediate_actions"),
+        F.col("network_features.src_bytes").alias("src_bytes"), "previous_hash", "hash")
+
+
 @query
 def log_documents_info(spark, sf):
     """Header of every exported log document."""
@@ -160,6 +170,27 @@ def latest_run(spark, sf):
     return A.latest_run(files, "predictions_with_actions_").select("run_stamp", "files", "bytes")
 
 
+def _recorded_runs(spark, sf) -> str:
+    """Two runs' outputs with their manifest: all predictions, then those of intrusions and the log."""
+    folder = shared_folder(spark)
+    out = D.scored_output(graded(spark, sf)).drop("ts", "y")
+    A.record(out, folder, "predictions_with_actions_", "20240131_235959", "data", "csv")
+    A.record(out.where(F.col("predicted_class") == "intrusion"), folder, "predictions_with_actions_", RUN, "data", "csv")
+    A.record(stored_log(spark, sf), folder, "threat_log_", RUN, "blockchain")
+    return folder
+
+
+@query
+def output_catalog(spark, sf):
+    """Outputs and their rows by kind, from the manifest alone."""
+    return A.output_catalog(A.manifest(spark, _recorded_runs(spark, sf)))
+
+
+@query
+def newest_output(spark, sf):
+    return A.newest_output(A.manifest(spark, _recorded_runs(spark, sf)), "predictions_with_actions_").select("prefix", "run", "n_rows")
+
+
 # --- cleaning, encoding, scaling, splitting ---------------------------------
 
 @query
@@ -198,6 +229,20 @@ def one_hot_aligned(spark, sf):
     return P.one_hot(flows(spark, sf), FROZEN_VOCAB, NUMERIC)
 
 
+@query
+def one_hot_sparse(spark, sf):
+    """Encoded vectors as places and values; the vocabulary stays a table."""
+    f = flows(spark, sf)
+    return P.one_hot_sparse(f, P.vocab_index(f, first=len(NUMERIC)), NUMERIC).select(
+        "flow_id", joined(F.col("indices").cast("array<string>"), ",").alias("indices"),
+        *[F.col("values")[i].alias(c) for i, c in enumerate(NUMERIC)], F.aggregate("values", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@query
+def vocab_index(spark, sf):
+    return P.vocab_index(flows(spark, sf), first=len(NUMERIC))
+
+
 @query
 def stratified_split(spark, sf):
     return P.stratified_split(labelled(spark, sf)).select("flow_id", "y", "is_test")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..fixed_values import ARTIFACT_KINDS, RUN_STAMP
 
@@ -22,6 +22,37 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return path
 
 
+MANIFEST_SCHEMA = "prefix string, run string, kind string, format string, path string, n_rows bigint"
+
+
+def record(df: DataFrame, folder: str, prefix: str, run: str, kind: str, fmt: str = "parquet") -> str:
+    """Write a table as an output of a run and add its row to the folder's manifest.
+
+    Rows are counted by the job that writes them. The manifest's row comes last: an output without one is unfinished.
+    """
+    counted = Observation()
+    path = write_table(df.observe(counted, F.count(F.lit(1)).alias("n")), f"{folder}/{prefix}{run}", fmt=fmt)
+    row = [(prefix, run, kind, fmt, path, counted.get["n"])]
+    df.sparkSession.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return path
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Finished outputs below a folder, a row each; nothing is listed but the manifest itself."""
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/manifest")
+
+
+def output_catalog(outputs: DataFrame) -> DataFrame:
+    """Outputs, their rows and the newest run by kind."""
+    return outputs.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("outputs"), F.sum("n_rows").alias("n_rows"), F.max("run").alias("newest_run"))
+
+
+def newest_output(outputs: DataFrame, prefix: str) -> DataFrame:
+    """The output of a prefix's newest run; no row where there is none."""
+    return outputs.where(F.col("prefix") == prefix).orderBy(F.desc("run")).limit(1)
+
+
 def list_artifacts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Path, size and time of the files below a folder; contents are not read."""
     return (

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..fixed_values import GENESIS_MESSAGE, GENESIS_SYSTEM, LOG_PREFIX
-from ..operators.chain import log_summary, timed
+from ..operators.chain import log_summary, timed, verify_chain
 from ..schema import LOG_BLOCK_SCHEMA, LOG_DATA_SCHEMA, LOG_DOCUMENT_SCHEMA
 from ..session import ship_functions
 
@@ -52,59 +53,106 @@ def export_log(log: DataFrame, folder: str, run_stamp: str, exported_at: str) ->
 
     Validity in the header is that of the segment as verified at export.
     """
-    from ..operators.chain import verify_chain
+    path = f"{folder}/{LOG_PREFIX}{run_stamp}"
+    _verified_documents(log, exported_at).write.mode("errorifexists").json(path)
+    return path
+
 
+def _verified_documents(log: DataFrame, exported_at: str) -> DataFrame:
     docs = log_documents(log, exported_at).join(verify_chain(log).select("segment", "is_valid"), "segment")
     info = F.struct(
         "info.total_blocks", "info.total_intrusions", "info.export_timestamp", F.col("is_valid").alias("is_valid"))
-    path = f"{folder}/{LOG_PREFIX}{run_stamp}"
-    docs.select("segment", info.alias("blockchain_info"), "blocks").write.mode("errorifexists").json(path)
-    return path
+    return docs.select("segment", info.alias("blockchain_info"), "blocks")
 
 
 def export_info(log: DataFrame) -> DataFrame:
     return log_summary(log)
 
 
-def read_log_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Exported documents; ``multi_line`` for the one-document-per-file layout."""
-    schema = LOG_DOCUMENT_SCHEMA if multi_line else T.StructType(LOG_DOCUMENT_SCHEMA.fields + [T.StructField("segment", T.LongType())])
-    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+def read_log_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Exported documents, one in each line."""
+    schema = T.StructType(LOG_DOCUMENT_SCHEMA.fields + [T.StructField("segment", T.LongType())])
+    return spark.read.schema(schema).json(path)
 
 
-def read_log(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Exported blocks as a log table again; each document is a segment of its own."""
-    docs = read_log_documents(spark, path, multi_line)
-    if multi_line:
-        docs = docs.withColumn("segment", F.xxhash64(F.input_file_name()))
-    return docs.select("segment", F.explode("blocks").alias("b")).select(
-        "segment", F.col("b.index").cast("int").alias("block_index"), F.col("b.timestamp").alias("timestamp"),
+def _log_columns() -> list:
+    """Columns of the log from a block ``b``."""
+    return [
+        F.col("b.index").cast("int").alias("block_index"), F.col("b.timestamp").alias("timestamp"),
         "b.data.sample_index", "b.data.intrusion_probability",
         F.col("b.data.severity_level").cast("int").alias("severity_level"), "b.data.severity_name",
         "b.data.priority", "b.data.action_summary", "b.data.immediate_actions", "b.data.monitoring_actions",
-        "b.data.network_features", "b.previous_hash", "b.hash")
+        "b.data.network_features", "b.previous_hash", "b.hash"]
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Exported blocks as a log table again; each document is a segment of its own."""
+    return read_log_documents(spark, path).select("segment", F.explode("blocks").alias("b")).select("segment", *_log_columns())
 
 
 @F.pandas_udf(T.StringType())
 def _document_hash(blocks: pd.Series) -> pd.Series:
     """SHA-256 over the sorted-key JSON text of a block's four hashed fields."""
     def one(text):
-        b = json.loads(text)
+        b, _ = json.JSONDecoder().raw_decode(text)
         body = {k: b.get(k) for k in ("index", "timestamp", "data", "previous_hash")}
         return hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
     return blocks.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def _indented(documents: pd.Series) -> pd.Series:
+    return documents.map(lambda text: json.dumps(json.loads(text), indent=2))
+
+
+def export_documents(log: DataFrame, folder: str, run_stamp: str, exported_at: str) -> str:
+    """Write the log as one indented JSON document per file and segment, as the published export has it.
+
+    A segment's blocks are bounded, so a file is. Fields that a block does not have are left out.
+    """
+    docs = _verified_documents(log, exported_at)
+    text = F.to_json(F.struct("blockchain_info", "blocks"))
+    path = f"{folder}/{LOG_PREFIX}{run_stamp}_documents"
+    docs.select("segment", _indented(text).alias("value")).write.mode("errorifexists").partitionBy("segment").text(path)
+    return path
+
+
+def split_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of logs kept as one JSON document per file: ``file``, ``raw`` JSON text.
+
+    A large document is read by many tasks: the text is cut where a block begins, which is told by the line of an opening
+    brace at a block's indentation, or in a document without line breaks by a brace and the block's first key. Neither
+    can stand inside a text value, where line breaks and quotes are escaped. All files of a folder share one layout; a file of another
+    one ends the job. ``raw`` may end in the comma or brackets that follow a block; JSON readers stop before them.
+    """
+    reader = lambda cut: spark.read.option("recursiveFileLookup", True).option("lineSep", cut).text(path)
+    first = reader('"blocks"').first()                                    # the text before the blocks, a few hundred bytes
+    indent = re.match(r"\s*\{\r?\n( +)", first["value"]) if first else None
+    begin = "\n" + 2 * indent[1] + "{\n" if indent else '{"index":'
+    pieces = reader(begin).select(F.input_file_name().alias("file"), "value")
+    head = F.col("value").rlike(r'^\s*\{\s*"')                            # a document's own start
+    before = F.col("value").rlike(r'"blocks"\s*:\s*\[\s*(\][\s\S]*)?$')  # ends where its blocks begin, or has none
+    wrong = F.raise_error(F.concat(F.lit("log documents of another layout: "), "file")).cast("boolean")
+    return pieces.where(F.when(head, F.when(before, False).otherwise(wrong)).otherwise(True)).select(
+        "file", F.concat(F.lit(begin.strip("\n ") + ("\n" if indent else "")), "value").alias("raw"))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Logs of one JSON document per file as a log table; the segment is that of the file's folder, or the file's hash."""
+    folder = F.regexp_extract("file", r"/segment=(-?\d+)/", 1)
+    blocks = split_documents(spark, path).select("file", F.from_json("raw", LOG_BLOCK_SCHEMA).alias("b"))
+    segment = F.when(folder != "", folder.cast("bigint")).otherwise(F.xxhash64("file"))
+    return blocks.select(segment.alias("segment"), *_log_columns())
+
+
 def verify_documents(spark: SparkSession, path: str) -> DataFrame:
     """Check logs kept as one JSON document per file, each block hashed over its JSON text.
 
-    Per file: blocks, alerts and validity. Block hashes are recomputed row by row and in
-    parallel; the link to the predecessor is a window inside the file. The genesis block
+    Per file: blocks, alerts and validity. Files are read split between blocks; hashes are recomputed row by row, and
+    the link to the predecessor is a window inside the file. The genesis block
     is not rehashed, as those files define it.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    raw = docs.select("file", F.explode(F.from_json("value", "blocks array<string>")["blocks"]).alias("raw"))
-    keyed = raw.withColumn("b", F.from_json("raw", LOG_BLOCK_SCHEMA)).select(
+    keyed = split_documents(spark, path).withColumn("b", F.from_json("raw", LOG_BLOCK_SCHEMA)).select(
         "file", "b.index", "b.hash", "b.previous_hash", _document_hash("raw").alias("own"))
     prev = F.lag("hash").over(W.partitionBy("file").orderBy("index"))
     ok = (F.col("index") == 0) | ((F.col("own") == F.col("hash")) & (F.col("previous_hash") == prev))

@@ -157,10 +157,55 @@ def test_single_document_logs(spark, tmp_path):
     got = {r["file"].split("_")[-1]: (r["blocks"], r["alerts"], r["is_valid"])
            for r in L.verify_documents(spark, str(tmp_path)).collect()}
     assert got == {"good.json": (5, 4, True), "bad.json": (5, 4, False), "cut.json": (5, 4, False)}
-    view = C.log_view(L.read_log(spark, str(tmp_path / "blockchain_threat_log_good.json"), multi_line=True))
+    view = C.log_view(L.read_documents(spark, str(tmp_path / "blockchain_threat_log_good.json")))
     assert view.count() == 4 and {r["source_ip"] for r in view.collect()} == {"N/A"}
 
 
+@pytest.mark.parametrize("indent", [None, 2, 4])
+@pytest.mark.parametrize("split", [997, 4096, 60_000])
+def test_a_document_is_read_by_many_tasks(spark, tmp_path, indent, split):
+    """Wherever the file is cut, each block is read once, whole."""
+    doc = _document(120)
+    doc["blocks"][7]["data"]["network_features"]["service"] = 'x"},\n    {\n {"index": 3, "blocks": ['         # escaped in the text
+    (tmp_path / "log.json").write_text(json.dumps(doc, indent=indent))
+    keys = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        pieces = L.split_documents(spark, str(tmp_path))
+        assert split > 10_000 or pieces.rdd.getNumPartitions() > 4
+        found = [json.JSONDecoder().raw_decode(r["raw"])[0] for r in pieces.collect()]
+        log = L.read_documents(spark, str(tmp_path)).orderBy("block_index").collect()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert sorted(found, key=lambda b: b["index"]) == doc["blocks"]
+    assert [(r["block_index"], r["hash"]) for r in log] == [(b["index"], b["hash"]) for b in doc["blocks"]]
+
+
+def test_documents_without_blocks_or_of_another_layout(spark, tmp_path):
+    folders = {}
+    for name, texts in {"none": [json.dumps({**_document(1), "blocks": []}, indent=2)],
+                        "mixed": [json.dumps(_document(3), indent=2), json.dumps(_document(3))],
+                        "short": [json.dumps(_document(1))]}.items():
+        folders[name] = tmp_path / name
+        folders[name].mkdir()
+        for i, text in enumerate(texts):
+            (folders[name] / f"{i}.json").write_text(text)
+    assert L.read_documents(spark, str(folders["none"])).count() == 0
+    assert L.read_documents(spark, str(folders["short"])).count() == 1
+    with pytest.raises(Exception, match="another layout"):
+        L.read_documents(spark, str(folders["mixed"])).count()
+
+
+def test_exported_documents_are_the_log(spark, log):
+    path = L.export_documents(log, shared_folder(spark), "20240101_000000", "2024-01-01 00:00:00")
+    back = L.read_documents(spark, path)
+    assert bad_segments(back) == {} and back.count() == log.count()
+    assert spark.read.text(path, wholetext=True).where("get_json_object(value, '$.blockchain_info.is_valid') = 'true'").count() \
+        == log.select("segment").distinct().count()
+
+
 def test_head_levels_follow_the_ids(spark):
     ids = [0, 5, 999_999, 2**62, 2**62 + 1]
     log = spark.createDataFrame([(i // 1000, 0, f"h{i}") for i in ids], "segment long, block_index int, hash string")

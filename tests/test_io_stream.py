@@ -35,6 +35,21 @@ def test_spread_leaves_large_inputs_alone(spark):
     assert S.spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_manifest(spark, tmp_path):
+    out, rows = str(tmp_path), spark.range(1000).repartition(3)
+    A.record(rows, out, "a_", "20240101_000000", "data", "csv")
+    A.record(rows.where("id < 10"), out, "a_", "20240201_000000", "data")
+    A.record(rows.where("false"), out, "b_", "20240115_000000", "log")
+    done = A.manifest(spark, out)
+    assert sorted(map(tuple, A.output_catalog(done).collect())) == [("data", 2, 1010, "20240201_000000"), ("log", 1, 0, "20240115_000000")]
+    newest = A.newest_output(done, "a_").first()
+    assert newest["n_rows"] == 10 and spark.read.parquet(newest["path"]).count() == 10
+    assert A.newest_output(done, "c_").count() == 0
+    with pytest.raises(Exception, match="already exists"):
+        A.record(rows, out, "a_", "20240101_000000", "data", "csv")
+    assert done.count() == 3                                                # what failed is not listed
+
+
 def test_artifacts(spark, tmp_path):
     for stamp in ("20240101_000000", "20240301_120000", "20240201_000000"):
         (tmp_path / f"predictions_with_actions_{stamp}.csv").write_text("a\n")

@@ -165,6 +165,45 @@ def test_vocabulary_limit_is_an_error(spark):
         P.collect_vocab(df, ["service"], limit=20)
 
 
+def test_sparse_encoding_of_any_number_of_values(spark):
+    """100,000 values of one column, a value that a third of the rows hold, nulls and values unseen in training."""
+    rows = spark.range(150_000).selectExpr(
+        "id AS flow_id", "double(id) AS n", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 1000 = 1 THEN NULL ELSE concat('v', id) END AS service",
+        "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS flag")
+    index = P.vocab_index(rows, ["service", "flag"], first=1)
+    values = index.orderBy("index").collect()
+    assert [r["index"] for r in values] == list(range(1, len(values) + 1)) and len(values) > 99_000
+    assert [(r["column"], r["value"]) for r in values][-2:] == [("flag", "a"), ("flag", "b")]
+    names = [r["value"] for r in values[:-2]]
+    assert names == sorted(names)
+    place = {(r["column"], r["value"]): r["index"] for r in values}
+    other = rows.union(spark.createDataFrame([(-1, None, "never", None)], "flow_id long, n double, service string, flag string"))
+    previous = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")            # as where the vocabulary is large
+    try:
+        got = {r["flow_id"]: (r["indices"], r["values"]) for r in P.one_hot_sparse(other, index, ["n"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", previous)
+    assert len(got) == 150_001 and got[-1] == ([0], [None])
+    assert got[1] == ([0, place["flag", "b"]], [1.0, 1.0])                  # null service
+    for i in (0, 2, 3, 77_777):
+        service = "hot" if i % 3 == 0 else f"v{i}"
+        assert got[i] == ([0, place["service", service], place["flag", "ab"[i % 2]]], [float(i), 1.0, 1.0])
+
+
+def test_sparse_encoding_is_one_hot(spark):
+    df = spark.createDataFrame([(1, 2.0, "x", "q"), (2, 3.0, "y", "p"), (3, 0.0, None, "q")], "flow_id long, n double, service string, flag string")
+    vocab = P.collect_vocab(df, ["service", "flag"])
+    wide = {r["flow_id"]: list(r)[1:] for r in P.one_hot(df, vocab, ["n"]).collect()}
+    for r in P.one_hot_sparse(df, P.vocab_index(df, ["service", "flag"], first=1), ["n"]).collect():
+        dense = [0.0] * len(wide[1])
+        for i, v in zip(r["indices"], r["values"]):
+            dense[i] = v
+        assert dense == wide[r["flow_id"]]
+    none = df.where("false")
+    assert P.one_hot_sparse(none, P.vocab_index(none, ["service", "flag"], first=1), ["n"]).count() == 0
+
+
 def test_scaler_does_not_depend_on_the_order_of_sums(spark):
     values = [0.1 * i for i in range(400)] + [1e9, 3e-7, 259.2396] * 50
     expect = None
