@@ -52,9 +52,10 @@ def conform_flows(
     keep: tuple = ("flow_id",),
 ) -> DataFrame:
     """Exactly the expected features in the expected order; absent ones get 0.0 or ''."""
+    absent = set(missing_features(df, [*numeric, *categorical]))
     cols = [F.col(c) for c in keep if c in df.columns]
-    cols += [F.col(f"`{c}`").cast("double").alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in numeric]
-    cols += [F.col(f"`{c}`") if c in df.columns else F.lit("").alias(c) for c in categorical]
+    cols += [F.lit(0.0).alias(c) if c in absent else F.col(f"`{c}`").cast("double").alias(c) for c in numeric]
+    cols += [F.lit("").alias(c) if c in absent else F.col(f"`{c}`") for c in categorical]
     return df.select(*cols)
 
 

@@ -464,6 +464,14 @@ SQL = {
     "zero_fn_threshold": f"""{_WITH_EVAL} SELECT 'first' AS policy, * FROM sweep
         WHERE threshold = coalesce((SELECT min(threshold) FROM sweep WHERE fn = 0), 0.01e0)
         UNION ALL SELECT 'max', * FROM sweep WHERE threshold = coalesce((SELECT max(threshold) FROM sweep WHERE fn = 0), 0.01e0)""",
+    "zero_fn_threshold_of_floods": f"""{_BASE}, floods AS (SELECT p, class = 'neptune' AND flag = 'S0' AND protocol_type = 'icmp' AS y FROM scored), raw AS (SELECT k / 100.0e0 AS threshold, count(*) FILTER (p < k / 100.0e0 AND y) AS fn,
+          count(*) FILTER (p >= k / 100.0e0 AND NOT y) AS fp, count(*) FILTER (p >= k / 100.0e0 AND y) AS tp
+          FROM range(1, 51) t(k), floods GROUP BY k),
+        swept AS (SELECT threshold, fn, fp, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / CAST(tp + fp AS DOUBLE) END, 6) AS precision,
+          round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / CAST(tp + fn AS DOUBLE) END, 6) AS recall,
+          round(CASE WHEN 2*tp + fp + fn = 0 THEN 0 ELSE 2*tp / CAST(2*tp + fp + fn AS DOUBLE) END, 6) AS f1 FROM raw)
+        SELECT 'first' AS policy, * FROM swept WHERE threshold = coalesce((SELECT min(threshold) FROM swept WHERE fn = 0), 0.01e0)
+        UNION ALL SELECT 'max', * FROM swept WHERE threshold = coalesce((SELECT max(threshold) FROM swept WHERE fn = 0), 0.01e0)""",
     "threshold_sensitivity": f"""{_WITH_EVAL}, t(threshold) AS (VALUES (0.5e0), (0.4e0), (0.3e0), (0.2e0), (0.15e0), (0.1e0), (0.05e0), (0.01e0)),
         c AS (SELECT threshold, count(*) FILTER (p < threshold AND y = 1) AS fn, count(*) FILTER (p >= threshold AND y = 0) AS fp,
               count(*) FILTER (p >= threshold AND y = 1) AS tp FROM t, scored GROUP BY threshold)
@@ -655,6 +663,9 @@ SQL = {
           CASE WHEN p.p >= 0.7e0 THEN 'high' WHEN p.p >= 0.01e0 THEN 'medium' ELSE 'low' END AS confidence,
           w.* EXCLUDE (flow_id, total), round(w.total, 6) AS total_shap
         FROM predicted p JOIN wide w ON w.flow_id = p.flow_id""",
+    "xai_export_top5": f"""{_WITH_MODEL}, top AS (SELECT feature FROM importance ORDER BY mean_abs_shap DESC, feature LIMIT 5)
+        SELECT flow_id, round(sum(shap), 6) AS total_shap, count(*) FILTER (feature IN (SELECT feature FROM top)) AS n_shap,
+          round(sum(round(shap, 6)) FILTER (feature IN (SELECT feature FROM top)), 5) AS top_shap FROM contrib GROUP BY flow_id""",
     "run_report": f"""{_WITH_MODEL}, n AS (SELECT count(*) AS t, count(*) FILTER (predicted_class = 'intrusion') AS i FROM predicted)
         SELECT 'summary' AS section, 'total_samples' AS item, CAST(t AS DOUBLE) AS value FROM n
         UNION ALL SELECT 'summary', 'intrusions', i FROM n UNION ALL SELECT 'summary', 'normals', t - i FROM n

@@ -375,6 +375,14 @@ def zero_fn_threshold(spark, sf):
     return E.zero_fn_threshold(scored(spark, sf), "first").unionByName(E.zero_fn_threshold(scored(spark, sf), "max"))
 
 
+@query
+def zero_fn_threshold_of_floods(spark, sf):
+    """With half-open icmp floods as the only attacks none is scored low: the two policies choose different thresholds."""
+    flood = (F.col("class") == "neptune") & (F.col("flag") == "S0") & (F.col("protocol_type") == "icmp")
+    floods = scored(spark, sf).withColumn("y", flood.cast("int"))
+    return E.zero_fn_threshold(floods, "first").unionByName(E.zero_fn_threshold(floods, "max"))
+
+
 @query
 def threshold_sensitivity(spark, sf):
     return E.threshold_sensitivity(scored(spark, sf), THR)
@@ -650,6 +658,17 @@ def xai_export(spark, sf):
     return spark.read.parquet(A.write_table(out, shared_folder(spark)))
 
 
+@query
+def xai_export_top5(spark, sf):
+    """The export with the five features of most weight, where the limit leaves seven out."""
+    df = explained(spark, sf)
+    top = X.top_features(importance(spark, sf), 5)
+    out = X.xai_export(df, FEATURES, THR, ["flow_id", "service"], top)
+    shown = [c for c in out.columns if c.startswith("shap_")]
+    return out.select("flow_id", F.round("total_shap", 6).alias("total_shap"), F.lit(len(shown)).cast("bigint").alias("n_shap"),
+                      F.round(sum(F.col(c) for c in shown), 5).alias("top_shap"))
+
+
 @query
 def run_report(spark, sf):
     g = graded(spark, sf)
