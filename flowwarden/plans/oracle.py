@@ -541,8 +541,8 @@ SQL = {
     "log_page_after": f"""{_WITH_CHAIN} SELECT segment, id, sample_index, hash FROM view_rows
         WHERE (segment, id) > (2, 100) ORDER BY segment, id LIMIT 10""",
     "shap_scorecard": f"{_WITH_MODEL} SELECT flow_id, feature, round(x, 6) AS feature_value, round(shap, 6) AS shap_value FROM contrib",
-    "beeswarm_data": f"""{_WITH_MODEL} SELECT flow_id, feature, round(x, 6) AS feature_value, round(shap, 6) AS shap_value FROM contrib
-        WHERE feature IN (SELECT feature FROM importance ORDER BY mean_abs_shap DESC, feature LIMIT 25)""",
+    "beeswarm_data": f"""{_WITH_MODEL}, top AS MATERIALIZED (SELECT feature FROM importance ORDER BY mean_abs_shap DESC, feature LIMIT 25)
+        SELECT flow_id, c.feature, round(x, 6) AS feature_value, round(shap, 6) AS shap_value FROM contrib c JOIN top ON top.feature = c.feature""",
     "explain_flow": f"""{_WITH_MODEL}, r AS (SELECT *, CASE WHEN shap > 0 THEN 'intrusion' ELSE 'normal' END AS direction,
           row_number() OVER (PARTITION BY flow_id, shap > 0 ORDER BY round(abs(shap), 12) DESC, i) AS rn FROM contrib WHERE shap <> 0)
         SELECT flow_id, direction, CAST(rn AS INTEGER) AS rank, feature, category, round(shap, 6) AS shap_value,
@@ -663,9 +663,10 @@ SQL = {
           CASE WHEN p.p >= 0.7e0 THEN 'high' WHEN p.p >= 0.01e0 THEN 'medium' ELSE 'low' END AS confidence,
           w.* EXCLUDE (flow_id, total), round(w.total, 6) AS total_shap
         FROM predicted p JOIN wide w ON w.flow_id = p.flow_id""",
-    "xai_export_top5": f"""{_WITH_MODEL}, top AS (SELECT feature FROM importance ORDER BY mean_abs_shap DESC, feature LIMIT 5)
-        SELECT flow_id, round(sum(shap), 6) AS total_shap, count(*) FILTER (feature IN (SELECT feature FROM top)) AS n_shap,
-          round(sum(round(shap, 6)) FILTER (feature IN (SELECT feature FROM top)), 5) AS top_shap FROM contrib GROUP BY flow_id""",
+    "xai_export_top5": f"""{_WITH_MODEL}, top AS MATERIALIZED (SELECT feature FROM importance ORDER BY mean_abs_shap DESC, feature LIMIT 5)
+        SELECT flow_id, round(sum(shap), 6) AS total_shap, count(top.feature) AS n_shap,
+          round(sum(round(shap, 6)) FILTER (top.feature IS NOT NULL), 5) AS top_shap
+        FROM contrib c LEFT JOIN top ON top.feature = c.feature GROUP BY flow_id""",
     "run_report": f"""{_WITH_MODEL}, n AS (SELECT count(*) AS t, count(*) FILTER (predicted_class = 'intrusion') AS i FROM predicted)
         SELECT 'summary' AS section, 'total_samples' AS item, CAST(t AS DOUBLE) AS value FROM n
         UNION ALL SELECT 'summary', 'intrusions', i FROM n UNION ALL SELECT 'summary', 'normals', t - i FROM n
