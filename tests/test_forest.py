@@ -44,6 +44,29 @@ def test_importance_is_that_of_the_fitted_model(spark, fitted):
     assert ours == pytest.approx(package.native_importance(), abs=1e-9)
 
 
+def test_a_task_of_the_fit_holds_a_bounded_number_of_values(spark, monkeypatch):
+    """The encoded rows are cached in more and smaller partitions where files pack too many rows, equal keys and nulls too."""
+    monkeypatch.setattr(M, "TASK_VALUES", 40 * (3 + 16))
+    seen, fit = [], M.GBTClassifier.fit
+    monkeypatch.setattr(M.GBTClassifier, "fit", lambda self, df: seen.append(
+        [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]) or fit(self, df))
+    rows = spark.range(400).coalesce(1).selectExpr(
+        "CASE WHEN id % 4 > 0 THEN id DIV 100 END AS flow_id", "int(id % 3 = 0) AS y", "double(id % 50) AS duration",
+        "double(id * id % 97) AS src_bytes", "'a' AS flag")
+    package = M.train_package(rows, ["duration", "src_bytes"], ["flag"], trees=1, depth=2)
+    assert package.model.getNumTrees == 1
+    assert max(seen[0]) <= 44 and sum(seen[0]) <= 400 and len(seen[0]) >= 8
+
+
+def test_small_partitions_stay_where_they_are(spark):
+    df = spark.range(0, 100, 1, 4)
+    assert P.bounded_parts(df, 25) is df
+    out = P.bounded_parts(df, 24)
+    assert out.rdd.getNumPartitions() == 5 and sorted(r["id"] for r in out.collect()) == list(range(100))
+    none = df.where("false")
+    assert P.bounded_parts(none, 1) is none
+
+
 def test_missing_values_go_right(spark):
     rows = spark.createDataFrame([([0.0, 9.0], 1), ([1.0, 5.0], 0), ([math.nan, 6.0], 0), ([math.nan, math.nan], 1)], ROWS)
     forest = FO.forest_of(spark.createDataFrame(TREE, NODE).collect())
