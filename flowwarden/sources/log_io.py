@@ -101,19 +101,26 @@ def _document_hash(blocks: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def _indented(documents: pd.Series) -> pd.Series:
-    return documents.map(lambda text: json.dumps(json.loads(text), indent=2))
+def _indented(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: json.dumps(json.loads(text), indent=2))
 
 
 def export_documents(log: DataFrame, folder: str, run_stamp: str, exported_at: str) -> str:
     """Write the log as one indented JSON document per file and segment, as the published export has it.
 
-    A segment's blocks are bounded, so a file is. Fields that a block does not have are left out.
+    A segment's blocks are bounded, so a file is; it is put together in the JVM. Fields that a block does not have are left out.
     """
     docs = _verified_documents(log, exported_at)
-    text = F.to_json(F.struct("blockchain_info", "blocks"))
+    parts = F.concat(F.array(F.to_json("blockchain_info")), F.transform("blocks", lambda b: F.to_json(b)))
+    # Python indents a header or a block at a time: batches of whole documents would outgrow a worker
+    texts = docs.select("segment", F.posexplode(parts).alias("at", "text")).withColumn("text", _indented("text"))
+    inner = F.replace("text", F.lit("\n"), F.when(F.col("at") == 0, "\n  ").otherwise("\n    "))
+    done = texts.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("at", inner.alias("text")))).alias("parts"))
+    blocks = F.array_join(F.transform(F.slice("parts", 2, F.size("parts")), lambda p: p["text"]), ",\n    ")
+    text = F.concat(
+        F.lit('{\n  "blockchain_info": '), F.col("parts")[0]["text"], F.lit(',\n  "blocks": [\n    '), blocks, F.lit("\n  ]\n}"))
     path = f"{folder}/{LOG_PREFIX}{run_stamp}_documents"
-    docs.select("segment", _indented(text).alias("value")).write.mode("errorifexists").partitionBy("segment").text(path)
+    done.select("segment", text.alias("value")).write.mode("errorifexists").partitionBy("segment").text(path)
     return path
 
 

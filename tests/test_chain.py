@@ -206,6 +206,31 @@ def test_exported_documents_are_the_log(spark, log):
         == log.select("segment").distinct().count()
 
 
+def test_documents_are_indented_a_block_at_a_time(spark, tmp_path, monkeypatch):
+    """No Python worker gets a whole document, and the files are what Python writes of the whole."""
+    texts = ["a\nb \"c\" \\ {}", "d\u00e9\u4e16 [\n    {\n", "", "\u2028 e, f"]
+    blocks = [(s, i, "0" * i, f"{t}{i}", t, 1e-7 * i) for s in (0, 7, -3) for i, t in enumerate(texts * 25)]
+    log = spark.createDataFrame(blocks, "segment long, block_index int, previous_hash string, hash string, action_summary string, "
+                                "intrusion_probability double").selectExpr(
+        "*", "CASE WHEN block_index > 0 THEN cast(block_index * 2 AS bigint) END AS sample_index", "1 AS severity_level", "cast(null AS string) AS severity_name",
+        "cast(null AS string) AS priority", "array('x', action_summary) AS immediate_actions", "cast(array() AS array<string>) AS monitoring_actions",
+        "from_json('{\"src_bytes\": 3}', '" + L.LOG_DATA_SCHEMA["network_features"].dataType.simpleString() + "') AS network_features")
+    indented = L._indented.func
+
+    def short_only(texts):
+        if (texts.str.len() > 2000).any():
+            raise ValueError("a whole document in a worker")
+        return indented(texts)
+
+    monkeypatch.setattr(L, "_indented", F.pandas_udf(short_only, "string"))
+    path = L.export_documents(log, str(tmp_path / "log"), "20240101_000000", "2024-01-01 00:00:00")
+    found = {int(f.parent.name.split("=")[1]): f.read_text() for f in (tmp_path / "log").rglob("*.txt")}
+    assert set(found) == {0, 7, -3} and path.startswith(str(tmp_path))
+    whole = L._verified_documents(log, "2024-01-01 00:00:00").select("segment", F.to_json(F.struct("blockchain_info", "blocks"))).collect()
+    assert found == {s: json.dumps(json.loads(text), indent=2) + "\n" for s, text in whole}
+    assert [len(json.loads(t)["blocks"]) for t in found.values()] == [100, 100, 100]
+
+
 def test_head_levels_follow_the_ids(spark):
     ids = [0, 5, 999_999, 2**62, 2**62 + 1]
     log = spark.createDataFrame([(i // 1000, 0, f"h{i}") for i in ids], "segment long, block_index int, hash string")
